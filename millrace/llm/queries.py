@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .contamination import decontaminate
 from .packing import best_fit_packing
+from .pii import KINDS, digest, find_personal_data
 from .quality import quality_rules
 from .simhash import near_duplicates
 from .substrings import remove_repeats
@@ -41,6 +43,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_kind = lambda k: lambda x: x["kind"] == k
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter("pii_base", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(digest("pii_base"), 256).alias("base_sha256"),
+        digest("pii_spans").alias("spans"),
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archive_round_trip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -52,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op5_simhash": op5_simhash,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_pii": op9_pii,
     "op10_warc": op10_warc,
 }
 
