@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational  # noqa: F401  registers its queries
+from . import etl, relational  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
