@@ -42,6 +42,13 @@ class Lookup:
         self.keys[taken] = keys[self.rows[taken]]
         self.values = values
 
+    def __reduce__(self):
+        """Only keys and values travel; whoever receives them lays the table out anew."""
+        taken = self.rows >= 0
+        keys = np.zeros(int(taken.sum()), np.uint64)
+        keys[self.rows[taken]] = self.keys[taken]
+        return Lookup, (keys, self.values)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key's row, or -1."""
         slot = (mix(keys) & self.mask).astype(np.int64)
