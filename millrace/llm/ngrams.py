@@ -26,31 +26,37 @@ def unplanes(data: bytes) -> np.ndarray:
 
 
 class Lookup:
-    """64-bit keys to rows of values: open addressing in arrays, read for many keys at once."""
+    """64-bit keys to rows of values: open addressing in arrays, read for many keys at once.
+
+    Only keys and values are kept and sent; the table is laid out where it is first read.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.own, self.values = keys, values
+        self.rows: np.ndarray | None = None
+
+    def __reduce__(self):
+        return Lookup, (self.own, self.values)
+
+    def _lay_out(self) -> None:
+        keys = self.own
         size = 1 << max(4, int(4 * max(1, len(keys)) - 1).bit_length())
         self.mask = np.uint64(size - 1)
-        self.keys, self.rows = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        self.keys, rows = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
         left, slot = np.arange(len(keys), dtype=np.int32), (mix(keys) & self.mask).astype(np.int64)
         while len(left):
-            free = self.rows[slot] < 0
-            self.rows[slot[free]] = left[free]  # of those that want one slot, the last stays
-            lost = self.rows[slot] != left
+            free = rows[slot] < 0
+            rows[slot[free]] = left[free]  # of those that want one slot, the last stays
+            lost = rows[slot] != left
             left, slot = left[lost], (slot[lost] + 1) & int(self.mask)
-        taken = self.rows >= 0
-        self.keys[taken] = keys[self.rows[taken]]
-        self.values = values
-
-    def __reduce__(self):
-        """Only keys and values travel; whoever receives them lays the table out anew."""
-        taken = self.rows >= 0
-        keys = np.zeros(int(taken.sum()), np.uint64)
-        keys[self.rows[taken]] = self.keys[taken]
-        return Lookup, (keys, self.values)
+        taken = rows >= 0
+        self.keys[taken] = keys[rows[taken]]
+        self.rows = rows
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key's row, or -1."""
+        if self.rows is None:
+            self._lay_out()
         slot = (mix(keys) & self.mask).astype(np.int64)
         row = self.rows[slot]
         at = np.flatnonzero((row >= 0) & (self.keys[slot] != keys))

@@ -20,6 +20,22 @@ LAST = np.iinfo(np.int64).max
 PIECE = "kind byte, bucket int, n binary, ids binary, starts binary"
 
 
+def n_hash_buckets(parts: int) -> int:
+    """A power of two, 256 or more: the bucket is the hash's first bits, so its first byte need not be sent."""
+    return 1 << max(8, (4 * parts - 1).bit_length())
+
+
+def _seven_bytes(hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def _whole(data: bytes, bucket: int, n_buckets: int) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(-1, 7)
+    out = np.full((len(rows), 8), bucket >> (n_buckets.bit_length() - 9), np.uint8)
+    out[:, :7] = rows
+    return out.view(np.uint64).ravel()
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Numbers as byte planes: planes of zeros cost nothing once the shuffle compresses them."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
@@ -40,7 +56,7 @@ def _pieces(kind: int, bucket: np.ndarray, n: np.ndarray, ids: np.ndarray, start
         [
             pa.array(np.full(len(at), kind, np.int8)),
             pa.array(bucket[at].astype(np.int32)),
-            pa.array([n[a:b].tobytes() if kind == 0 else _planes(n[a:b]) for a, b in rows], pa.binary()),
+            pa.array([_seven_bytes(n[a:b]) if kind == 0 else _planes(n[a:b]) for a, b in rows], pa.binary()),
             pa.array([_planes(np.diff(ids[a:b], prepend=np.int64(0))) for a, b in rows], pa.binary()),
             pa.array([_planes(starts[a:b].astype(np.uint32)) for a, b in rows], pa.binary()),
         ],
@@ -94,7 +110,7 @@ def _windows_of(n_words: int, n_buckets: int):
                 a, b, c = _intervals(ids[later], starts[later], np.int64(n_words))
                 yield _pieces(1, (a.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64), (c - b).astype(np.uint32), a, b)
             hashes = hashes[first]
-            yield _pieces(0, (hashes % np.uint64(n_buckets)).astype(np.int64), hashes, ids[first], starts[first])
+            yield _pieces(0, (hashes >> np.uint64(65 - n_buckets.bit_length())).astype(np.int64), hashes, ids[first], starts[first])
 
         size = 0
         for batch in batches:
@@ -147,7 +163,7 @@ def _compare(n_words: int, n_buckets: int):
                         yield from send()
                         size = 0
                 now = buckets[i]
-                hashes = np.frombuffer(batch.column(2)[i].as_py(), np.uint64)
+                hashes = _whole(batch.column(2)[i].as_py(), int(now), n_buckets)
                 ids = np.cumsum(_unplanes(batch.column(3)[i].as_py(), np.int64))
                 held.append((hashes, ids, _unplanes(batch.column(4)[i].as_py(), np.uint32)))
         if held:
@@ -197,7 +213,7 @@ def repeated_intervals(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     hash, where equal windows meet and all but the first become removal intervals.
     """
     parts = n_buckets(docs)
-    buckets = 4 * parts
+    buckets = n_hash_buckets(parts)
     pieces = docs.select(F.col(doc_id).cast("long"), text).mapInArrow(_windows_of(n_words, buckets), schema_of(PIECE))
     pieces = pieces.repartition(parts, "bucket").sortWithinPartitions("bucket")
     pieces = pieces.mapInArrow(_compare(n_words, buckets), schema_of(PIECE))
