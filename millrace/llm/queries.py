@@ -12,6 +12,7 @@ from .contamination import decontaminate
 from .cross_entropy import score_documents
 from .html_text import extract_main_text
 from .kneser_ney import classify_quality
+from .oracles import ORACLES
 from .packing import best_fit_packing
 from .pii import KINDS, digest, find_personal_data
 from .quality import quality_rules
@@ -89,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
