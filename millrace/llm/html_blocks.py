@@ -29,7 +29,7 @@ CLOSES = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
     "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"},
 }
-PATH_DIMS, WORD_DIMS, OTHER_DIMS = 96, 32, 8
+PATH_DIMS, WORD_DIMS, OTHER_DIMS = 256, 32, 8
 DIMS = PATH_DIMS + WORD_DIMS + OTHER_DIMS
 _paths: dict[tuple, np.ndarray] = {}
 

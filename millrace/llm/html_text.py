@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from .frames import with_text_columns
 from .html_blocks import DIMS, blocks, vectors
 
-HIDDEN, SEED_PAGES, STEPS, BATCH = 16, 1000, 420, 32
+HIDDEN, SEED_PAGES, STEPS, BATCH = 16, 1600, 640, 32
 #: Padded block vectors that are labelled at a time.
 BATCH_BLOCKS = 16_384
 _fitted: dict[str, Labeller] = {}
