@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import headers
 from ..sources import forms, reports
 from .registry import query
 from .roles import table
@@ -49,3 +50,20 @@ def evidence_by_asset(spark, sf):
 def cited_by(spark, sf):
     edges = table(spark, sf, "lineitem").selectExpr("l_suppkey as cited", "l_partkey % 50 as by_asset")
     return edges.where("cited is not null and cited <> by_asset").distinct()
+
+
+#: Some fields of an attendance sheet and their usual names.
+_FIELDS = {
+    "student_name": ["student name", "name", "name of student"], "program": ["program", "programme", "degree", "stream"],
+    "semester": ["semester", "sem", "term"], "classes_held": ["classes held", "total classes", "held", "conducted"],
+    "classes_attended": ["classes attended", "attended", "present"],
+}
+_HEADERS = ("Student_Name", "PROGRAMME", "Prog", "Semster", "Total Classes", "Classes", "Present", "Remarks", "  ")
+
+
+@query()
+def header_proposals(spark, sf):
+    """Nine headers for each market segment's sheet, matched with the fields of an attendance sheet."""
+    sheets = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("source")).distinct()
+    rows = sheets.select("source", F.explode(F.array(*map(F.lit, _HEADERS))).alias("header"))
+    return headers.proposals(headers.scores(rows, _FIELDS))
