@@ -21,7 +21,8 @@ def is_blank(cell: Column) -> Column:
 def unpivot_marks(wide: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
     """(ids, column, marks, status) for each cell that is not blank; a cell that is no number is a status."""
     long = wide.unpivot(ids, columns, "course", "cell").where(~is_blank(F.col("cell")))
-    return long.select(*ids, "course", mark(F.col("cell")).alias("marks"), F.when(mark(F.col("cell")).isNull(), F.upper(F.trim("cell"))).alias("status"))
+    long = long.select(*ids, "course", "cell", mark(F.col("cell")).alias("marks"))  # once, so that generated code has no shared parts
+    return long.select(*ids, "course", "marks", F.when(F.col("marks").isNull(), F.upper(F.trim("cell"))).alias("status"))
 
 
 def grid(df: DataFrame, row: str, column: str, columns: list[str], value: Column) -> DataFrame:
