@@ -218,3 +218,34 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.collect()} == kept
     assert all(brute.pii(r.text) == [] for r in docs.collect())
     assert all(brute.quality(r.text, __import__("millrace.llm.quality", fromlist=["x"]).QualityRules())[0] >= 40 for r in docs.collect())
+
+
+def plain_losses(text, own, texts):
+    """Mean loss of a text under a bigram model of own, over the vocabulary of texts: every word and pair counts."""
+    n = Counter(w for t in own for w in t.split())
+    pairs = Counter(p for t in own for p in zip(t.split(), t.split()[1:]))
+    size, total = len({w for t in texts for w in t.split()}), sum(n.values())
+    loss, last = 0, None
+    for w in text.split():
+        p = (n[w] + 0.5) / (total + 0.5 * (size + 1))
+        if last is not None:
+            after = [c - 0.75 for (a, _), c in pairs.items() if a == last]
+            p = max(pairs[last, w] - 0.75, 0) / max(n[last], 1) + max(1 - sum(after) / max(n[last], 1), 1e-9) * p
+        loss, last = loss - np.log(p), w
+    return loss / len(text.split())
+
+
+def test_rare_words_and_pairs_count_alike_at_any_size(spark):
+    """Beside a corpus of three million words, of which a millionth would cut words and pairs that occur once or twice."""
+    rows = [(1, "aa bb cc dd"), (2, "aa bb"), (3, "ee ff"), (4, "aa bb zz"), (5, None), (5, "ee ff")]
+    rows += [(100 + i, "common filler " * 5000) for i in range(300)]
+    labels = spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")
+    texts = [t for _, t in rows if t]
+    got = score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), labels).where("doc_id < 100").collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted((i, t or "") for i, t in rows[:6])
+    for r in got:
+        if r.text is None:
+            assert r.n_words == 0 and r.difference is None
+        else:
+            assert r.background_loss == pytest.approx(plain_losses(r.text, texts, texts))
+            assert r.target_loss == pytest.approx(plain_losses(r.text, ["aa bb"], texts))
