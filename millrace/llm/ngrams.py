@@ -165,15 +165,20 @@ def trusted_sample(
     """Ids of trusted texts (quality 1, not toxic), in the order of a hash of the id, within both bounds.
 
     This is the one sample a model is fitted on; max_docs ids at most come to the driver.
+    The size of an id is that of its different texts; an id that does not fit is passed
+    over.  Trusted texts of which none fits are an error.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("_id"))
     first = good.where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
-    sizes = docs.select(F.col(doc_id).cast("long").alias("_id"), F.length(text).alias("size"))
-    rows = cut(sizes.join(F.broadcast(first), "_id").groupBy("_id").agg(F.sum("size").alias("size")))
+    sizes = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("hash"), F.length(text).alias("size"))
+    sizes = sizes.join(F.broadcast(first), "_id").distinct()
+    rows = cut(sizes.groupBy("_id").agg(F.sum("size").alias("size"))).orderBy(F.xxhash64("_id"), "_id").collect()
     total, out = 0, []
-    for row in rows.orderBy(F.xxhash64("_id"), "_id").collect():
-        total += row["size"] or 0
-        if total > max_chars:
-            break
-        out.append(row["_id"])
+    for row in rows:
+        size = row["size"] or 0
+        if total + size <= max_chars:
+            total += size
+            out.append(row["_id"])
+    if rows and not out:
+        raise ValueError(f"none of {len(rows)} trusted texts fits in {max_chars} characters")
     return out

@@ -249,3 +249,13 @@ def test_rare_words_and_pairs_count_alike_at_any_size(spark):
         else:
             assert r.background_loss == pytest.approx(plain_losses(r.text, texts, texts))
             assert r.target_loss == pytest.approx(plain_losses(r.text, ["aa bb"], texts))
+
+
+def test_a_trusted_text_that_does_not_fit_ends_nothing(spark):
+    rows = [(i, "good text " * 10) for i in range(1, 20)] + [(20, "long " * 1000)] + [(21, "hot text")] * 2000 + [(21, "other")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 22)], "doc_id long, quality int, toxic int")
+    assert sorted(trusted_sample(table, labels, 100, 4000)) == [*range(1, 20), 21]
+    with pytest.raises(ValueError):
+        trusted_sample(table, labels.where("doc_id = 20"), 100, 4000)
+    assert trusted_sample(table, labels.where("doc_id > 99"), 100, 4000) == []
