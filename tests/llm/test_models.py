@@ -259,3 +259,18 @@ def test_a_trusted_text_that_does_not_fit_ends_nothing(spark):
     with pytest.raises(ValueError):
         trusted_sample(table, labels.where("doc_id = 20"), 100, 4000)
     assert trusted_sample(table, labels.where("doc_id > 99"), 100, 4000) == []
+
+
+def test_thresholds_cover_trusted_texts_outside_the_sample(spark):
+    table = spark.createDataFrame([(i, "the old house by the sea is the best house of all") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    sample = trusted_sample(table, labels, 16, 10**6)
+    rare = [i for i in range(80) if i not in sample][:9]
+    table = table.withColumn("lang", F.when(F.col("doc_id").isin(rare), "xx").otherwise("en"))
+    table = table.withColumn("text", F.when(F.col("lang") == "xx", F.concat(F.lit("sea qa qe qi of house "), F.repeat(F.lit("qu "), F.col("doc_id").cast("int")))).otherwise(F.col("text")))
+    found = [r for r in classify_quality(table, labels, max_train_docs=16).collect() if r.lang == "xx"]
+    assert sorted(r.doc_id for r in found if r.kept) == rare
+    short, long = ([r for r in found if (r.n_words >= 50) == wide] for wide in (False, True))
+    for some, over, slack in ((short, found, 1.12), (long, long, 1.06)):
+        want = np.quantile([r.log_perplexity for r in over], 0.99) * slack if over else 0
+        assert all(r.threshold == pytest.approx(want, abs=1e-3) for r in some)
