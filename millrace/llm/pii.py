@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial, reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -14,10 +15,11 @@ from .frames import cut
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.  A run that a match may start in is taken whole (possessive), from its start
 #: or from where the last match ended, so that long runs cost linear time; the matches are the same.
+#: Runs of digits that cannot be a card by their number are left out by the pattern itself.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Generators of further candidates, wide on purpose.
@@ -40,6 +42,8 @@ FOR = {
 AGAINST = r"(?i)\b(?:order|invoice|isbn|version|ref|no|nr|id|date|token|page|release|build|sku|part|commande|pedido)\b"
 FEATURES = ("kind_no", "digits", "marks", "luhn", "octets", "for_kind", "against", "brackets", "groups")
 CONTEXT = 24
+#: Items that a fold takes at a time, and code points of a piece of text.
+GROUP, PIECE = 256, 1024
 SEED_ROWS, PRECISION = 2400, 0.995
 _models: dict[str, tuple[GBTClassificationModel, dict[str, float]]] = {}
 
@@ -82,37 +86,74 @@ def _passing(kind: str):
     return lambda x: _passes(kind, x["match"])
 
 
-def _placed(text: str, matches: str, pattern: str) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, also where body looks at it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _folded(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """A fold from the left that gives rows: step(state, item) makes the next state and an array (of type kind) of rows.
+
+    An array cannot grow in place, so the fold goes over groups of GROUP items, and what a
+    group gives is put aside: n items cost n * GROUP + (n / GROUP)**2 copies, not n**2.
+    """
+    none = F.expr(f"cast(array() as {kind})")
+
+    def one(acc: Column, item: Column) -> Column:
+        state, rows = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["rows"], rows).alias("rows"))
+
+    def group(acc: Column, members: Column) -> Column:
+        begin = F.struct(acc["state"].alias("state"), none.alias("rows"))
+        end = lambda a: F.struct(a["state"].alias("state"), F.concat(acc["done"], F.array(a["rows"])).alias("done"))
+        return F.aggregate(members, begin, one, end)
+
+    def over(own: Column) -> Column:
+        last = F.floor((F.size(own) - 1) / GROUP).cast("int")
+        groups = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda g: F.slice(own, g * GROUP + 1, F.lit(GROUP)))
+        start = F.struct(zero.alias("state"), F.expr(f"cast(array() as array<{kind}>)").alias("done"))
+        return F.when(F.size(own) > 0, F.aggregate(groups, start, group, lambda acc: F.flatten(acc["done"]))).otherwise(none)
+
+    return _let(items, over)
+
+
+def _placed(text: Column, matches: Column, pattern: str) -> Column:
     """Matches with their places: struct(start, end, match), in code points.
 
     Splitting the text at the same pattern gives what lies between the matches; a fold
     over both adds up the lengths.
     """
-    none = F.expr("cast(array() as array<struct<start:long,end:long,match:string>>)")
-    pairs = F.arrays_zip(
-        F.slice(F.split(F.col(text), pattern, -1), 1, F.size(matches)).alias("gap"), F.col(matches).alias("match")
-    )
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("match")))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
+        return start + x["size"], F.array(F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["match"].alias("match")))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    kind = "array<struct<start:bigint,end:bigint,match:string>>"
+    return F.when(F.size(matches) > 0, _folded(pairs, F.lit(0).cast("long"), step, kind)).otherwise(F.expr(f"cast(array() as {kind})"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
-    folded = F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
-    return F.when(F.size(matches) > 0, folded).otherwise(none)
 
+def _pieces(text: Column) -> Column:
+    """The text in pieces of PIECE code points, so that a stretch is reached without reading all that stands before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-def _find(df: DataFrame, text: str, patterns: dict[str, str], tag: str, need: dict[str, Column]) -> DataFrame:
-    """Adds {tag}_{kind}: the placed matches of each pattern; need skips texts that cannot match."""
+
+def _stretch(pieces: Column, start: Column, end: Column) -> Column:
+    """The text between two places."""
+    first, last = F.floor(start / PIECE), F.floor((end - 1) / PIECE)
+    piece = lambda i: F.coalesce(F.get(pieces, i.cast("int")), F.lit(""))
+    cut_out = lambda i, a, b: F.substring(piece(i), (a - i * PIECE + 1).cast("int"), (b - a).cast("int"))
+    between = F.array_join(F.slice(pieces, (first + 2).cast("int"), F.greatest(last - first - 1, F.lit(0)).cast("int")), "")
+    several = F.concat(cut_out(first, start, (first + 1) * PIECE), between, cut_out(last, last * PIECE, end))
+    return F.when(end <= start, F.lit("")).when(first == last, cut_out(first, start, end)).otherwise(several)
+
+
+def _find(text: Column, kind: str, pattern: str, need: Column) -> Column:
+    """The placed matches of a pattern; need skips texts that cannot match."""
     none = F.expr("cast(array() as array<string>)")
-    found = {
-        f"_{tag}_{k}": F.when(need[k], F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none)
-        for k, p in patterns.items()
-    }
-    df = df.withColumns(found)
-    return df.withColumns({f"{tag}_{k}": _placed(text, f"_{tag}_{k}", p) for k, p in patterns.items()}).drop(*found)
+    matches = F.when(need, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
+    return _let(matches, lambda m: _placed(text, m, pattern))
 
 
 def _features(kind: str, match: Column, before: Column) -> list[Column]:
@@ -215,8 +256,45 @@ def score(model: GBTClassificationModel, features: list[Column]) -> Column:
     return 1 / (1 + F.exp(-2 * reduce(Column.__add__, parts)))
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def _free(candidates: Column, base: Column) -> Column:
+    """Candidates that touch no base span, by start."""
+    kind = "array<struct<start:bigint,end:bigint,x:struct<kind:string,start:bigint,end:bigint,score:double>>>"
+    both = F.concat(
+        F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c.alias("x"))),
+        F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.expr(f"cast(null as {kind[kind.index(',x:') + 3 : -2]})").alias("x"))),
+    )
+
+    def past_end(reach: Column, s: Column) -> tuple[Column, Column]:
+        own = s["x"].isNotNull()
+        keeps = ~own | (s["start"] >= reach)
+        return F.when(own, reach).otherwise(F.greatest(reach, s["end"])), F.filter(F.array(s), lambda _: keeps)
+
+    def before_start(reach: Column, s: Column) -> tuple[Column, Column]:
+        own = s["x"].isNotNull()
+        keeps = ~own | (s["end"] <= reach)
+        return F.when(own, reach).otherwise(F.least(reach, s["start"])), F.filter(F.array(s), lambda _: keeps)
+
+    first = lambda a, b: F.signum(a["start"] - b["start"]).cast("int")
+    last = lambda a, b: F.signum(b["end"] - a["end"]).cast("int")
+    forward = _folded(F.array_sort(both, first), F.lit(-1).cast("long"), past_end, kind)
+    backward = _folded(F.array_sort(forward, last), F.lit(2**62), before_start, kind)
+    return F.array_sort(F.transform(F.filter(backward, lambda s: s["x"].isNotNull()), lambda s: s["x"]), first)
+
+
+def _best(candidates: Column) -> Column:
+    """Of candidates in order of their starts, those that stay: of two that overlap the better one, from left to right."""
+    span = "struct<kind:string,start:bigint,end:bigint,score:double>"
+    order = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
+    none = F.expr(f"cast(array() as array<{span}>)")
+
+    def step(held: Column, x: Column) -> tuple[Column, Column]:
+        clear = held.isNull() | (x["start"] >= held["end"])
+        better = (x["score"] > held["score"]) | ((x["score"] == held["score"]) & (order(x) < order(held)))
+        return F.when(clear | better, x).otherwise(held), F.when(clear & held.isNotNull(), F.array(held)).otherwise(none)
+
+    # a last one past all ends makes the fold give up what it holds
+    end = F.array(F.expr(f"named_struct('kind', '', 'start', {2**62}L, 'end', {2**62}L, 'score', 0D)"))
+    return _folded(F.concat(candidates, end), F.expr(f"cast(null as {span})"), step, f"array<{span}>")
 
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -225,51 +303,55 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     Base spans are the matches of BASE that pass their kind's test.  The generators of
     CANDIDATES propose further spans; those that touch no base span are scored by the
     trees, from their format and the CONTEXT characters before them, and stay if the
-    score reaches their kind's threshold and no better one overlaps them.
+    score reaches their kind's threshold; of those that overlap each other the better
+    one stays, judged from left to right.
 
     Only JVM expressions run on the executors, in one pass and without a shuffle.
 
     Defined cases: null and empty texts have no spans; texts of any length are searched
-    whole; rows are judged alone, so ids, null or repeated, do not matter; own columns of
-    the results' names give way to these.
+    whole, in time that grows as they do (folds over n matches copy n * GROUP + (n / GROUP)**2
+    values); rows are judged alone, so ids, null or repeated, and ties do not matter; no
+    rows give no rows; own columns of the results' names give way to these, and columns
+    of any other name are kept.
     """
     model, thresholds = fitted(docs.sparkSession)
     own = [c for c in docs.columns if c.lower() not in ("pii_base", "pii_spans")]
-    safe = F.coalesce(F.col(text), F.lit(""))
-    df = docs.select(own).withColumn("_pii_text", safe)
-    t = F.col("_pii_text")
-    digit = t.rlike("[0-9]")
-    df = _find(df, "_pii_text", BASE, "_b", {"email": t.contains("@"), "ip": digit, "card": digit, "phone": t.contains("+")})
-    bracket = t.rlike(r"[\[({] ?(?:at|AT) ?[\])}]")
-    df = _find(df, "_pii_text", CANDIDATES, "_c", {"email": bracket, "ip": t.contains(":"), "card": digit, "phone": digit})
+    rows = docs.select(F.struct(*(docs[c] for c in own)).alias("row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
+    t = F.col("t")
+    digit, bracket = t.rlike("[0-9]"), t.rlike(r"[\[({] ?(?:at|AT) ?[\])}]")
+    need = {"email": t.contains("@"), "ip": digit & t.contains("."), "card": digit, "phone": t.contains("+")}
+    wider = {"email": bracket, "ip": digit & t.contains(":"), "card": digit, "phone": digit}
 
     def span(k: str, x: Column) -> Column:
         return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
 
-    base = [F.transform(F.filter(F.col(f"_b_{k}"), _passing(k)), partial(span, k)) for k in KINDS]
-    df = df.withColumn("pii_base", F.concat(*base))
+    base = [F.transform(F.filter(_find(t, k, BASE[k], need[k]), _passing(k)), partial(span, k)) for k in KINDS]
+    rows = rows.withColumn("base", F.concat(*base)).withColumns({k: _find(t, k, CANDIDATES[k], wider[k]) for k in KINDS})
 
-    def candidate(k: str, x: Column) -> Column:
-        first = F.greatest(x["start"] - CONTEXT, F.lit(0))
-        before = F.substring(t, (first + 1).cast("int"), (x["start"] - first).cast("int"))
+    def candidate(k: str, pieces: Column, x: Column) -> Column:
+        before = _stretch(pieces, F.greatest(x["start"] - CONTEXT, F.lit(0)), x["start"])
         numbers = (c.alias(n) for n, c in zip(FEATURES, _features(k, x["match"], before), strict=True))
         return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(thresholds[k]).alias("least"), *numbers)
 
-    def scored(x: Column) -> Column:
+    def judged(x: Column) -> Column:
         p = score(model, [x[n] for n in FEATURES])
-        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["least"].alias("least"), p.alias("score"))
-
-    free = lambda x: ~F.exists("pii_base", lambda b: _overlap(x, b))
-    proposed = [F.transform(F.filter(F.col(f"_c_{k}"), free), partial(candidate, k)) for k in KINDS]
-    df = df.withColumn("_proposed", F.concat(*proposed)).withColumn("_scored", F.transform("_proposed", scored))
-    df = df.withColumn("_scored", F.filter("_scored", lambda x: x["score"] >= x["least"]))
-    order = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
-    better = lambda a, b: _overlap(a, b) & ((a["score"] > b["score"]) | ((a["score"] == b["score"]) & (order(a) < order(b))))
-    chosen = F.filter("_scored", lambda x: ~F.exists("_scored", lambda y: better(y, x)))
-    df = df.withColumn("_all", F.concat("pii_base", F.transform(chosen, lambda x: F.struct(x["kind"], x["start"], x["end"]))))
+        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.when(p >= x["least"], p).alias("score"))
+
+    def scored(pieces: Column) -> Column:
+        proposed = F.concat(*(F.transform(F.col(k), partial(candidate, k, pieces)) for k in KINDS))
+        return F.filter(F.transform(proposed, judged), lambda x: x["score"].isNotNull())
+
+    plain = f"array<{SPAN}>"
+    some = reduce(Column.__or__, (F.size(k) > 0 for k in KINDS))
+    none = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint,score:double>>)")
+    rows = rows.withColumn("scored", F.when(some, _let(_pieces(t), scored)).otherwise(none))
+    chosen = F.when(F.size("scored") > 0, _best(_free(F.col("scored"), F.col("base")))).otherwise(none)
+    added = F.transform(chosen, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    rows = rows.withColumn("every", F.concat("base", added))
     of_kind = lambda k: lambda x: x["kind"] == k
-    in_order = F.concat(*(F.array_sort(F.filter("_all", of_kind(k))) for k in KINDS))
-    return df.withColumn("pii_spans", in_order).select(*own, "pii_base", "pii_spans")
+    in_order = F.concat(*(F.array_sort(F.filter("every", of_kind(k))) for k in KINDS))
+    out = [F.col("row")[c].alias(c) for c in own]
+    return rows.select(*out, F.col("base").cast(plain).alias("pii_base"), in_order.cast(plain).alias("pii_spans"))
 
 
 def digest(spans: str) -> Column:
@@ -280,19 +362,33 @@ def digest(spans: str) -> Column:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of personal data replaced by its kind in brackets, such as [EMAIL].
 
-    Spans that overlap are replaced together, under the kind of the one that starts first.
-    Null texts stay null.
+    Spans that overlap are replaced together, under the kind of the one that starts
+    first (of two that start together, the longer one).
+
+    Defined cases: null texts stay null, empty ones empty; texts of any length are
+    redacted whole, in time that grows as they do; rows are judged alone, so repeated
+    rows and null ids are redacted alike; no rows give no rows; all columns of docs but
+    the text are returned as they are, also ones named as an intermediate result.
     """
-    found = find_personal_data(docs, text)
-    spans = F.array_sort("pii_spans", lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(b["end"] - a["end"]).cast("int")))
-
-    def step(acc: Column, x: Column) -> Column:
-        between = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        fresh = F.struct(x["end"].alias("at"), F.concat(acc["parts"], F.array(between, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("parts"))
-        longer = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["parts"].alias("parts"))
-        return F.when(x["start"] < acc["at"], longer).otherwise(fresh)
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-    end = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    clean = F.when(F.size("pii_spans") == 0, F.col(text)).otherwise(F.aggregate("_sorted", zero, step, end))
-    return found.withColumn("_sorted", spans).withColumn(text, clean).select([c for c in found.columns if c not in ("pii_base", "pii_spans")])
+    taken = {c.lower() for c in docs.columns}
+    own = next(n for i in range(len(taken) + 1) if (n := f"spans{i}") not in taken)
+    kept = [c for c in docs.columns if c.lower() in ("pii_base", "pii_spans")]
+    held = docs.select(*(c for c in docs.columns if c not in kept), F.struct(F.lit(1), *kept).alias(own))
+    found = find_personal_data(held, text)
+    by_start = lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(b["end"] - a["end"]).cast("int"))
+    none = F.expr("cast(array() as array<string>)")
+
+    def clean(pieces: Column, spans: Column) -> Column:
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            fresh = F.array(_stretch(pieces, at, x["start"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
+            return F.greatest(at, x["end"]), F.when(x["start"] < at, none).otherwise(fresh)
+
+        length = F.length(F.col(text)).cast("long")
+        ended = F.concat(spans, F.array(F.struct(F.lit("").alias("kind"), length.alias("start"), length.alias("end"))))
+        # the closing span adds what follows the last one, and empty brackets that go again
+        return _let(_folded(ended, F.lit(0).cast("long"), step, "array<string>"), lambda p: F.array_join(F.slice(p, F.lit(1), F.size(p) - 1), ""))
+
+    spans = F.array_sort("pii_spans", by_start)
+    new = F.when(F.size("pii_spans") == 0, F.col(text)).otherwise(_let(_pieces(F.col(text)), lambda p: _let(spans, lambda s: clean(p, s))))
+    found = found.withColumn(text, new)
+    return found.select(*(F.col(own)[c].alias(c) if c in kept else F.col(c) for c in docs.columns))
