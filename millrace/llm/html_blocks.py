@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,10 @@ CLOSES = {
 }
 PATH_DIMS, WORD_DIMS, OTHER_DIMS = 256, 32, 8
 DIMS = PATH_DIMS + WORD_DIMS + OTHER_DIMS
+#: Elements of a tag path that are looked at, from the block outwards; the weight of the next would be under 0.06.
+PATH_DEPTH = 64
 _paths: dict[tuple, np.ndarray] = {}
+_elements: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 @dataclass
@@ -50,10 +54,16 @@ def _names(tag: str, attributes: str) -> str:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """All blocks with text, in page order, white space collapsed and references decoded."""
+    """All blocks with text, in page order, white space collapsed and references decoded.
+
+    Time and memory grow as the page does, whatever stands in it: blocks share the
+    PATH_DEPTH nearest elements of their paths, and what follows the last > holds no tag.
+    """
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()
+    shared: dict[tuple[str, ...], tuple[str, ...]] = {}
     parts: list[str] = []
     linked = in_link = 0
     lower: str | None = None
@@ -62,31 +72,38 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(tuple(names for _, names in stack), text, linked))
+            path = tuple(names for _, names in stack[-PATH_DEPTH:])
+            out.append(Block(shared.setdefault(path, path), text, linked))
         parts.clear()
         linked = 0
 
-    at = 0
+    def close() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
+    at, past_tags = 0, page.rfind(">") + 1
     while at < len(page):
-        m = _TAG.search(page, at)
-        piece = page[at : m.start()] if m else page[at:]
+        m = _TAG.search(page, at, past_tags) if at < past_tags else None
+        comment = -1 if m else page.find("<!--", at)  # one without an end hides the rest
+        piece = page[at : m.start()] if m else page[at : comment if comment >= 0 else len(page)]
         if piece:
             piece = html.unescape(piece) if "&" in piece else piece
             parts.append(piece)
             linked += len(piece) if in_link else 0
         if not m:
             break
-        at = m.end()
+        at = len(page) if m[0].startswith("<!--") and not m[0].endswith("-->") else m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         closing = (m[1] or m[4]) == "/"
         if tag in RAW and not closing:
+            if (m[3] or m[6] or "").endswith("/") and tag in ("svg", "math", "object", "iframe"):
+                continue
             lower = page.lower() if lower is None else lower
             lower = lower if len(lower) == len(page) else None
             found = lower.find(f"</{tag}", at) if lower is not None else _find_end(page, tag, at)
-            if (m[3] or m[6] or "").endswith("/") and tag in ("svg", "math", "object", "iframe"):
-                continue
             at = len(page) if found < 0 else found
         elif tag == "br":
             parts.append(" ")
@@ -95,18 +112,19 @@ def blocks(page: str | None) -> list[Block]:
         elif tag in BLOCK:
             end_block()
             if closing:
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
+                if opened[tag]:
+                    while close() != tag:
                         pass
             else:
                 if tag not in CLOSES:
                     if stack and stack[-1][0] == "p":
-                        stack.pop()
+                        close()
                 else:
                     while stack and stack[-1][0] in CLOSES[tag]:
-                        stack.pop()
+                        close()
                 if tag not in VOID:
                     stack.append((tag, _names(tag, m[3] or m[6] or "")))
+                    opened[tag] += 1
     end_block()
     return out
 
@@ -116,14 +134,26 @@ def _find_end(page: str, tag: str, at: int) -> int:
     return m.start() if m else -1
 
 
+def _element(names: str) -> tuple[np.ndarray, np.ndarray]:
+    """Cells that the tag and the names of an element hash to, and how many to each."""
+    known = _elements.get(names)
+    if known is None:
+        hashed = [zlib.crc32(f"{'n' if i else 't'}{name}".encode()) % PATH_DIMS for i, name in enumerate(names.split())]
+        cells, n = np.unique(hashed, return_counts=True)
+        if len(_elements) > 20_000:
+            _elements.clear()
+        _elements[names] = known = cells, n.astype(np.float32)
+    return known
+
+
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     """Hashed tags and names of the path; what is nearer to the block weighs more."""
     known = _paths.get(path)
     if known is None:
         known = np.zeros(PATH_DIMS, np.float32)
         for depth, names in enumerate(reversed(path)):
-            for i, name in enumerate(names.split()):
-                known[zlib.crc32(f"{'n' if i else 't'}{name}".encode()) % PATH_DIMS] += 1.0 / (1 + 0.25 * depth)
+            cells, n = _element(names)
+            known[cells] += n / np.float32(1 + 0.25 * depth)
         np.minimum(known, 2.0, out=known)
         if len(_paths) > 20_000:
             _paths.clear()

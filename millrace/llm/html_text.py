@@ -82,6 +82,8 @@ class Labeller:
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Block vectors of some pages as (time, page, DIMS), and which of them are there."""
     longest = max(map(len, pages))
+    if len(pages) == 1:  # as it lies
+        return pages[0][:, None, :], np.ones((longest, 1), bool)
     x, mask = np.zeros((longest, len(pages), DIMS), np.float32), np.zeros((longest, len(pages)), bool)
     for i, p in enumerate(pages):
         x[: len(p), i], mask[: len(p), i] = p, True
@@ -309,8 +311,9 @@ def extract_main_text(pages: DataFrame, html: str = "html", keep: list[str] | No
     the sample.  One pass, no shuffle.
 
     Defined cases: a null or empty page, and one without main text, has an empty text; a
-    page of any length is read whole; broken and unclosed markup is read as far as it
-    goes; rows are judged alone; own columns named text or n_chars give way to these.
+    page of any length is read whole, in time and memory that grow as it does (about 2 KB
+    for each block); broken and unclosed markup is read as far as it goes; no rows give no
+    rows; rows are judged alone; own columns named text or n_chars give way to these.
     """
     frozen = pickle.dumps((model or fitted()).weights)
     key = hashlib.sha256(frozen).hexdigest()

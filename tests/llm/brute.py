@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+from html.parser import HTMLParser
 
 import xxhash
 
@@ -213,3 +214,77 @@ def kneser_ney(train):
         return sum(parts) / len(parts) if parts else None
 
     return loss
+
+
+class _Plain(HTMLParser):
+    """Blocks of well-formed pages, one event at a time."""
+
+    def __init__(self, block, raw, void, closes):
+        super().__init__(convert_charrefs=True)
+        self.block, self.raw, self.void, self.closes = block, raw, void, closes
+        self.found, self.stack, self.text, self.hidden = [], [], "", 0
+
+    def flush(self):
+        if words := self.text.split():
+            self.found.append((tuple(self.stack), " ".join(words)))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.raw:
+            self.hidden += 1
+        if self.hidden:
+            return
+        if tag == "br":
+            self.text += " "
+        if tag in self.block:
+            self.flush()
+            while self.stack and self.stack[-1].split()[0] in self.closes.get(tag, {"p"}):
+                self.stack.pop()
+                if tag not in self.closes:
+                    break
+            if tag not in self.void:
+                names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
+                self.stack.append(" ".join([tag, *re.findall("[a-z]+", names)]))
+
+    def handle_endtag(self, tag):
+        if tag in self.raw:
+            self.hidden -= 1
+        elif not self.hidden and tag in self.block:
+            self.flush()
+            if any(s.split()[0] == tag for s in self.stack):
+                while self.stack.pop().split()[0] != tag:
+                    pass
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text += data
+
+
+def blocks(page, *sets):
+    """(path, text) of each block of a well-formed page."""
+    reader = _Plain(*sets)
+    reader.feed(page or "")
+    reader.close()
+    reader.flush()
+    return reader.found
+
+
+def labels(weights, vectors, hidden):
+    """Probability of each block of one page by a bidirectional LSTM, number by number."""
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+
+    def direction(d, order):
+        w, u, b = (weights[f"{d}{k}"].tolist() for k in "wub")
+        h, c, out = [0.0] * hidden, [0.0] * hidden, {}
+        for t in order:
+            x = [(i, v) for i, v in enumerate(vectors[t].tolist()) if v]
+            z = [b[j] + sum(v * w[i][j] for i, v in x) + sum(h[i] * u[i][j] for i in range(hidden)) for j in range(4 * hidden)]
+            gate = lambda k: z[k * hidden : (k + 1) * hidden]  # noqa: E731, B023
+            c = [sigmoid(f) * old + sigmoid(i) * math.tanh(g) for i, f, g, old in zip(gate(0), gate(1), gate(3), c, strict=True)]
+            h = [sigmoid(o) * math.tanh(v) for o, v in zip(gate(2), c, strict=True)]
+            out[t] = h
+        return out
+
+    n, v = len(vectors), weights["v"].tolist()
+    one, two = direction("f", range(n)), direction("b", range(n - 1, -1, -1))
+    return [sigmoid(sum(a * b for a, b in zip([*one[t], *two[t]], v, strict=True)) + float(weights["a"])) for t in range(n)]

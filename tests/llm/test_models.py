@@ -2,6 +2,8 @@
 
 import gzip
 import io
+import time
+import tracemalloc
 from collections import Counter
 
 import brute
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.llm import html_text, packing, warc
 from millrace.llm.cross_entropy import score_documents
 from millrace.llm.hashing import chunks
-from millrace.llm.html_blocks import blocks
+from millrace.llm.html_blocks import BLOCK, CLOSES, RAW, VOID, blocks, vectors
 from millrace.llm.kneser_ney import classify_quality, fit
 from millrace.llm.ngrams import Lookup, trusted_sample
 
@@ -125,6 +127,45 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in blocks("x" * 300_000)] == ["x" * 300_000]
 
 
+def test_blocks_agree_with_a_plain_parser(spark):
+    rng = np.random.default_rng(3)
+    pages = [r.html for r in read(spark, "pages").collect()] + [html_text.seed_page(rng)[0] for _ in range(150)]
+    for page in pages:
+        assert [(b.path, b.text) for b in blocks(page)] == brute.blocks(page, BLOCK, RAW, VOID, CLOSES)
+
+
+def test_labels_agree_with_a_plain_loop():
+    rng = np.random.default_rng(4)
+    model = html_text.fitted()
+    found = [f for _ in range(6) if (f := blocks(html_text.seed_page(rng)[0]))]
+    for page in found:
+        x, mask = html_text.padded([vectors(page)])
+        assert model.probabilities(x, mask)[:, 0] == pytest.approx(brute.labels(model.weights, vectors(page), html_text.HIDDEN), abs=1e-4)
+    both, mask = html_text.padded([vectors(p) for p in found])  # and in one padded batch
+    for i, page in enumerate(found):
+        alone, own = html_text.padded([vectors(page)])
+        assert model.probabilities(both, mask)[: len(page), i] == pytest.approx(model.probabilities(alone, own)[:, 0], abs=1e-5)
+
+
+HOSTILE = {
+    "nested": "<div>x" * 170_000, "unended": "<a" * 500_000, "closings": "<div>" * 80_000 + "</p>" * 80_000 + "end", "quotes": "<a '\">" * 150_000,
+    "drawings": "x<svg/>" * 140_000, "comment": "a<!--" * 200_000, "names": f'<div class="{"ab " * 150_000}">' + "".join(f"<p id=n{'a' * (i % 50)}>x" for i in range(40_000)),
+}
+
+
+@pytest.mark.parametrize("name", list(HOSTILE))
+def test_hostile_pages_take_time_and_memory_in_proportion(name):
+    """A megabyte each: within a minute, and within a gigabyte for the blocks, paths and vectors of 170 000 blocks."""
+    began = time.perf_counter()
+    tracemalloc.start()
+    found = blocks(HOSTILE[name])
+    vectors(found)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.perf_counter() - began < 60 and most < 1e9
+    assert len(found) == {"nested": 170_000, "unended": 1, "closings": 1, "drawings": 1, "comment": 1, "names": 40_000}.get(name, len(found))
+
+
 def test_labeller_on_pages_it_has_not_seen():
     model = html_text.fitted()
     right = total = 0
