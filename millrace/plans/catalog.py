@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import etl, files, relational, streams, textual  # noqa: F401  they register their queries
+from . import cleaning, etl, files, relational, streams, textual  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
