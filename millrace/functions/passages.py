@@ -1,8 +1,7 @@
-"""Per-text work that no expression does: chunks, hashed embeddings, account addresses, name redaction."""
+"""Per-text work that no expression does: chunks and hashed embeddings."""
 
 import hashlib
 import re
-from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
@@ -14,24 +13,32 @@ from .text import STOP_WORDS
 SIZE, OVERLAP, SMALLEST, DIMS = 900, 150, 80, 512
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n{2,}")
 _TOKEN = re.compile(r"[a-z0-9]+")
-#: Hosts of platforms and their names.
-PLATFORMS = {"youtube.com": "youtube", "twitter.com": "x", "x.com": "x", "facebook.com": "facebook", "instagram.com": "instagram", "linkedin.com": "linkedin"}
-_NAME = re.compile(r"\b(Mr|Mrs|Ms|Dr|Prof|Shri|Smt)\.? +[A-Z][\w'-]+(?: +[A-Z][\w'-]+){0,2}")
+
+
+def lines_of(text: str) -> str:
+    """Lines with single blanks; one empty line at most between two."""
+    lines = (" ".join(line.split()) for line in (text or "").splitlines())
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
 def chunks_of(text: str) -> list[str]:
-    """Sentences packed to SIZE characters; a chunk starts with the last OVERLAP of the one before it."""
-    pieces: list[str] = []
-    for sentence in _SENTENCE.split(text or ""):
-        sentence = " ".join(sentence.split())
-        pieces += [sentence[i : i + SIZE] for i in range(0, len(sentence), SIZE)]
+    """Sentences and paragraphs packed to SIZE characters; each chunk starts with the last OVERLAP characters of the one before it.
+
+    A chunk under SMALLEST characters (mostly a heading) takes what follows, whatever its length; what is
+    longer than SIZE is cut there.
+    """
     out: list[str] = []
     held = ""
-    for piece in pieces:
-        if held and len(held) + 1 + len(piece) > SIZE and len(held) >= SMALLEST:
+    for piece in filter(str.strip, _SENTENCE.split(lines_of(text))):
+        joined = f"{held} {piece}".strip()
+        if len(held) >= SMALLEST and len(joined) > SIZE:
             out.append(held)
-            held = held[-OVERLAP:].partition(" ")[2]
-        held = f"{held} {piece}".strip()
+            joined = f"{held[-OVERLAP:]} {piece}".strip()
+        at = 0
+        while len(joined) - at > SIZE:
+            out.append(joined[at : at + SIZE])
+            at += SIZE - OVERLAP
+        held = joined[at:]
     return out + [held] if held else out
 
 
@@ -56,38 +63,3 @@ def embedded(texts: pd.Series) -> pd.Series:
     return texts.map(embedding)
 
 
-@pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("platform", "handle", "asset_key")]))
-def account(urls: pd.Series) -> pd.DataFrame:
-    """Platform, handle and key of an address; other sites are 'web' by host."""
-    rows = []
-    for url in urls:
-        try:
-            parts = urlsplit(url or "")
-            host = (parts.hostname or "").removeprefix("www.").removeprefix("m.")
-        except ValueError:
-            rows.append((None, None, None))
-            continue
-        handle = parts.path.strip("/").split("/")[0].lstrip("@").lower()
-        platform = PLATFORMS.get(host, "web" if host else None)
-        rows.append((platform, handle or None, f"{platform}:{handle}" if platform not in ("web", None) else f"web:{host}" if host else None))
-    return pd.DataFrame(rows, columns=["platform", "handle", "asset_key"])
-
-
-@pandas_udf(T.StringType())
-def without_names(texts: pd.Series) -> pd.Series:
-    """Names after an honorific become [name]."""
-    return texts.map(lambda t: _NAME.sub(r"\1 [name]", t) if t else t)
-
-
-@pandas_udf(T.ArrayType(T.StringType()))
-def look_alikes(names: pd.Series) -> pd.Series:
-    """Names one slip away: a letter less, two exchanged or doubled, 0 for o, 1 for l, rn for m."""
-
-    def variants(name: str | None) -> list[str]:
-        n = name or ""
-        out = {n[:i] + n[i + 1 :] for i in range(len(n))} | {n[: i + 1] + n[i:] for i in range(len(n))}
-        out |= {n[:i] + n[i + 1] + n[i] + n[i + 2 :] for i in range(len(n) - 1)}
-        out |= {n.replace(a, b) for a, b in (("o", "0"), ("l", "1"), ("m", "rn"))}
-        return sorted(out - {n, ""})
-
-    return names.map(variants)

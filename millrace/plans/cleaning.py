@@ -142,8 +142,8 @@ _SHORT = "['%d-%b-%y', '%d/%m/%y', '%d-%m-%y']"
 
 @query(
     f"""select c_custkey, clean, coalesce(clean is not null and not a = b and a <= 12 and b <= 12, false) as ambiguous from (
-      select c_custkey, cast(case when regexp_matches(t, '\d{{4}}') then try_strptime(t, {_LONG}) else try_strptime(t, {_SHORT}) end as date) as clean,
-        try_cast(regexp_extract(t, '^(\d{{1,2}})[-/.](\d{{1,2}})[-/.]\d{{2,4}}$', 1) as integer) as a, try_cast(regexp_extract(t, '^(\d{{1,2}})[-/.](\d{{1,2}})[-/.]\d{{2,4}}$', 2) as integer) as b
+      select c_custkey, cast(case when regexp_matches(t, '\\d{{4}}') then try_strptime(t, {_LONG}) else try_strptime(t, {_SHORT}) end as date) as clean,
+        try_cast(regexp_extract(t, '^(\\d{{1,2}})[-/.](\\d{{1,2}})[-/.]\\d{{2,4}}$', 1) as integer) as a, try_cast(regexp_extract(t, '^(\\d{{1,2}})[-/.](\\d{{1,2}})[-/.]\\d{{2,4}}$', 2) as integer) as b
       from (select c_custkey, {_WS} as t from {_dealt(DATES)}))"""
 )
 def clean_date(spark, sf):

@@ -28,16 +28,16 @@ _BM25 = f"""{_DOC_TOKENS}, asked as (select item_id, unnest(list_distinct({_TOKE
     from post join df using (token) join asked using (token), stats group by 1, 2)"""
 
 
-def _bm25(spark, sf):
-    return rank.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark").withColumnRenamed("text", "question"), "doc_id", "text", "item_id", "question")
-
-
 @query(f"""with {_BM25} select item_id, doc_id, score, n as "rank" from (select *, row_number() over (partition by item_id order by score desc, doc_id) n from scored) where n <= 10""")
 def bm25_rank(spark, sf):
-    return rank.top_k(_bm25(spark, sf), "item_id", "doc_id", "score", 10)
+    return rank.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", 10)
 
 
-_RELEVANT = """relevant as (select item_id, doc_id from benchmark join documents d on contains(d.text, benchmark.text[:60]))"""
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+_RUNS = "unnest(list_transform(range(1, greatest(len(w) - n + 1, 1) + 1), lambda i: array_to_string(w[i : i + n - 1], ' ')))"
+_RELEVANT = f"""iw as (select item_id, w, least(len(w), 8) n from (select item_id, {_WORDS} w from benchmark) where len(w) > 0), ir as (select distinct item_id, n, {_RUNS} as run from iw),
+  dr as (select distinct doc_id, n, {_RUNS} as run from (select doc_id, {_WORDS} w, n from documents, (select distinct n from iw)) where len(w) >= n),
+  relevant as (select distinct item_id, doc_id from ir join dr using (n, run))"""
 
 
 @query(f"""with {_BM25}, ranked as (select * from (select *, row_number() over (partition by item_id order by score desc, doc_id) k from scored) where k <= 10), {_RELEVANT},
@@ -46,9 +46,7 @@ _RELEVANT = """relevant as (select item_id, doc_id from benchmark join documents
   select item_id, cast(coalesce(h, 0) > 0 as integer) hit, round(coalesce(h, 0) / w, 4) recall, round(coalesce(h, 0) / 10, 4) as precision, round(coalesce(1 / f, 0), 4) mrr,
     round(coalesce(g, 0) / (select sum(1 / log2(i + 1)) from range(1, 1 + least(w, 10)) r(i)), 4) ndcg from totals left join hits using (item_id)""")
 def retrieval_metrics(spark, sf):
-    heads = F.broadcast(table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 60).alias("head")))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    relevant = docs.join(heads, F.col("text").contains(F.col("head"))).select("item_id", "doc_id")
+    relevant = rank.mentions(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
     return rank.retrieval_metrics(bm25_rank(spark, sf), relevant, "item_id", "doc_id", 10)
 
 
@@ -64,43 +62,43 @@ def cosine_topk(spark, sf):
 @query()
 def hybrid_search(spark, sf):
     """The passages nearest to each benchmark question, by hashed embeddings and shared tokens."""
-    chunks = table(spark, sf, "documents").select("doc_id", F.posexplode(passages.chunked("text")).alias("chunk", "passage"))
-    chunks = chunks.select("doc_id", "chunk", passages.embedded("passage").alias("_v"), F.array_distinct(text.tokens(F.col("passage"))).alias("_t"))
-    asked = table(spark, sf, "benchmark").where("item_id % 10 = 0").select(
-        "item_id", passages.embedded("text").alias("_q"), F.array_distinct(text.tokens(F.col("text"))).alias("_w"))
-    scored = chunks.crossJoin(F.broadcast(asked)).withColumn("score", rank.hybrid(text.dot(F.col("_v"), F.col("_q")), F.col("_w"), F.col("_t")))
-    scored = scored.where("score > 0").select("item_id", F.concat_ws("#", "doc_id", "chunk").alias("passage"), "score")
-    return rank.top_k(scored, "item_id", "passage", "score", 10)
+    return rank.hybrid_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", 10)
 
 
 @query()
-def chunk_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(passages.chunked("text")).alias("chunk", "passage"))
+def retrieved_passages(spark, sf):
+    """Candidates of the hybrid search, ranked again by BM25 among them, coverage and word pairs."""
+    return rank.retrieve(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 @query()
-def hashing_embedding(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", passages.embedded("text").alias("embedding"))
+def cited_answers(spark, sf):
+    return rank.answers(retrieved_passages(spark, sf), "item_id", "doc_id")
 
 
-_TOPICS = {"licence": ["license", "licence", "copyright"], "article": ["the", "der", "les"], "price": ["token", "key"]}
+@query(
+    f"""with d as (select item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 1 and t not in ({_STOPS})) t from benchmark),
+  p as (select a.item_id, a.t own, b.t want from d a join d b on b.item_id = a.item_id + 1), u as (select item_id, unnest(list_distinct(own)) w, own, want from p),
+  s as (select item_id, sum(least(len(list_filter(own, lambda x: x = w)), len(list_filter(want, lambda x: x = w)))) shared from u group by 1)
+  select p.item_id, case when len(want) > 0 then round(coalesce(case when shared > 0 then 2 * shared / (len(own) + len(want)) end, 0), 4) end token_f1, case when p.item_id % 3 > 0 then round(1 / (p.item_id % 3), 4) end citation_validity
+  from p left join s using (item_id)"""
+)
+def answer_metrics(spark, sf):
+    """Each benchmark item held against the next as its reference; one of its citations is given."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("answer"))
+    pairs = items.join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("answer").alias("reference")), "item_id")
+    cited = pairs.withColumns({"cited": F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (F.col("item_id") % 3).cast("int")), "given": F.array(F.lit("a"), F.lit("c"))})
+    return rank.generation_metrics(cited, "answer", "reference", "cited", "given").select("item_id", "token_f1", "citation_validity")
 
 
-@query("""select doc_id, list_filter([case when regexp_matches(lower(text), '(^|[^a-z0-9])(license|licence|copyright)s?([^a-z0-9]|$)') then 'licence' end,
-  case when regexp_matches(lower(text), '(^|[^a-z0-9])(the|der|les)s?([^a-z0-9]|$)') then 'article' end,
-  case when regexp_matches(lower(text), '(^|[^a-z0-9])(token|key)s?([^a-z0-9]|$)') then 'price' end], lambda x: x is not null) as tags from documents""")
-def topic_tags(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.tags(F.col("text"), _TOPICS).alias("tags"))
+@query()
+def chunk_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(passages.chunked("text")).alias("chunk", "passage"))
 
 
-@query("""select doc_id, case when source = 'src0' then round(0.4 + 0.4 * (cast(contains(lower(text), 'the') as integer) + cast(contains(lower(text), 'token') as integer)) / 2
-  + case when regexp_matches(lower(text), '(^|[^a-z0-9])(license|licence|copyright)s?([^a-z0-9]|$)') then 0.2
-      when regexp_matches(lower(text), '(^|[^a-z0-9])(the|der|les)s?([^a-z0-9]|$)') or regexp_matches(lower(text), '(^|[^a-z0-9])(token|key)s?([^a-z0-9]|$)') then 0.1 else 0 end, 4) else 0 end as score from documents""")
-def relevance_scores(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("tags", text.tags(F.col("text"), _TOPICS))
-    terms = F.array(F.lit("the"), F.lit("token"))
-    score = text.overlap_score(terms, F.lower("text"), F.col("source") == "src0", F.col("tags"), ["licence"])
-    return docs.select("doc_id", score.alias("score"))
+@query()
+def hashing_embedding(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", passages.embedded("text").alias("embedding"))
 
 
 _HOST = "regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1), '^www\\.', '')"
@@ -113,12 +111,6 @@ def canonical_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query(f"""select page_id, {_HOST} as domain, case when regexp_matches({_HOST}, '(^|\\.)(news|blog)\\.') then 'news' when regexp_matches({_HOST}, '\\.org$') then 'organisation' else 'other' end as source from pages""")
-def source_classes(spark, sf):
-    host = text.domain(F.col("url"))
-    return table(spark, sf, "pages").select("page_id", host.alias("domain"), text.source_class(host).alias("source"))
-
-
 @query("select page_id, cast(cast('0x' || substr(sha256(url), 1, 8) as bigint) % 100 < 20 as boolean) as holdout from pages")
 def holdout_split(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.in_holdout(F.col("url"), 20).alias("holdout"))
@@ -134,38 +126,6 @@ def page_text(spark, sf):
     return pages.page_text(table(spark, sf, "pages"))
 
 
-@query()
-def page_integrity(spark, sf):
-    """Links by area, those that are hidden, and a verdict for each page."""
-    own = table(spark, sf, "pages").select("page_id", text.domain(F.col("url")).alias("own"))
-    links = pages.page_links(table(spark, sf, "pages")).withColumn("host", text.domain(F.col("target"))).join(own, "page_id")
-    away = F.count_if((F.col("area") == "hidden") & (F.col("host") != F.col("own")))
-    return links.groupBy("page_id").agg(F.count("*").alias("links"), away.alias("hidden_away")).withColumn(
-        "verdict", F.when(F.col("hidden_away") >= 3, "compromised").when(F.col("hidden_away") > 0, "suspect").otherwise("clean"))
-
-
-@query()
-def account_addresses(spark, sf):
-    return table(spark, sf, "pages").select("page_id", passages.account("url").alias("a")).select("page_id", "a.*")
-
-
-@query()
-def name_redaction(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", passages.without_names(F.concat(F.lit("Dr. Anna Lee wrote: "), F.substring("text", 1, 200))).alias("text"))
-
-
-@query()
-def look_alike_names(spark, sf):
-    hosts = table(spark, sf, "pages").select(text.domain(F.col("url")).alias("host")).distinct()
-    return hosts.select("host", F.explode(passages.look_alikes(F.substring_index("host", ".", 1))).alias("variant"))
-
-
-@query("select event_id, case when v < 1000 then cast(v as varchar) else regexp_replace(cast(v // 1000 as varchar), '(\\d)(\\d\\d)$', '\\1,\\2') || ',' || lpad(cast(v % 1000 as varchar), 3, '0') end as money from (select event_id, event_id * 97 v from events where event_id * 97 < 1000000)")
-def grouped_money(spark, sf):
-    rows = table(spark, sf, "events").where("event_id * 97 < 1000000")
-    return rows.select("event_id", text.grouped_number((F.col("event_id") * 97).cast("double")).alias("money"))
-
-
 @query("select conv_id, turn, len(list_filter(['ignore', 'system', 'please'], lambda p: contains(lower(text), p))) as n from conversations")
 def untrusted_markers(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(text.warnings(F.col("text"), ["ignore", "system", "please"])).cast("long").alias("n"))
