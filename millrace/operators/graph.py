@@ -110,3 +110,81 @@ def removals(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Links whose last word was support and that a later clean fetch of their page no longer has."""
     last = links.groupBy("asset_id", "page").agg(F.max_by("polarity", "observed_at").alias("polarity"), F.max("observed_at").alias("observed_at"))
     return last.where("polarity = 'supports'").join(pages, "page").where(F.col("fetched_at") > F.col("observed_at")).select("asset_id", "page")
+
+
+#: Grades one step down, kinds whose channel corroborates, and kinds that need a source that vouches.
+STEP_DOWN = {"O": "A", "A": "B", "A-arch": "C", "B": "C", "C": "C"}
+CORROBORATING = ("search_snippet", "directory_record", "community_record", "hub_link", "reviewer_confirm", "backlink", "api_identity")
+VOUCHED = ("official_link", "hub_link", "subdomain", "backlink")
+
+
+def found_by(evidence: DataFrame) -> DataFrame:
+    """(source_asset_id, own_channels): the channels that support each asset that is a source of others."""
+    channel = F.when(F.col("kind") == "community_record", "community").otherwise(F.col("channel"))
+    held = evidence.where((F.col("polarity") == "supports") & F.col("kind").isin(*CORROBORATING))
+    return held.groupBy(F.col("asset_id").alias("source_asset_id")).agg(F.collect_set(channel).alias("own_channels"))  # channels are few
+
+
+def full_grades(evidence: DataFrame) -> DataFrame:
+    """Grades by the whole rule: (asset_id, rank, grade, channels, reason).
+
+    Cancelled supports: from a source that was refuted; a configured domain whose last word is a refutation;
+    all up to a change of identity; a link that a later fetch of its page no longer had; an owner's word taken
+    back.  A source that lost its anchor leaves links of before as archived, and hubs and subdomains as C.
+    D stands for a rejection, a look-alike, an impersonation, a hijacked or a parked page that no reviewer
+    confirmed after.  Two channels make B; a hub's channel is none where every source it came through stands
+    on channels that the asset has already.
+    """
+    asset, kind, at = Window.partitionBy("asset_id"), F.col("kind"), F.col("observed_at")
+    against, supports = F.col("polarity") == "refutes", F.col("polarity") == "supports"
+    last = lambda what, scope: F.max(F.when(what, at)).over(scope)
+    source = Window.partitionBy("asset_id", "source_asset_id")
+    rows = evidence.withColumns({
+        "_source_refuted": last(against & (kind == "source_refuted"), source).isNotNull() & F.col("source_asset_id").isNotNull(),
+        "_unconfigured": F.coalesce(last(against & (kind == "configured_domain"), asset) >= last(kind == "configured_domain", asset), F.lit(False)),
+        "_reassigned": last(against & (kind == "identity_changed"), asset),
+        "_withdrawn": last(against & (kind == "official_link"), Window.partitionBy("asset_id", "source_url")),
+        "_anchor_lost": last(against & (kind == "anchor_lost"), source),
+        "_owner_back": last(against & (kind == "owner_claim"), Window.partitionBy("asset_id", "channel")),
+        "_rejected": last(against & (kind.isin("reviewer_reject", "lookalike", "impersonation") | ((kind == "integrity") & F.col("detail").rlike("^(hijacked|parked)"))), asset),
+        "_confirmed": last(supports & (kind == "reviewer_confirm") & (F.col("observed_via") == "reviewer"), asset),
+    })
+    later = lambda c: F.coalesce(F.col(c) > at, F.lit(False))
+    stands = (
+        supports & ~(F.col("_source_refuted") & kind.isin(*VOUCHED)) & ~(F.col("_unconfigured") & (kind == "configured_domain"))
+        & F.coalesce(at > F.col("_reassigned"), F.lit(True)) & ~((kind == "official_link") & later("_withdrawn"))
+    )
+    stale = F.col("source_asset_id").isNotNull() & later("_anchor_lost")
+    via = F.when(stale & (kind == "official_link") & (F.col("observed_via") == "live"), "archive").otherwise(F.col("observed_via"))
+    first = F.substring_index("detail", ":", 1)
+    down = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in STEP_DOWN.items() for x in kv)), first), F.lit("C"))
+    grade = (
+        F.when(stale & kind.isin("hub_link", "subdomain"), "C")
+        .when((kind == "owner_claim") & (via == "owner") & ~F.coalesce(F.col("_owner_back") >= at, F.lit(False)), "O")
+        .when((kind == "official_link") & (via == "live"), F.when(first.isin("O", "A"), "A").when(first == "B", "B").otherwise("C"))
+        .when((kind == "official_link") & (via == "archive"), F.when(first.isin("O", "A", "A-arch"), "A-arch").otherwise("C"))
+        .when(kind == "official_link", "C")
+        .when(kind == "configured_domain", "A")
+        .when(kind == "hub_link", down)
+        .when((kind == "subdomain") & (via == "live"), down)
+        .when(kind == "directory_record", F.when(first == "authority", "A").otherwise("B"))
+        .when(kind == "reviewer_confirm", "B")
+        .when(kind.isin("api_identity", "search_snippet", "backlink", "community_record", "imported_claim"), "C")
+    )
+    channel = F.when(kind == "community_record", "community").otherwise(F.col("channel"))
+    counts = stands & kind.isin(*CORROBORATING) & ~(stale & kind.isin("hub_link", "subdomain"))
+    hub = counts & kind.isin("hub_link", "backlink") & F.col("source_asset_id").isNotNull()
+    marked = rows.withColumns({"_rank": F.when(stands, rank_of(grade)), "_channel": F.when(counts, channel), "_through": F.when(hub, F.col("source_asset_id"))})
+    sums = marked.groupBy("asset_id").agg(
+        F.max("_rank").alias("_best"), F.max_by("kind", F.struct("_rank", F.col("observed_at"))).alias("reason"), F.collect_set("_channel").alias("_all"),
+        F.coalesce(F.max("_rejected") >= F.coalesce(F.max("_confirmed"), F.lit("0001-01-01").cast("timestamp")), F.lit(False)).alias("_down"),
+    )
+    through = marked.where(F.col("_through").isNotNull()).select("asset_id", F.col("_channel").alias("_hub"), F.col("_through").alias("source_asset_id")).distinct()
+    doubtful = through.join(found_by(evidence), "source_asset_id", "left").join(sums.select("asset_id", "_all"), "asset_id")
+    others = F.array_remove("_all", F.col("_hub"))
+    leans = F.col("own_channels").isNotNull() & (F.size(F.array_except("own_channels", others)) == 0)
+    dropped = doubtful.groupBy("asset_id", "_hub").agg(F.bool_and(leans).alias("_leans")).where("_leans").groupBy("asset_id").agg(F.count(F.lit(1)).alias("_fewer"))
+    n = F.size("_all") - F.coalesce("_fewer", F.lit(0))
+    best = F.greatest(F.coalesce("_best", F.lit(1)), F.when(n >= 2, 3).otherwise(1))
+    rank = F.when(F.col("_down"), 0).otherwise(best)
+    return sums.join(dropped, "asset_id", "left").select("asset_id", rank.alias("rank"), grade_of(rank).alias("grade"), n.cast("long").alias("channels"), F.when(~F.col("_down") & F.col("_best").isNotNull(), F.col("reason")).alias("reason"))
