@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -13,10 +14,19 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .frames import cut, n_buckets, schema_of, with_text_columns
+from .hashing import Chunk, chunks, mix, windows, words
 
 SEED = 42
 #: Query-node pairs that a task looks at in one go.
 STEP_PAIRS = 1_000_000
+#: Of wide fingerprints: their bits, and those of a band; texts whose bits agree in a band meet in one tree.
+WIDE_BITS, BAND_BITS = 512, 16
+#: Shingles whose bits are added up at a time: their counts fit in 16 bits.
+STEP_SHINGLES = 60_000
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+#: The bits of a byte as eight numbers of 16 bits.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint16).view(np.uint64)
 
 
 def fingerprint(raw: bytes | None, n_words: int = 3) -> int:
@@ -49,17 +59,53 @@ def with_fingerprints(
     return with_text_columns(docs, text, f"{name} long", run, keep)
 
 
+def wide_fingerprints(column: pa.Array, n_words: int, bits: int) -> np.ndarray:
+    """A row of bits for each text, as 64-bit numbers: 1 where over half of its shingles' hashes have it; no words: zero."""
+    out = []
+    for chunk in chunks(column):
+        w = words(Chunk(chunk.first, _LOWER[chunk.buf], chunk.offsets))
+        hashes = w.hashes()
+        starts, keys = windows(hashes, w.doc, n_words)
+        parts = [(w.doc[starts], keys)]
+        for n in np.unique(w.counts[(w.counts > 0) & (w.counts < n_words)]).tolist():  # such texts are one shingle
+            starts, keys = windows(hashes, w.doc, n)
+            whole = w.counts[w.doc[starts]] == n
+            parts.append((w.doc[starts][whole], keys[whole]))
+        doc, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(doc, kind="stable")
+        doc, keys = doc[order], keys[order]
+        total = np.bincount(doc, minlength=chunk.n)
+        made = np.zeros((chunk.n, bits // 64), np.uint64)
+        for k in range(bits // 64):
+            spread = mix(keys + np.uint64((k + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+            counts = np.zeros((chunk.n, 64), np.int64)
+            for at in range(0, len(keys), STEP_SHINGLES):
+                own = doc[at : at + STEP_SHINGLES]
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                lanes = _LANES[spread[at : at + STEP_SHINGLES].view(np.uint8).reshape(-1, 8)].reshape(len(own), -1)
+                counts[own[first]] += np.add.reduceat(lanes, first, axis=0).view(np.uint16)
+            made[:, k] = np.packbits(2 * counts > total[:, None], axis=1).view(np.uint64).ravel()
+        out.append(made)
+    return np.concatenate(out) if out else np.zeros((0, bits // 64), np.uint64)
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of 64-bit numbers."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) if a.ndim > 1 else np.bitwise_count(a ^ b).astype(np.int64)
+
+
 def _trees(fps: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """BK-trees of many shards at once, level by level: children sorted by parent and distance.
 
     root: the item at the root of each item's tree.  Returns the children and their keys,
-    parent * 65 + distance; a parent has one child at most at each distance.
+    parent * span + distance; a parent has one child at most at each distance.
     """
+    span = _span(fps)
     at = root.copy()
     pending = np.flatnonzero(root != np.arange(len(fps)))
     children, keys = [], []
     while len(pending):
-        key = at[pending] * 65 + np.bitwise_count(fps[pending] ^ fps[at[pending]])
+        key = at[pending] * span + _distance(fps[pending], fps[at[pending]])
         key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         child = pending[first]
         children.append(child)
@@ -73,17 +119,24 @@ def _trees(fps: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return child[order], key[order]
 
 
-def _near(fps: np.ndarray, root: np.ndarray, query: np.ndarray, trees, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, item) within the radius, from each query's own tree, following only edges in reach."""
-    child, keys = trees
+def _span(fps: np.ndarray) -> int:
+    return 64 * (fps.shape[1] if fps.ndim > 1 else 1) + 1
+
+
+def _near(fps: np.ndarray, root: np.ndarray, query: np.ndarray, trees, radius: int, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, item) within the radius, from each query's own tree, following only edges in reach.
+
+    covered items are no queries, so pairs with them are found from the other side; other pairs once.
+    """
+    (child, keys), span = trees, _span(fps)
     node = root[query]
     found = []
     while len(query):
-        d = np.bitwise_count(fps[query] ^ fps[node]).astype(np.int64)
-        hit = (d <= radius) & (node < query)
+        d = _distance(fps[query], fps[node])
+        hit = (d <= radius) & ((node < query) | covered[node])
         found.append((query[hit], node[hit]))
-        low = np.searchsorted(keys, node * 65 + np.maximum(d - radius, 0))
-        high = np.searchsorted(keys, node * 65 + np.minimum(d + radius, 64), side="right")
+        low = np.searchsorted(keys, node * span + np.maximum(d - radius, 0))
+        high = np.searchsorted(keys, node * span + np.minimum(d + radius, span - 1), side="right")
         n = high - low
         query = np.repeat(query, n)
         node = child[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
@@ -105,44 +158,68 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = label[label]
 
 
+def _middles(fps: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The item at the root of each shard's tree: the first, or in large shards the one nearest to what most bits say."""
+    roots = start.copy()
+    for i in np.flatnonzero(sizes > 32):
+        own = fps[start[i] : start[i] + sizes[i]]
+        bits = np.unpackbits(np.ascontiguousarray(own).view(np.uint8).reshape(len(own), -1), axis=1)
+        most = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(own)).view(np.uint64)
+        roots[i] = start[i] + int(np.argmin(_distance(own, most if own.ndim > 1 else most[0])))
+    return roots
+
+
 def shard_links(shard: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of links (item, smallest item connected with it in its shard); rows are sorted by shard."""
-    start = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1 if len(shard) else 0))
+    """A spanning set of links between places (item, smallest item connected with it in its shard); rows are sorted by shard.
+
+    What lies within the radius of its tree's root is linked by that, and only the rest searches the
+    tree; so a shard of many near copies of one text costs little more than one look at each.
+    """
+    none = np.zeros(0, np.int64)
+    start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else none
     sizes = np.diff(np.append(start, len(shard)))
-    many = np.repeat(sizes > 1, sizes)
+    many = np.flatnonzero(np.repeat(sizes > 1, sizes))
     fps, sizes = fps[many], sizes[sizes > 1]
-    if not len(fps):
-        return fps, fps
-    root = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    if not len(many):
+        return none, none
+    begin = np.cumsum(sizes) - sizes
+    root = np.repeat(_middles(fps, begin, sizes), sizes)
     trees = _trees(fps, root)
+    covered = _distance(fps, fps[root]) <= radius
     label = np.arange(len(fps))
-    work = np.cumsum(np.repeat(sizes, sizes)) // STEP_PAIRS
-    for query in np.split(np.arange(len(fps)), np.flatnonzero(np.diff(work)) + 1):
-        _join(label, *_near(fps, root, query, trees, radius))
-    linked = label != np.arange(len(fps))
-    return fps[linked], fps[label[linked]]
+    _join(label, np.flatnonzero(covered), root[covered])
+    left = np.flatnonzero(~covered)
+    work = np.cumsum(np.repeat(sizes, sizes)[left]) // STEP_PAIRS
+    for query in np.split(left, np.flatnonzero(np.diff(work)) + 1):
+        if len(query):
+            _join(label, *_near(fps, root, query, trees, radius, covered))
+    linked = np.flatnonzero(label != np.arange(len(fps)))
+    return many[linked], many[label[linked]]
 
 
 def _search(radius: int):
+    """Links between the nodes of a shard; rows are (part, key, node, fingerprint), sorted by part and key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(shard: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            a, b = shard_links(shard, fps.view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        def links(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            tag, node, fps = (np.concatenate(x) for x in zip(*rows, strict=True))
+            a, b = shard_links(tag, fps, radius)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-        shard, fps = [], []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            part, key = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy()
-            tag = key.view(np.uint64) * np.uint64(2 * 31 + 1) + part  # rows are sorted by both; equal runs are one shard
-            shard.append(tag)
-            fps.append(batch.column(2).to_numpy())
+            part, key, node = (batch.column(i).to_numpy() for i in range(3))
+            tag = key.view(np.uint64) * np.uint64(2 * 31 + 1) + part.astype(np.uint64)  # equal runs are one shard
+            column = batch.column(3)
+            fps = column.to_numpy().view(np.uint64) if pa.types.is_integer(column.type) else np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(tag), -1)
+            held.append((tag, node, fps))
             last = np.flatnonzero(tag != tag[-1]) if len(tag) else []
             if len(last):  # all but the last shard, which may go on
-                tags, values = np.concatenate(shard), np.concatenate(fps)
-                to = len(tags) - (len(tag) - 1 - last[-1])
-                yield links(tags[:to], values[:to])
-                shard, fps = [tags[to:]], [values[to:]]
-        if shard and sum(map(len, shard)):
-            yield links(np.concatenate(shard), np.concatenate(fps))
+                cut_at = last[-1] + 1
+                yield links([*held[:-1], (tag[:cut_at], node[:cut_at], fps[:cut_at])])
+                held = [(tag[cut_at:], node[cut_at:], fps[cut_at:])]
+        if held and sum(len(h[0]) for h in held):
+            yield links(held)
 
     return run
 
@@ -165,7 +242,44 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     )
     parts = n_buckets(fps)
     dealt = dealt.repartition(parts, "part", "key").sortWithinPartitions("part", "key", "fp")
-    return dealt.select("part", "key", "fp").mapInArrow(_search(radius), schema_of("a long, b long"))
+    return dealt.select("part", "key", F.col("fp").alias("node"), "fp").mapInArrow(_search(radius), schema_of("a long, b long"))
+
+
+def wide_radius(similarity: float, bits: int = WIDE_BITS) -> int:
+    """Differing bits that texts of a Jaccard similarity have on average: their bits differ as the angle between their shingles."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def near_copies(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = 5, similarity: float = 0.8, bits: int = WIDE_BITS, band_bits: int = BAND_BITS
+) -> DataFrame:
+    """A row for each document: its id, component_id and root, by fingerprints of many bits, whose distance tells similarity.
+
+    Shingles of n_words words (A-Z in lower case) give fingerprints of bits bits; they link at
+    wide_radius(similarity) or fewer differing bits.  Equal ones are one node.  Each goes to a shard for
+    each of its bands of band_bits bits, with all that have the same bits there; a shard is a BK-tree.
+    Links share a band with high probability (with the defaults: at similarity 0.8 about 0.99, above that
+    nearly always); those that share none are not seen.
+
+    Defined cases: as near_duplicates(); texts with fewer than n_words words are one shingle; a text of
+    any length counts whole; other columns are not looked at.
+    """
+
+    def run(column: pa.Array) -> dict[str, object]:
+        return {"fp": pa.array([r.tobytes() for r in wide_fingerprints(column, n_words, bits)], pa.binary())}
+
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    fps = cut(with_text_columns(own, "text", "fp binary", run, ["doc_id"]).withColumn("node", F.xxhash64("fp")))
+    nodes = cut(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(bits // band_bits - 1)), lambda i: F.substring("fp", i * (band_bits // 8) + 1, F.lit(band_bits // 8)))
+    dealt = nodes.select("node", "fp", F.posexplode(bands).alias("part", "band"))
+    dealt = dealt.select("part", F.conv(F.hex("band"), 16, 10).cast("long").alias("key"), "node", "fp")
+    dealt = dealt.repartition(n_buckets(docs), "part", "key").sortWithinPartitions("part", "key", "node")
+    roots = components(dealt.mapInArrow(_search(wide_radius(similarity, bits)), schema_of("a long, b long")))
+    named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.select("node", "root").join(least, "root")
+    return fps.select("doc_id", "node").join(named, "node").select(F.col("doc_id").alias(doc_id), F.col("node").alias("fingerprint"), "component_id", "root")
 
 
 def near_duplicates(
@@ -194,20 +308,23 @@ def near_duplicates(
     )
 
 
-def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = 3, radius: int = 2) -> DataFrame:
-    """docs with one row of each near-duplicate component: the one with the smallest id.
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near_copies(): the one with the smallest id.
 
-    A row without id stays only if no row of its component has one; of several rows
-    with the id that stays, and of several such rows without id, one stays.
+    Defined cases: a row without id stays only if no row of its group has one; of several rows with the
+    id that stays, and of several such rows without id, one stays; null, empty and wordless texts are
+    copies of each other; texts of any length count whole; no rows give no rows; all columns are kept.
     """
-    found = cut(near_duplicates(docs, doc_id, text, n_words, radius))
+    found = cut(near_copies(docs, doc_id, text, n_words, similarity))
     stay = found.where(F.col(doc_id) == F.col("component_id"))
     kept = docs.join(stay.select(doc_id).distinct(), doc_id, "left_semi")
     if not stay.groupBy(doc_id).count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([doc_id])
-    nameless = found.where(F.col("component_id").isNull()).select("fingerprint", "root").distinct()
+    nameless = found.where(F.col("component_id").isNull()).select("root").distinct()
     if not nameless.isEmpty():
-        rows = with_fingerprints(docs.where(F.col(doc_id).isNull()), text, n_words, name="_fp")
-        rows = rows.withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).join(nameless, "fingerprint")
-        kept = kept.unionByName(rows.dropDuplicates(["root"]).select(docs.columns))
+        rows = docs.where(F.col(doc_id).isNull())
+        own = near_copies(rows.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_at"), F.col(text)).distinct(), "_at", text, n_words, similarity).select("_at", F.col("fingerprint").alias("_node"))
+        own = own.join(found.where(F.col(doc_id).isNull()).select(F.col("fingerprint").alias("_node"), F.col("root").alias("_root")).distinct(), "_node")
+        rows = rows.withColumn("_at", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(own.select("_at", "_root"), "_at").join(nameless.withColumnRenamed("root", "_root"), "_root")
+        kept = kept.unionByName(rows.dropDuplicates(["_root"]).select(docs.columns))
     return kept.select(docs.columns)

@@ -216,6 +216,28 @@ def kneser_ney(train):
     return loss
 
 
+def shingles(text, n=5):
+    w = [bytes(x).lower() for x in words(text)]
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def similar(rows, least):
+    """Components of texts whose shingle sets have a Jaccard similarity of least or more: a label for each row."""
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or (a and len(a & sets[j]) >= least * len(a | sets[j])):
+                label[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
 class _Plain(HTMLParser):
     """Blocks of well-formed pages, one event at a time."""
 

@@ -3,13 +3,14 @@
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm.contamination import decontaminate
 from millrace.llm.pii import find_personal_data, redact
 from millrace.llm.quality import QualityRules, quality_rules
-from millrace.llm.simhash import fingerprint_links, keep_one_of_each, near_duplicates
+from millrace.llm.simhash import fingerprint_links, keep_one_of_each, near_copies, near_duplicates, shard_links
 from millrace.llm.components import components
 from millrace.llm.substrings import remove_repeats
 
@@ -101,9 +102,55 @@ def test_links_of_a_dense_cluster(spark):
 
 
 def test_one_of_each_stays(docs, nasty):
-    found = brute.components(nasty)
-    kept = rows(keep_one_of_each(docs), "doc_id")
-    assert kept == Counter({(c,): 1 for _, _, c in found if c is not None})
+    label = brute.similar(nasty, 0.8)
+    assert label == brute.similar(nasty, 0.65)  # no pair is near the limit
+    least = [min((i for i, _ in (nasty[k] for k in range(len(nasty)) if label[k] == g) if i is not None), default=None) for g in set(label)]
+    assert rows(keep_one_of_each(docs), "doc_id") == Counter({(i,): 1 for i in least})
+
+
+def test_near_copies_are_those_of_like_shingles(spark, real):
+    plain = [tuple(r) for r in real.collect()]
+    group = {r.doc_id: r.component_id for r in near_copies(real).collect()}
+    sure, wide = brute.similar(plain, 0.9), brute.similar(plain, 0.65)
+    for labels, holds in ((sure, lambda a, b: group[a] == group[b]), ):
+        first = {}
+        for (i, _), g in zip(plain, labels, strict=True):
+            assert holds(i, first.setdefault(g, i))
+    inside = {i: g for (i, _), g in zip(plain, wide, strict=True)}
+    assert all(inside[i] == inside[c] for i, c in group.items())
+
+
+def test_near_copies_of_made_likeness(spark):
+    """Copies with single words changed, at known similarities: caught from 0.9 on, left alone under 0.6."""
+    import random
+
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts, like = [], []
+    for k in range(120):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(150, 600))]
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), int(len(copy) * rng.choice([0.004, 0.01, 0.1, 0.2]))):
+            copy[at] = rng.choice(vocabulary)
+        a, b = (brute.shingles(" ".join(x)) for x in (base, copy))
+        like.append(len(a & b) / len(a | b))
+        texts += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    group = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert sum(j >= 0.9 for j in like) > 30 and sum(j < 0.6 for j in like) > 30
+    for k, j in enumerate(like):
+        assert j < 0.9 or group[2 * k] == group[2 * k + 1]
+        assert j >= 0.6 or group[2 * k] != group[2 * k + 1]
+
+
+def test_a_shard_of_many_copies_is_linked_by_its_middle():
+    rng = np.random.default_rng(2)
+    center = rng.integers(0, 2**63, 8, np.uint64)
+    fps = np.repeat(center[None], 3000, axis=0)
+    for row in fps:
+        for bit in rng.choice(512, rng.integers(0, 40), replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    a, b = shard_links(np.zeros(3000, np.uint64), fps, 78)
+    assert sorted(a.tolist()) == list(range(1, 3000)) and set(b.tolist()) == {0}
 
 
 def test_a_component_without_ids_keeps_one(spark):
