@@ -1,0 +1,342 @@
+"""Tables inside files: kinds of files, encodings, delimiters, header rows, sheets and documents.
+
+Files are rows (path, content) as Spark's binaryFile source reads them; each is opened in the
+task that holds it, and its rows come out as records.  A file is bounded by MAX_BYTES.
+"""
+
+from __future__ import annotations
+
+import csv
+import io
+import json
+import re
+import zipfile
+from collections import Counter
+from collections.abc import Iterator
+from datetime import datetime, timedelta
+from decimal import Decimal
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+MAX_BYTES = 50_000_000
+#: What an archive may inflate to, in all and against its size.
+MAX_INFLATED, MAX_RATIO, RATIO_FROM = 200_000_000, 100, 1_000_000
+#: Encodings in the order in which they are tried, delimiters, rows that may hold a header.
+ENCODINGS = ("utf-8-sig", "utf-8", "utf-16", "cp1252", "latin-1")
+DELIMITERS = ",;\t|"
+HEADER_ROWS = 15
+#: First bytes (in hexadecimal) and extensions of the kinds of files.
+MAGIC = (("25504446", "pdf"), ("89504E47", "image"), ("FFD8FF", "image"), ("49492A00", "image"), ("4D4D002A", "image"), ("424D", "image"), ("52494646", "image"), ("D0CF11E0", "xls"))
+EXTENSIONS = {
+    "csv": "csv", "tsv": "tsv", "txt": "text", "md": "text", "xlsx": "xlsx", "xlsm": "xlsx", "xls": "xls", "docx": "docx", "pdf": "pdf", "png": "image", "jpg": "image",
+    "jpeg": "image", "tif": "image", "tiff": "image", "bmp": "image", "webp": "image", "json": "json",
+}
+RECORDS = "path string, kind string, sheet string, row_number int, headers array<string>, fields map<string,string>, problem string"
+_NUMBER = re.compile(r"[-+]?\d+(\.\d+)?%?")
+_SPLIT = re.compile(r"\s{2,}|\t|\s\|\s|,")
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: Numbers of the built-in formats of dates and of percentages.
+DATE_FORMATS, PERCENT_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)]), frozenset([9, 10])
+
+
+def file_kind(path: Column, content: Column) -> Column:
+    """The kind of a file by its first bytes, its extension, or what its beginning looks like."""
+    head, name = F.hex(F.substring(content, 1, 16)), F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    start = F.substring(content, 1, 4096)
+    text = F.try_validate_utf8(start.cast("string"))
+    zipped = F.hex(F.substring(content, 1, 2_000_000))
+    within = lambda s: F.contains(zipped, F.lit(s.encode().hex().upper()))
+    magic = [F.when(F.startswith(head, F.lit(m)), F.lit(k)) for m, k in MAGIC]
+    archive = F.when(F.startswith(head, F.lit("504B0304")), F.when(within("xl/"), "xlsx").when(within("word/"), "docx"))
+    extension = F.try_element_at(F.create_map(*(F.lit(x) for kv in EXTENSIONS.items() for x in kv)), name)
+    tabs, commas = F.regexp_count(text, F.lit("\t")), F.regexp_count(text, F.lit(","))
+    odd = F.contains(F.hex(start), F.lit("00")) & F.hex(start).rlike("^(..)*00")
+    looks = (
+        F.when(odd | text.isNull() | (F.trim(text) == ""), "unknown").when(F.ltrim(text).rlike(r"^[{\[]"), "json")
+        .when((tabs > 0) & (tabs >= commas), "tsv").when(commas > 0, "csv").otherwise("text")
+    )
+    return F.coalesce(*magic, archive, extension, looks)
+
+
+def decoded(content: bytes) -> tuple[str, str]:
+    for encoding in ENCODINGS:
+        try:
+            return content.decode(encoding), encoding
+        except UnicodeDecodeError:
+            pass
+    raise ValueError("no encoding")
+
+
+def delimiter(text: str) -> str:
+    """The delimiter that most lines of the beginning have equally often; the comma if none is."""
+    lines = [line for line in text[:20_000].splitlines() if line.strip()][:50]
+    best = (0, ",")
+    for d in DELIMITERS:
+        counts = Counter(n for line in lines if (n := line.count(d)))
+        if counts:
+            number, rows = counts.most_common(1)[0]
+            best = max(best, (rows * number if rows > 1 or len(lines) == 1 else 0, d), key=lambda b: b[0])
+    return best[1]
+
+
+def _label(cell: object) -> str:
+    if isinstance(cell, float) and cell.is_integer():
+        cell = int(cell)
+    return " ".join(str("" if cell is None else cell).split()).strip(":").strip()
+
+
+def header_row(grid: list[list]) -> int | None:
+    """The first row of those that look most like labels: filled and short cells, mostly text and different, over a row about as wide."""
+    best, at = 0.0, None
+    for i, row in enumerate(grid[:HEADER_ROWS]):
+        cells = [c for c in map(_label, row) if c]
+        most = max(2, int(len(cells) * 0.6))
+        if len(cells) < 2 or sum(not _NUMBER.fullmatch(c) for c in cells) < most or len(set(cells)) < most:
+            continue
+        score = len(cells) + 0.5 * sum(len(c) <= 40 and "@" not in c and not re.search(r"\d{4,}", c) for c in cells)
+        below = sum(bool(_label(c)) for c in grid[i + 1]) if i + 1 < len(grid) else 0
+        score += 2 if below >= max(2, int(score) // 2) else 0
+        if score > best:
+            best, at = score, i
+    return at
+
+
+def grouped(upper: list[str], lower: list[str], data: list[str]) -> list[str] | None:
+    """One label a column from a row of group labels over one of their own labels; None if the lower row is data."""
+    width = max(len(upper), len(lower))
+    up, low, under = (row + [""] * (width - len(row)) for row in (upper, lower, data))
+    gaps = [i for i in range(width) if not up[i] and low[i]]
+    labels = [c for c in low if c]
+    if not gaps or len(labels) < 2 or any(_NUMBER.fullmatch(c) for c in labels) or not any(_NUMBER.fullmatch(under[i]) for i in range(width) if low[i]):
+        return None
+    out, group = [], ""
+    for i in range(width):
+        group = up[i] or (group if low[i] else "")
+        out.append(" ".join(x for x in (group, low[i]) if x))
+    return out if len(set(out)) == len(out) else None
+
+
+def distinct_headers(cells: list[str]) -> list[str]:
+    """Blank headers by their place, repeats numbered."""
+    seen: Counter[str] = Counter()
+    out = []
+    for i, name in enumerate(cells, 1):
+        name = name or f"column_{i}"
+        seen[name] += 1
+        out.append(name if seen[name] == 1 else f"{name} ({seen[name]})")
+    return out
+
+
+def grid_records(grid: list[list]) -> Iterator[tuple[int, list[str], dict[str, str]]]:
+    """(row number, headers, fields) of each row under the header that is not blank; nothing without a header row."""
+    at = header_row(grid)
+    if at is None:
+        return
+    rows = [[_label(c) for c in row] for row in grid]
+    names, last = rows[at], at
+    if at + 2 < len(rows) and (both := grouped(rows[at], rows[at + 1], rows[at + 2])):
+        names, last = both, at + 1
+    width = max([len(names), *(max((i + 1 for i, c in enumerate(r) if c), default=0) for r in rows[last + 1 :])])
+    headers = distinct_headers(names + [""] * (width - len(names)))
+    for i in range(last + 1, len(grid)):
+        if any(rows[i]):
+            yield i + 1, headers, {h: str("" if c is None else c).strip() for h, c in zip(headers, grid[i], strict=False)}
+
+
+def text_grid(text: str) -> list[list[str]] | None:
+    """Lines split at wide blanks, tabs, bars and commas, if most of them have one number of cells."""
+    rows = [[c.strip() for c in _SPLIT.split(line.strip()) if c.strip()] for line in text.splitlines() if line.strip()]
+    widths = Counter(len(r) for r in rows if len(r) > 1)
+    n = sum(widths.values())
+    return rows if n >= 3 and max(widths.values()) >= max(3, int(n * 0.6)) else None
+
+
+def json_records(text: str) -> Iterator[tuple[int, list[str], dict[str, str]]]:
+    """The objects of a list, of the first list of objects in an object, or the object itself."""
+    value = json.loads(text)
+    if isinstance(value, dict):
+        value = next((v for v in value.values() if isinstance(v, list) and v and all(isinstance(x, dict) for x in v)), [value])
+    rows = [r for r in value if isinstance(r, dict)] if isinstance(value, list) else []
+    headers = distinct_headers(list(dict.fromkeys(k for r in rows for k in r)))
+    for i, r in enumerate(rows, 1):
+        yield i, headers, {k: None if v is None else v if isinstance(v, str) else json.dumps(v) for k, v in r.items()}
+
+
+def opened(content: bytes) -> zipfile.ZipFile:
+    """An archive whose stated sizes are plausible."""
+    archive = zipfile.ZipFile(io.BytesIO(content))
+    if sum(i.file_size for i in archive.infolist()) > MAX_INFLATED:
+        raise ValueError("archive inflates too much")
+    if any(i.file_size > max(RATIO_FROM, MAX_RATIO * i.compress_size) for i in archive.infolist()):
+        raise ValueError("implausible compression")
+    return archive
+
+
+def _column(reference: str) -> int:
+    n = 0
+    for c in re.match("[A-Z]{0,3}", reference).group():
+        n = n * 26 + ord(c) - 64
+    return max(0, n - 1)
+
+
+def _shown(cell: ElementTree.Element, shared: list[str], style: str) -> object:
+    kind, value = cell.get("t"), cell.findtext(f"{_MAIN}v")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+    if value is None or kind == "s":
+        return "" if value is None else shared[int(value)]
+    if kind in ("str", "e"):
+        return value
+    if kind == "b":
+        return "TRUE" if value == "1" else "FALSE"
+    number = float(value)
+    if style == "date":
+        when = datetime(1899, 12, 30) + timedelta(days=number)
+        return when.date().isoformat() if number == int(number) else when.isoformat()
+    if style == "percent":
+        number = float(Decimal(repr(number)).scaleb(2))  # 85% is stored as 0.85
+        if 0 < number < 1:
+            return f"{number}%"
+    return int(number) if number.is_integer() else number
+
+
+def sheet_grids(content: bytes) -> Iterator[tuple[str, list[list]]]:
+    """(name, cells) of each sheet of a workbook that is not hidden."""
+    with opened(content) as archive:
+        names = set(archive.namelist())
+        xml = lambda n: ElementTree.fromstring(archive.read(n)) if n in names else None  # noqa: E731, S314
+        strings = xml("xl/sharedStrings.xml")
+        shared = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in strings] if strings is not None else []
+        styles, looks = xml("xl/styles.xml"), []
+        if styles is not None:
+            own = {int(f.get("numFmtId")): re.sub(r'\\.|[_*].|"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "")) for f in styles.iter(f"{_MAIN}numFmt")}
+            for x in (styles.find(f"{_MAIN}cellXfs") or []):
+                i = int(x.get("numFmtId", 0))
+                code = own.get(i, "").lower()
+                looks.append("percent" if i in PERCENT_FORMATS or "%" in code else "date" if i in DATE_FORMATS or re.search("[ymdh]", code) else "")
+        targets = {r.get("Id"): r.get("Target").lstrip("/") for r in xml("xl/_rels/workbook.xml.rels")}
+        for sheet in xml("xl/workbook.xml").iter(f"{_MAIN}sheet"):
+            if sheet.get("state", "visible") != "visible":
+                continue
+            target = targets[sheet.get(_RELATION)]
+            grid: list[list] = []
+            with archive.open(target if target.startswith("xl/") else f"xl/{target}") as source:
+                for _, row in ElementTree.iterparse(source):  # noqa: S314
+                    if row.tag != f"{_MAIN}row":
+                        continue
+                    while len(grid) + 1 < int(row.get("r", len(grid) + 1)):
+                        grid.append([])
+                    cells: list = []
+                    for cell in row.iter(f"{_MAIN}c"):
+                        cells += [""] * (min(_column(cell.get("r", "")), 1023) - len(cells))
+                        at = int(cell.get("s", 0))
+                        cells.append(_shown(cell, shared, looks[at] if at < len(looks) else ""))
+                    grid.append(cells)
+                    row.clear()
+            yield sheet.get("name"), grid
+
+
+def document_parts(content: bytes) -> tuple[str, list[list[list[str]]]]:
+    """The paragraphs of a document as text, and its tables."""
+    with opened(content) as archive:
+        body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_WORD}body")  # noqa: S314
+    marks = {f"{_WORD}tab": "\t", f"{_WORD}br": "\n"}
+    said = lambda node: "".join(marks.get(c.tag, c.text or "" if c.tag == f"{_WORD}t" else "") for c in node.iter())
+    paragraphs = [t for p in body.findall(f"{_WORD}p") if (t := said(p).strip())]
+    tables = [[[" ".join(map(said, cell.findall(f"{_WORD}p"))).strip() for cell in row.findall(f"{_WORD}tc")] for row in t.findall(f"{_WORD}tr")] for t in body.findall(f"{_WORD}tbl")]
+    return "\n".join(paragraphs), tables
+
+
+def _records(kind: str, content: bytes) -> Iterator[tuple[str, int, list[str], dict[str, str]]]:
+    if kind == "xlsx":
+        grids = sheet_grids(content)
+    elif kind == "docx":
+        grids = ((f"table_{i}", t) for i, t in enumerate(document_parts(content)[1], 1))
+    elif kind == "json":
+        yield from (("data", *r) for r in json_records(decoded(content)[0]))
+        return
+    else:
+        text = decoded(content)[0]
+        grids = [("data", text_grid(text) or [])] if kind == "text" else [("data", list(csv.reader(io.StringIO(text), delimiter="\t" if kind == "tsv" else delimiter(text))))]
+    for name, grid in grids:
+        yield from ((name, *r) for r in grid_records(grid))
+
+
+def read_tables(files: DataFrame) -> DataFrame:
+    """A row for each record of each table in files (path, content): its sheet, row number, headers and fields.
+
+    CSV, TSV, JSON, text in columns, workbooks and documents are read.  A file that cannot be read, or
+    has no table, gives one row that says so in problem; other kinds (images, PDF, old workbooks) too.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in RECORDS.split(", ")]
+        for frame in frames:
+            for path, kind, content in frame.itertuples(index=False):
+                rows, problem = [], None
+                try:
+                    if not content or len(content) > MAX_BYTES:
+                        raise ValueError("empty file" if not content else "file too large")
+                    if kind not in ("csv", "tsv", "json", "text", "xlsx", "docx"):
+                        raise ValueError(f"no reader for {kind}")
+                    rows = [(path, kind, *r, None) for r in _records(kind, content)]
+                    problem = None if rows else "no table"
+                except (ValueError, KeyError, TypeError, AttributeError, IndexError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError, RecursionError) as error:
+                    problem = str(error)[:200] or type(error).__name__
+                yield pd.DataFrame([*rows, (path, kind, None, None, None, None, problem)] if problem else rows, columns=names)
+
+    return files.select("path", file_kind(F.col("path"), F.col("content")).alias("kind"), "content").mapInPandas(run, RECORDS)
+
+
+def read_folder(spark, path: str) -> DataFrame:
+    """read_tables() of all files under a path."""
+    return read_tables(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def largest_table(records: DataFrame) -> DataFrame:
+    """(path, sheet): of each file the table with the most rows, or of such the widest."""
+    sizes = records.where("problem is null").groupBy("path", "sheet").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("headers")).alias("width"))
+    return sizes.groupBy("path").agg(F.max_by("sheet", F.struct("rows", "width", "sheet")).alias("sheet"))
+
+
+def usable_sheets(records: DataFrame) -> DataFrame:
+    """(path, sheet, usable): a table with a value in it."""
+    filled = F.exists(F.map_values("fields"), lambda v: F.coalesce(F.trim(v), F.lit("")) != "")
+    return records.where("problem is null").groupBy("path", "sheet").agg(F.bool_or(filled).alias("usable"))
+
+
+def sheet_groups(records: DataFrame) -> DataFrame:
+    """(path, sheet, signature): tables with the same headers, whatever their order, have one signature."""
+    from ..functions.clean import header_signature
+
+    return records.where("problem is null").groupBy("path", "sheet").agg(F.first("headers").alias("headers")).select("path", "sheet", header_signature(F.col("headers")).alias("signature"))
+
+
+def feed_items(feeds: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, title, link, published) of each item of RSS and Atom feeds; feeds with a document type or entities give none."""
+    schema = f"{key} {feeds.schema[key].dataType.simpleString()}, title string, link string, published string"
+    plain = lambda tag: tag.rpartition("}")[2]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for k, text in frame.itertuples(index=False):
+                if not text or re.search("<!(?:DOCTYPE|ENTITY)", text, re.I):
+                    continue
+                try:
+                    root = ElementTree.fromstring(text.encode())  # noqa: S314
+                except ElementTree.ParseError:
+                    continue
+                for item in (e for e in root.iter() if plain(e.tag) in ("item", "entry")):
+                    parts = {plain(e.tag): e for e in reversed(list(item))}
+                    said = lambda *names: next((" ".join("".join(parts[n].itertext()).split()) for n in names if n in parts), None)  # noqa: E731, B023
+                    link = said("link") or (parts["link"].get("href") if "link" in parts else None)
+                    rows.append((k, said("title"), link, said("pubDate", "published", "updated", "date")))
+            yield pd.DataFrame(rows, columns=[key, "title", "link", "published"])
+
+    return feeds.select(key, xml).mapInPandas(run, schema)
