@@ -132,9 +132,9 @@ def filter_equals_ignoring_case(spark, sf):
     return filters.where(table(spark, sf, "customer"), {"c_mktsegment": "BuildING", "c_name": ""}).select("c_custkey", "c_name")
 
 
-@query("select p_partkey, p_name from part where lower(p_name) like '%1_%'")
+@query("select c_custkey, c_name from customer where lower(c_name) like '%r#0_0%1'")
 def filter_contains(spark, sf):
-    return filters.where(table(spark, sf, "part"), {"p_name__contains": "1_"}).select("p_partkey", "p_name")
+    return filters.where(table(spark, sf, "customer"), {"c_name__contains": "R#0_0%1"}).where(F.endswith("c_name", F.lit("1"))).select("c_custkey", "c_name")
 
 
 @query("select o_orderkey, o_orderstatus from orders where o_orderstatus in ('F', 'P')")
