@@ -6,8 +6,10 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 from .frames import cut, n_buckets, schema_of, scratch
 
 MIN_REVISIT_BYTES = 100
-RECORDS_PER_FILE = 10_000
+#: An archive holds so many records of up to SMALL_BYTES of payload (64 MB), or so many larger ones.
+SMALL_BYTES, SMALL_PER_FILE, LARGE_PER_FILE = 65_536, 1_000, 8
 EPOCH = 1_704_067_200
 _PAGE = "urn:millrace:page:"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -34,10 +37,12 @@ def plan_captures(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("payload")
     ).withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
-    lead = rows.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("payload_digest")
-    lead = lead.agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
+    short = rows.where(F.col("payload_bytes") < MIN_REVISIT_BYTES).withColumn("first", F.lit(None).cast("long"))  # these meet nowhere
+    long = rows.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES)
+    lead = long.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
     own = F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(lead, "payload_digest", "left").withColumn("first", F.when(~own, F.col("first")))
+    joined = long.join(lead, "payload_digest", "left").withColumn("first", F.when(~own, F.col("first")))
+    return joined.unionByName(short)
 
 
 def capture_time(page_id: Column) -> Column:
@@ -76,10 +81,12 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     lines that close a record; so any file system that Spark can write to will do, and
     tasks that are lost are written again by Spark's commit protocol.
     """
-    rows = plan_captures(pages, page_id, url, html)
-    rows.sortWithinPartitions(url_key_column(), "page_id").select(record_text().alias("value")).write.options(
-        lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=RECORDS_PER_FILE
-    ).text(path)
+    size = F.coalesce(F.octet_length(F.col(html)), F.lit(0))
+    for name, part, most in (("small", size <= SMALL_BYTES, SMALL_PER_FILE), ("large", size > SMALL_BYTES, LARGE_PER_FILE)):  # equal payloads are of one size
+        rows = plan_captures(pages.where(part), page_id, url, html)
+        rows.sortWithinPartitions(url_key_column(), "page_id").select(record_text().alias("value")).write.options(
+            lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=most
+        ).text(f"{path}/{name}")
 
 
 def url_key_column(url: str = "url") -> Column:
@@ -153,7 +160,7 @@ def _reader(schema):
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A capture row for each record; the rows of an archive are one sorted run."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     schema = schema_of(INDEX)
     return files.mapInArrow(_reader(schema), schema)
 
@@ -190,30 +197,30 @@ class LoserTree:
         self.losers[0] = i
 
     def __iter__(self) -> Iterator:
-        while (head := self.heads[w := self.losers[0]]) is not None:
-            yield head[2]
-            self.heads[w] = self._take(w)
-            self._replay(w)
+        return self
+
+    def __next__(self):
+        head = self.heads[w := self.losers[0]]
+        if head is None:
+            raise StopIteration
+        self.heads[w] = self._take(w)
+        self._replay(w)
+        return head[2]
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of keys: its piece of each run stays in order, and the pieces are merged."""
-    runs: dict[str, list[dict[str, object]]] = {}
-    schema = None
-    for batch in batches:
-        schema = batch.schema
-        for row in batch.to_pylist():
-            runs.setdefault(row["archive"], []).append(row)
-    if schema is None:
+    """One range of keys: its piece of each run, in order, stays as columns; the tree merges the rows' numbers."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
-    out: list[dict[str, object]] = []
-    for row in LoserTree([runs[a] for a in sorted(runs)], _order):
-        out.append(row)
-        if len(out) == 5000:
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
+    table = pa.Table.from_batches(held).combine_chunks()
+    archive = table["archive"].to_numpy(zero_copy_only=False)
+    start = np.flatnonzero(np.append(True, archive[1:] != archive[:-1]))
+    runs = [range(a, b) for a, b in zip(start, [*start[1:], len(archive)], strict=True)]
+    keys, times, pages, offsets = (table[c].to_pylist() for c in ("url_key", "capture_time", "page_id", "offset"))
+    order = LoserTree(runs, lambda i: (keys[i], times[i], pages[i] is None, pages[i] or 0, archive[i], offsets[i]))
+    for part in iter(lambda: list(islice(order, 5000)), []):
+        yield from table.take(pa.array(part)).combine_chunks().to_batches()
 
 
 def merge_index(index: DataFrame) -> DataFrame:
@@ -237,7 +244,8 @@ def archive_round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "u
 
     Defined cases: a null payload is empty; smaller payloads are always responses; a
     null page id is never the smallest (equal payloads that all lack one are all
-    responses); rows that repeat the smallest id are all responses; control characters
+    responses); pages of any length that fits in a row are written whole; other columns are
+    not looked at, whatever their names; rows that repeat the smallest id are all responses; control characters
     and blanks in a URL become %20, and a null URL is left out; no pages give no rows.
     """
     path = scratch(pages.sparkSession, "warc")

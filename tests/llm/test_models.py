@@ -228,6 +228,18 @@ def test_archives_round_trip(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_large_pages_and_odd_columns_are_archived(spark):
+    big = "<p>" + "y" * 100_000
+    rows = [(i, f"http://a.org/{i}", big if i % 2 else big + str(i), 1, "x") for i in range(20)] + [(100 + i, None, None, 1, "x") for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, first int, payload string")
+    got = warc.archive_round_trip(pages).collect()
+    assert Counter(r.record_type for r in got) == {"response": 11 + 50, "revisit": 9} and {r.refers_to for r in got} == {None, 1}
+    keys = [(r.url_key, r.capture_time) for r in got]
+    assert keys == sorted(keys)  # one order over all partitions
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.archive_round_trip(empty).count() == 0
+
+
 def test_damaged_archives_are_refused():
     record = b"WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     assert len(list(warc.read_records(io.BytesIO(record * 2)))) == 2
