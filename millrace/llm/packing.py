@@ -106,13 +106,14 @@ def best_fit_packing(
     """A row for each piece of a document: where it starts, its length, its bin and place there.
 
     n_tokens counts the tokens of a row (default: its words).  Documents longer than the
-    largest capacity are cut into pieces of that size and a rest.  Documents are dealt
-    by hash into shards of about shard_tokens tokens, each packed alone, so the loss
+    largest capacity are cut into pieces of that size and a rest.  Rows are dealt
+    by hash of id and place, so that rows of one id spread, into shards of about shard_tokens tokens, each packed alone, so the loss
     against one packing of everything is a few part-filled bins a shard.
 
     Defined cases: null, empty and wordless texts are one piece of no tokens with null
-    bin columns; repeated rows are packed each; null ids are dealt by their lengths; a row of any length is
-    cut, never dropped; columns other than the two named are not looked at.
+    bin columns; repeated rows are packed each; null ids are ids like others; ties in length go by
+    id; a text of any length is cut, never dropped; no rows give no rows; columns other than the two
+    named are not looked at, whatever their names.
     """
     if n_tokens is None:
         n_tokens = F.regexp_count(F.col(text), F.lit(WORD))
@@ -121,7 +122,7 @@ def best_fit_packing(
     shards = max(1, -(-total // shard_tokens))
     top = max(capacities)
     pieces = sized.where("n > 0").select(
-        F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("n"))), F.lit(shards)).alias("shard"), "doc_id", "n",
+        F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)).alias("shard"), "doc_id", "n",  # rows are fixed by now
         F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / top).cast("int"))).alias("segment"),
     )
     start = F.col("segment").cast("long") * top

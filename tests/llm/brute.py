@@ -310,3 +310,26 @@ def labels(weights, vectors, hidden):
     n, v = len(vectors), weights["v"].tolist()
     one, two = direction("f", range(n)), direction("b", range(n - 1, -1, -1))
     return [sigmoid(sum(a * b for a, b in zip([*one[t], *two[t]], v, strict=True)) + float(weights["a"])) for t in range(n)]
+
+
+def pack(lengths, capacities, cost):
+    """Bin of each length, one open bin after another looked at; and each bin's use and final capacity."""
+    rest = list(lengths)
+    bins, out, clock = [], [], 0  # a bin: capacity, use, when it last changed
+    for n in lengths:
+        rest.remove(n)
+        clock += 1
+        fits = [(b[0] - b[1], -b[2], i) for i, b in enumerate(bins) if b[0] - b[1] >= n]
+        if fits:
+            i = min(fits)[2]
+        else:
+            def price(c, n=n):
+                return cost(c) / (n + min(c - n, sum(x for x in rest if x <= c - n)))
+
+            best = min((c for c in sorted(capacities) if c >= n), key=price)
+            bins.append([best, 0, 0])
+            i = len(bins) - 1
+        bins[i][1] += n
+        bins[i][2] = clock
+        out.append(i)
+    return out, [b[1] for b in bins], [min(c for c in capacities if c >= b[1]) for b in bins]

@@ -113,6 +113,30 @@ def test_packing_takes_the_tightest_bin():
     assert offsets.tolist() == [0, 0, 0, 50, 30, 60]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_agrees_with_a_plain_version(seed):
+    """Several capacities at once, at two prices: the plain version tries every open bin and every capacity."""
+    rng = np.random.default_rng(seed)
+    lengths = np.sort(rng.integers(1, 65 if seed % 2 else 20, int(rng.integers(1, 250))))[::-1]
+    for capacities, cost in (((16, 32, 64), packing.sequence_cost), ((8, 24, 64), lambda c: c + 5 + c * c / 100), ((64,), float)):
+        if lengths.max() <= max(capacities):
+            bins, offsets, use, cap = packing.pack(lengths, capacities, cost)
+            want = brute.pack(lengths.tolist(), capacities, cost)
+            assert (bins.tolist(), use.tolist(), cap.tolist()) == want
+            filled = [0] * len(use)
+            for b, o, n in zip(bins.tolist(), offsets.tolist(), lengths.tolist(), strict=True):
+                assert o == filled[b]
+                filled[b] += n
+
+
+def test_packing_of_nothing_and_of_one_id(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert packing.best_fit_packing(empty).count() == 0
+    same = spark.createDataFrame([(5, "a b c " * 100, "bin", 3)] * 400, "doc_id long, text string, shard string, n int")
+    got = packing.best_fit_packing(same, shard_tokens=10_000).collect()
+    assert sum(r.n_tokens for r in got) == 400 * 300 and len({r.bin_id >> 32 for r in got}) > 6  # one id spreads over the shards
+
+
 def test_packing_wastes_little(spark):
     rng = np.random.default_rng(1)
     lengths = np.sort(rng.integers(1, 4000, 5000))[::-1]
