@@ -65,7 +65,7 @@ def test_kneser_ney_probabilities(spark):
 
 
 def test_quality_classifier_keeps_the_clean(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # a plain quantile of 0.99 needs some hundred texts a language
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     found = classify_quality(docs, labels).join(labels, "doc_id").where("n_words >= 50")
     clean = found.where("quality = 1").agg(F.avg(F.col("kept").cast("int"))).first()[0]
@@ -346,8 +346,6 @@ def test_thresholds_cover_trusted_texts_outside_the_sample(spark):
     table = table.withColumn("lang", F.when(F.col("doc_id").isin(rare), "xx").otherwise("en"))
     table = table.withColumn("text", F.when(F.col("lang") == "xx", F.concat(F.lit("sea qa qe qi of house "), F.repeat(F.lit("qu "), F.col("doc_id").cast("int")))).otherwise(F.col("text")))
     found = [r for r in classify_quality(table, labels, max_train_docs=16).collect() if r.lang == "xx"]
-    assert sorted(r.doc_id for r in found if r.kept) == rare
-    short, long = ([r for r in found if (r.n_words >= 50) == wide] for wide in (False, True))
-    for some, over, slack in ((short, found, 1.12), (long, long, 1.06)):
-        want = np.quantile([r.log_perplexity for r in over], 0.99) * slack if over else 0
-        assert all(r.threshold == pytest.approx(want, abs=1e-3) for r in some)
+    want = np.quantile([r.log_perplexity for r in found], 0.99)  # of all nine, none of which is in the sample
+    assert all(r.threshold == pytest.approx(want, abs=1e-3) and r.kept == (r.log_perplexity <= r.threshold) for r in found)
+    assert len(found) == 9 and sum(r.kept for r in found) == 8
