@@ -63,7 +63,7 @@ def superseded(evidence: DataFrame, keep: list[list[str]], key: str = "evidence_
 
 
 def map_metrics(assets: DataFrame, gold: DataFrame) -> DataFrame:
-    """One row: verified assets, precision against gold, hold-out recall, seed rate and canary leaks."""
+    """One row: assets, verified ones, hold-out recall, seed rate and canary leaks; platform_metrics() has the precision."""
     ranked = assets.select("asset_key", "rank")
     both = gold.join(ranked, "asset_key", "left")
     good = F.coalesce(F.col("rank"), F.lit(-1)) >= 3
@@ -79,6 +79,17 @@ def map_metrics(assets: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
+def platform_metrics(assets: DataFrame, gold: DataFrame) -> DataFrame:
+    """By platform and for all (null): assets, verified, precision (of verified ones in gold the share that are no canaries) and hold-out recall."""
+    both = assets.join(gold.select("asset_id", "split"), "asset_id", "left")
+    good, split = F.col("rank") >= 3, F.col("split")
+    ratio = lambda hit, every: F.round(F.count_if(hit) / F.nullif(F.count_if(every), F.lit(0)), 4)
+    return both.rollup("platform").agg(
+        F.count(F.lit(1)).alias("assets"), F.count_if(good).alias("verified"), ratio(good & split.isin("seed", "holdout"), good & split.isNotNull()).alias("precision"),
+        ratio((split == "holdout") & good, split == "holdout").alias("holdout_recall"),
+    )
+
+
 def freshness(assets: DataFrame, verified_at: str, now: Column) -> DataFrame:
     """Share verified within 7, 30 and 90 days, and the median age in days."""
     age = F.date_diff(now, F.col(verified_at))
