@@ -47,15 +47,28 @@ def duplicate_actions(batch: DataFrame, stored: DataFrame, key: str, content: li
     )
 
 
+def block_rows(people: DataFrame, key: str, fields: list[str], name: str) -> DataFrame:
+    """(key, name, block): a row for each value of the fields that is not blank, and one for first and last name together."""
+    value = lambda f: F.nullif(F.lower(F.trim(F.col(f).cast("string"))), F.lit(""))
+    words = F.filter(F.split(F.lower(F.trim(name)), r"\s+"), lambda w: w != "")
+    own = F.when(F.size(words) >= 2, F.concat(F.lit("name:"), F.get(words, F.lit(0)), F.lit("|"), F.element_at(words, -1)))
+    blocks = F.array_compact(F.array(own, *(F.when(value(f).isNotNull(), F.concat(F.lit(f"{f}:"), value(f))) for f in fields)))
+    return people.select(F.col(key).alias("key"), F.col(name).alias("name"), F.explode(blocks).alias("block"))
+
+
+def oversize_blocks(rows: DataFrame, max_block: int = 200) -> DataFrame:
+    """(block, members) of the blocks that blocked_pairs() leaves out: one row each, whatever their size."""
+    return rows.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > max_block)
+
+
 def blocked_pairs(people: DataFrame, key: str, fields: list[str], name: str, max_block: int = 200) -> DataFrame:
-    """(a, b, corroborating): pairs of keys that share a block, with the number of fields in which they agree.
+    """(a, b, corroborating): pairs of keys that share a block, with the number of blocks that they share.
 
-    A block is a field's value; those of over max_block members neither pair nor
-    corroborate, as such a value (a shared telephone, a default date) says nothing.
+    As the rule has it, a value that over max_block people have (a shared telephone, a default date) says
+    nothing about any two of them: such blocks neither pair nor corroborate, and oversize_blocks() lists
+    them, so that none is lost unseen.
     """
-    value = lambda f: F.nullif(F.trim(F.col(f).cast("string")), F.lit(""))
-    blocks = F.array_compact(F.array(*(F.when(value(f).isNotNull(), F.concat(F.lit(f"{f}:"), value(f))) for f in fields)))
-    rows = people.select(F.col(key).alias("key"), F.col(name).alias("name"), F.explode(blocks).alias("block"))
+    rows = block_rows(people, key, fields, name)
     small = rows.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where(F.col("members").between(2, max_block)).select("block")
     rows = rows.join(small, "block")
     a, b = (rows.select("block", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "name"))) for s in "ab")

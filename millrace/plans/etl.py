@@ -105,19 +105,41 @@ def dedupe_actions(spark, sf):
     return got.select("k", "l_partkey", "l_suppkey", "l_extendedprice", "action", "differing")
 
 
-@query("""with b as (select c_custkey as k, 'n:' || cast(c_nationkey as varchar) || cast(c_custkey % 12 as varchar) as block from customer where c_nationkey is not null
-  union all select c_custkey, 'b:' || cast(c_acctbal as varchar) from customer),
-  s as (select block from b group by 1 having count(*) between 2 and 200)
-  select x.k as key_a, y.k as key_b, count(*) as corroborating from b x join b y on x.block = y.block and x.k < y.k where x.block in (select block from s) group by 1, 2""")
+#: A shared value for some forty customers next to each other, a balance, a value that a third have, and a name of two words.
+_BLOCKS = """b as (select c_custkey as k, 'n:n' || cast(c_custkey // 40 as varchar) as block from customer union all select c_custkey, 'b:' || cast(c_acctbal as varchar) from customer
+  union all select c_custkey, 'd:default' from customer where c_custkey % 3 = 0 union all select c_custkey, 'name:ann|' || lower(substr(c_name, 10, 20)) from customer), z as (select block, count(*) as members from b group by 1)"""
+
+
+def _people(spark, sf):
+    return table(spark, sf, "customer").selectExpr("c_custkey as key", "concat('Ann ', substr(c_name, 10, 20)) as name", "concat('n', c_custkey div 40) as n", "c_acctbal as b", "case when c_custkey % 3 = 0 then 'Default ' end as d")
+
+
+@query(f"""with {_BLOCKS} select x.k as key_a, y.k as key_b, count(*) as corroborating from b x join b y on x.block = y.block and x.k < y.k where x.block in (select block from z where members between 2 and 200) group by 1, 2""")
 def block_pairs(spark, sf):
-    people = table(spark, sf, "customer").selectExpr("c_custkey as key", "c_name as name", "concat(c_nationkey, c_custkey % 12) as n", "c_acctbal as b")
-    return dedupe.blocked_pairs(people, "key", ["n", "b"], "name").select("key_a", "key_b", "corroborating")
+    return dedupe.blocked_pairs(_people(spark, sf), "key", ["n", "b", "d"], "name").select("key_a", "key_b", "corroborating")
+
+
+@query(f"with {_BLOCKS} select * from z where members > 200")
+def oversize_blocks(spark, sf):
+    return dedupe.oversize_blocks(dedupe.block_rows(_people(spark, sf), "key", ["n", "b", "d"], "name"))
 
 
 @query()
 def probable_people(spark, sf):
-    people = table(spark, sf, "customer").selectExpr("c_custkey as key", "c_name as name", "concat(c_nationkey, c_custkey % 12) as n")
-    return dedupe.probable_people(dedupe.blocked_pairs(people, "key", ["n"], "name"))
+    return dedupe.probable_people(dedupe.blocked_pairs(_people(spark, sf), "key", ["n", "b", "d"], "name"))
+
+
+_COPIES = """c as (select c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as n, case when c_nationkey % 5 = 0 then '|' else cast(c_nationkey as varchar) end as k, c_nationkey % 2 = 0 as stored from customer)"""
+
+
+@query(f"""with {_COPIES}, m as (select *, row_number() over (partition by k order by c_custkey) as copy from c) select c_custkey, case when k = '|' or copy > 1 then 'skipped' when stored then 'updated' else 'inserted' end as action,
+  case when k = '|' then 'missing_natural_key' when copy > 1 then 'duplicate_in_batch' end as reason from m""")
+def upsert_reasons(spark, sf):
+    """Blank keys and later copies of a key are skipped, each with its reason."""
+    key = F.when(F.col("c_nationkey") % 5 == 0, "|").otherwise(F.col("c_nationkey").cast("string"))
+    batch = table(spark, sf, "customer").select("c_custkey", key.alias("k"), F.col("c_name").alias("name"))
+    stored = table(spark, sf, "nation").where("n_nationkey % 2 = 0 and n_nationkey % 5 > 0").select(F.col("n_nationkey").cast("string").alias("k"), F.lit("old").alias("name"))
+    return dedupe.upsert_actions(batch, stored, "k", ["name"], ["c_custkey"]).select("c_custkey", "action", "reason")
 
 
 def _stored(spark, sf):
