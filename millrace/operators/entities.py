@@ -47,12 +47,6 @@ def names_entity(name: Column, handle: Column, title: Column, locations: list[st
     return F.coalesce(some, F.lit(False))
 
 
-def rotated(items: Column, rotation: Column, step: int) -> Column:
-    """items from step places on for each rotation, and around."""
-    n = F.size(items)
-    shift = F.when(n > 0, F.pmod(rotation * step, n)).otherwise(0).cast("int")
-    return F.concat(F.slice(items, shift + 1, F.greatest(n, F.lit(0))), F.slice(items, F.lit(1), shift))
-
 
 def search_queries(profiles: DataFrame, terms: str, topics: dict[str, str], most: int = 8, rotation: str = "rotation") -> DataFrame:
     """profiles (name, aliases, location, keywords) with queries: the question's, a third of the places for names, then topics, each once.

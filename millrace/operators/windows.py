@@ -13,11 +13,6 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in others))
 
 
-def first_of_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df with copy: 1 for the first row of a key, 2 and on for later ones."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("copy", F.row_number().over(w))
-
 
 def series_change(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """df with change: value less the last known value before it."""

@@ -340,3 +340,27 @@ def feed_items(feeds: DataFrame, key: str, xml: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "title", "link", "published"])
 
     return feeds.select(key, xml).mapInPandas(run, schema)
+
+
+def document_passages(files: DataFrame) -> DataFrame:
+    """(path, place, passage): the paragraphs of each document and then the rows of its tables as 'label: value | …', cut to passages."""
+    from ..functions.passages import chunks_of
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, content in frame.itertuples(index=False):
+                try:
+                    paragraphs, grids = document_parts(content)
+                except (ValueError, KeyError, TypeError, AttributeError, zipfile.BadZipFile, ElementTree.ParseError):
+                    continue
+                lines = [" | ".join(f"{k}: {v}" for k, v in fields.items()) for g in grids for _, _, fields in grid_records(g)]
+                rows += [(path, i, p) for i, p in enumerate(chunks_of("\n\n".join([paragraphs, "\n".join(lines)])))]
+            yield pd.DataFrame(rows, columns=["path", "place", "passage"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, place int, passage string")
+
+
+def section(passages: DataFrame, path: str, first: int, last: int) -> DataFrame:
+    """The passages of one document from one place to another, in order."""
+    return passages.where((F.col("path") == path) & F.col("place").between(first, last)).orderBy("place")
