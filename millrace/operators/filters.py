@@ -103,3 +103,13 @@ def without_keys(values: Column, keys: list[str]) -> Column:
 def visible(df: DataFrame, column: str, classes: list[str]) -> DataFrame:
     """Rows whose class a reader may see; no classes, no rows."""
     return df.where(df[column].isin(classes) if classes else F.lit(False))
+
+
+def page_size(limit: int | None, most: int = 500, default: int = 100) -> int:
+    """How many rows a reader gets: what was asked for, from 1 to most; default where nothing was."""
+    return default if limit is None else max(1, min(int(limit), most))
+
+
+def scoped(view: DataFrame, scope: Mapping[str, object], order: list[str], limit: int | None = None, most: int = 1000) -> DataFrame:
+    """The rows of a reporting view that lie in a reader's scope, in order; no more than the cap, which is the feature of such a view."""
+    return where(view, scope).orderBy(*order).limit(page_size(limit, most, most))

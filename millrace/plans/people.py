@@ -197,3 +197,10 @@ def collected_findings(spark, sf):
     taken = fair_share(rows, "q", ["less", "c_custkey"], 60)
     level = F.when(F.col("score") >= 0.8, 3).when(F.col("score") >= 0.5, 2).otherwise(1)
     return taken.select("c_custkey", "score", level.alias("level")).orderBy(F.desc("level"), F.desc("score"), "c_custkey").limit(20)
+
+
+@query(f"""with {STUDENTS}, {ATTENDANCE}, {_ROLLUP} select program, department, count(*) as students, round(avg(percent), 2) as mean_percent from rollup_ where lower(department) = 'nation_3' group by 1, 2 order by 1, 2 limit 1000""")
+def scoped_report(spark, sf):
+    """An aggregate view as a reader of one department sees it."""
+    view = relational.attendance_rollup(spark, sf).groupBy("program", "department").agg(F.count("*").alias("students"), F.round(F.avg("percent"), 2).alias("mean_percent"))
+    return filters.scoped(view, {"department": "Nation_3", "program": ""}, ["program", "department"])

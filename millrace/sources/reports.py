@@ -44,3 +44,11 @@ def scrubbed(df: DataFrame) -> DataFrame:
 
 def write_tsv(df: DataFrame, path: str) -> None:
     scrubbed(df).write.csv(path, sep="\t", header=True, mode="overwrite", emptyValue="")
+
+
+def write_report(df: DataFrame, path: str, kind: str) -> None:
+    """A report as csv, tsv or json; other kinds are refused."""
+    writers = {"csv": write_csv, "tsv": write_tsv, "json": lambda rows, to: rows.write.json(to, mode="overwrite")}
+    if kind not in writers:
+        raise ValueError(f"no report of kind {kind!r}")
+    writers[kind](df, path)
