@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import schema_of, without
+from .frames import fresh, schema_of, without
 
 #: ASCII other than digits and letters separates words; all other bytes belong to words, A-Z in lower case.
 _NORMAL = bytes(b if b > 0x7F or chr(b).isalnum() else 0x20 for b in range(256)).lower()
@@ -66,7 +66,7 @@ def _shards(benchmark: DataFrame, item_id: str, text: str, n_words: int, limit:
         yield [(w, sorted(i)) for w, i in windows.items()]
 
 
-def _scan(held, key: str, text: str, first: bool):
+def _scan(held, key: str, text: str, first: bool, own: tuple[str, str]):
     """Adds what one automaton finds: hit word stretches and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,7 @@ def _scan(held, key: str, text: str, first: bool):
                 hits.append(spans)
                 items.append(sorted(found))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            made = {"_hits": pa.array(hits, kind), "_items": pa.array(items, pa.list_(pa.string()))}
+            made = {own[0]: pa.array(hits, kind), own[1]: pa.array(items, pa.list_(pa.string()))}
             if not first:
                 for name in made:
                     old = batch.column(batch.schema.get_field_index(name))
@@ -101,7 +101,7 @@ def _scan(held, key: str, text: str, first: bool):
     return run
 
 
-def _digest(names: list[str], text: str, schema, min_percent: int):
+def _digest(names: list[str], text: str, schema, min_percent: int, own: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -109,7 +109,7 @@ def _digest(names: list[str], text: str, schema, min_percent: int):
         for batch in batches:
             made: dict[str, list] = {f.name: [] for f in out if f.name not in names}
             column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
-            for value, hits, items in zip(column(text), column("_hits"), column("_items"), strict=True):
+            for value, hits, items in zip(column(text), column(own[0]), column(own[1]), strict=True):
                 raw = value.as_py() or ""
                 n_words = len(normal_words(raw.encode()))
                 spans = sorted((s["start"], s["end"]) for s in hits.as_py())
@@ -165,17 +165,18 @@ def decontaminate(
     """
     ddl = f"n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, spans {SPANS}, contaminated boolean"
     extra = schema_of(ddl)
-    rest = without(docs, [*extra.names, "_hits", "_items"])
+    rest = without(docs, extra.names)
+    own = fresh(docs, "hits_found"), fresh(docs, "items_found")
     names = [c for c in rest.columns if keep is None or c in keep]
     scanned = rest.select(*dict.fromkeys([*names, text]))
     base = list(scanned.schema.fields)
-    wide = type(extra)([*base, *schema_of(f"_hits {SPANS}, _items array<string>").fields])
+    wide = type(extra)([*base, *schema_of(f"{own[0]} {SPANS}, {own[1]} array<string>").fields])
     first = True
     for shard in _shards(benchmark, item_id, item_text, n_words, max_pattern_chars):
         key = hashlib.sha256(repr(shard).encode()).hexdigest()
-        scanned = scanned.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(shard), key, text, first), wide)
+        scanned = scanned.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(shard), key, text, first, own), wide)
         first = False
     if first:
-        scanned = scanned.withColumns({"_hits": F.expr(f"cast(array() as {SPANS})"), "_items": F.expr("cast(array() as array<string>)")})
+        scanned = scanned.withColumns({own[0]: F.expr(f"cast(array() as {SPANS})"), own[1]: F.expr("cast(array() as array<string>)")})
     schema = type(extra)([*(rest.schema[c] for c in names), *extra.fields])
-    return scanned.mapInArrow(_digest(names, text, schema, min_percent), schema)
+    return scanned.mapInArrow(_digest(names, text, schema, min_percent, own), schema)

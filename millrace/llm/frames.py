@@ -44,6 +44,14 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([df[c] for c in df.columns if c.lower() not in clash])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with as many underscores before it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def schema_of(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 

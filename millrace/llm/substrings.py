@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import n_buckets, schema_of, without
+from .frames import fresh, n_buckets, schema_of, without
 from .hashing import chunks, windows, words
 
 #: Windows that a task holds before it sends them on.
@@ -238,10 +238,12 @@ def remove_repeats(
     of different windows are taken as equal (0.0005 for 130 million windows).
     """
     found = repeated_intervals(docs, doc_id, text, n_words)
-    rest = without(docs, ["n_words", "n_removed", "kept_text", "kept_sha256", "order_id", "removed"])
+    rest = without(docs, ["n_words", "n_removed", "kept_text", "kept_sha256"])
+    own, gone = fresh(docs, "order_id"), fresh(docs, "removed")
+    found = found.select(F.col("order_id").alias(own), F.col("removed").alias(gone))
     names = [c for c in rest.columns if keep is None or c in keep]
-    wide = rest.select(*dict.fromkeys([*names, text]), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("order_id"))
-    joined = wide.join(found, "order_id", "left").drop("order_id")
+    wide = rest.select(*dict.fromkeys([*names, text]), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias(own))
+    joined = wide.join(found, own, "left").drop(own)
     ddl = "n_words long, n_removed long, kept_text string, kept_sha256 string"
     schema = schema_of(ddl)
     for c in reversed(names):
@@ -258,7 +260,7 @@ def remove_repeats(
         for batch in batches:
             made: dict[str, list] = {"n_words": [], "n_removed": [], "kept_text": [], "kept_sha256": []}
             texts = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
-            removed = batch.column(batch.schema.get_field_index("removed"))
+            removed = batch.column(batch.schema.get_field_index(gone))
             for raw, spans in zip(texts, removed, strict=True):
                 all_words = (raw.as_py() or b"").split()
                 kept = all_words

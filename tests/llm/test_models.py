@@ -349,3 +349,34 @@ def test_thresholds_cover_trusted_texts_outside_the_sample(spark):
     want = np.quantile([r.log_perplexity for r in found], 0.99)  # of all nine, none of which is in the sample
     assert all(r.threshold == pytest.approx(want, abs=1e-3) and r.kept == (r.log_perplexity <= r.threshold) for r in found)
     assert len(found) == 9 and sum(r.kept for r in found) == 8
+
+
+def test_own_columns_give_way_to_results(spark, docs):
+    odd = {"n_words": 1, "log_perplexity": 2, "threshold": 3, "kept": 4, "target_loss": 5, "difference": 6, "quality": 7, "block": 8, "bin_id": 9}
+    table = docs.select("doc_id", "text", F.lit("en").alias("lang"), *(F.lit(v).alias(k) for k, v in odd.items()))
+    labels = spark.createDataFrame([(30, 1, 0), (36, 1, 0), (39, 1, 0), (60, 1, 0), (63, 1, 0)], "doc_id long, quality int, toxic int")
+    for done, own in ((classify_quality(table, labels), ("quality", "block", "bin_id")), (score_documents(table, labels), ("kept", "threshold", "quality", "block", "bin_id"))):
+        assert done.count() == docs.count() and len(set(done.columns)) == len(done.columns)
+        assert {tuple(r) for r in done.select(*own).distinct().collect()} == {tuple(odd[c] for c in own)}
+    assert packing.best_fit_packing(table).columns == [f.split()[0] for f in packing.PACKED.split(", ")]
+
+
+def test_stages_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    read(spark, "benchmark").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty = read(spark, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+    assert html_text.extract_main_text(read(spark, "pages").limit(0)).count() == 0
+
+
+def test_stages_take_odd_rows(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    read(spark, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, rows, str(tmp_path))
+        assert after.columns == rows.columns and after.count() <= docs.count(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count() >= docs.count()

@@ -206,3 +206,17 @@ def test_clashing_columns_give_way(spark, docs):
     assert rows(decontaminate(clash, bench), "doc_id", "contaminated") == rows(decontaminate(docs, bench), "doc_id", "contaminated")
     assert find_personal_data(clash).count() == docs.count() and "fp" in redact(clash).columns
     assert near_duplicates(clash).count() == docs.count()
+
+
+def test_columns_named_as_intermediate_results_stay(spark, docs):
+    odd = {"order_id": 1, "removed": 2, "hits_found": 3, "items_found": 4, "fp": 5, "node": 6, "root": 7, "shard": 8, "n": 9, "spans0": 10}
+    table = docs.select("doc_id", "text", *(F.lit(v).alias(k) for k, v in odd.items()))
+    bench = spark.createDataFrame([(1, "Ka-ra LO mí")], "item_id long, text string")
+    for done in (remove_repeats(table), decontaminate(table, bench), quality_rules(table), redact(table), keep_one_of_each(table)):
+        assert {tuple(r) for r in done.select(*odd).distinct().collect()} == {tuple(odd.values())}
+
+
+def test_decontamination_of_nothing(spark, docs):
+    bench = spark.createDataFrame([(1, "one")], "item_id long, text string")
+    assert decontaminate(docs.limit(0), bench).count() == 0
+    assert decontaminate(docs, bench.limit(0)).where("n_items > 0 or contaminated").count() == 0
