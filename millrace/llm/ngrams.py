@@ -40,7 +40,7 @@ class Lookup:
 
     def _lay_out(self) -> None:
         keys = self.own
-        size = 1 << max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        size = 1 << max(4, int(2 * max(1, len(keys)) - 1).bit_length())
         self.mask = np.uint64(size - 1)
         self.keys, rows = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
         left, slot = np.arange(len(keys), dtype=np.int32), (mix(keys) & self.mask).astype(np.int64)
