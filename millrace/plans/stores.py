@@ -286,12 +286,12 @@ def search_plan(spark, sf):
 _WORDS = "words as (select event_id, user_id as page, cast(event_id % 7 as integer) as block, cast(event_id % 3 as integer) as line, event_type as word, value as conf from events)"
 
 
-@query(f"""with {_WORDS}, l as (select page, block, line, string_agg(word, ' ' order by event_id) as text, avg(conf) as conf from words group by 1, 2, 3) select page, count(*) as lines, round(avg(conf), 4) as confidence, min(text) as first_text from l group by 1""")
+@query(f"""with {_WORDS}, l as (select page, block, line, string_agg(word, ' ' order by event_id) as text, avg(conf) as conf from words group by 1, 2, 3) select page, count(*) as lines, round(avg(conf), 6) as confidence, min(text) as first_text from l group by 1""")
 def ocr_lines(spark, sf):
     """Words of recognised pages as lines, and each page's mean of the lines' mean confidence."""
     words = table(spark, sf, "events").selectExpr("event_id", "user_id as page", "event_id % 7 as block", "event_id % 3 as line", "event_type as word", "value as conf")
     lines = words.groupBy("page", "block", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "word"))), lambda x: x["word"]), " ").alias("text"), F.avg("conf").alias("conf"))
-    return lines.groupBy("page").agg(F.count("*").alias("lines"), F.round(F.avg("conf"), 4).alias("confidence"), F.min("text").alias("first_text"))
+    return lines.groupBy("page").agg(F.count("*").alias("lines"), F.round(F.avg("conf"), 6).alias("confidence"), F.min("text").alias("first_text"))
 
 
 @query("""with c as (select user_id as t, event_id % 20 as r, case event_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as col, event_type as v, event_id from events)
