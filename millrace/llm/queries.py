@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +13,10 @@ from .contamination import decontaminate
 from .cross_entropy import score_documents
 from .html_text import extract_main_text
 from .kneser_ney import classify_quality
+from .merkle import manifest
 from .oracles import ORACLES
 from .packing import best_fit_packing
+from .pieces import encode_pieces
 from .pii import KINDS, digest, find_personal_data
 from .quality import quality_rules
 from .simhash import near_duplicates
@@ -76,6 +79,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    text = F.when(damaged, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.col("text"))
+    return manifest(table(spark, sf_dir, "documents"), fields=["doc_id", "source", "lang", "n_chars", "text"], tampered={"text": text}, keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -87,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 

