@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .contamination import decontaminate
 from .cross_entropy import score_documents
 from .html_text import extract_main_text
@@ -79,6 +80,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_tokenizers(table(spark, sf_dir, "documents"), one, two, keep=["doc_id"])
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,

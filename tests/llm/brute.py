@@ -375,3 +375,65 @@ def merkle(rows, fanout=16):
             proof = sha("".join("".join(left + right) for left, right in steps))
             out.append((doc, leaf, trees[s][-1][0], top[-1][0], proof, own, own == top[-1][0]))
     return out
+
+
+def alignment(rows, first, second):
+    """rows: (doc_id, text); both tokenizations by their libraries, links by comparing ranges of bytes."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one, two = Tokenizer.from_file(first), sentencepiece.SentencePieceProcessor(model_file=second)
+    one.encode_special_tokens = True
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte = {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    names = {i: t for t, i in one.get_vocab().items()}
+
+    def raw(i):
+        p = two.id_to_piece(i)
+        return bytes([int(p[3:-1], 16)]) if two.is_byte(i) else p.replace("▁", " ").encode()
+
+    def spans(ids, of):
+        at, out = 0, []
+        for i in ids:
+            out.append((i, at, at := at + len(of(i))))
+        return out
+
+    found = []
+    for doc, text in rows:
+        a = one.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = two.encode(text) if text else []
+        of_a = lambda i: bytes(byte[c] for c in names[i])
+        whole = (" " + text).encode() if text else b""
+        if not text or b"".join(map(of_a, a)) != whole or b"".join(map(raw, b)) != whole:
+            found.append((doc, 0, 0, [], []))
+            continue
+        a, b = spans(a, of_a), spans(b, raw)
+        links, j0 = [], 0
+        for i, low, high in a:
+            while b[j0][2] <= low:
+                j0 += 1
+            j = j0
+            while j < len(b) and b[j][1] < high:
+                links.append((i, b[j][0]))
+                j += 1
+        ends = sorted({e for _, _, e in a} & {e for _, _, e in b})
+        groups, low = [], 0
+        ia = ib = 0
+        for e in ends:
+            ga, gb = [], []
+            while ia < len(a) and a[ia][2] <= e:
+                ga.append(str(a[ia][0]))
+                ia += 1
+            while ib < len(b) and b[ib][2] <= e:
+                gb.append(str(b[ib][0]))
+                ib += 1
+            groups.append(",".join(ga) + "|" + ",".join(gb))
+        found.append((doc, len(a), len(b), groups, links))
+    counts = collections.Counter(p for *_, links in found for p in set(links))
+    top = collections.defaultdict(int)
+    for (i, _), n in counts.items():
+        top[i] = max(top[i], n)
+    return [
+        (doc, n_a, n_b, len(g), len(ls), sum(counts[p] == top[p[0]] for p in ls), sum(counts[p] for p in ls), sha(";".join(g)) if n_a else "")
+        for doc, n_a, n_b, g, ls in found
+    ]

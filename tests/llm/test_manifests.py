@@ -9,11 +9,13 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from millrace.llm import alignment as A
 from millrace.llm import pieces as P
 from millrace.llm.merkle import manifest
 from millrace.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
+FIRST = public_tokenizers.path("byte_bpe_50k.json")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -106,3 +108,37 @@ def test_manifest_with_repeats_nulls_and_own_columns(spark):
 def test_manifest_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select(*FIELDS).collect()]
     assert Counter(map(tuple, QUERIES["op13_merkle_manifest"](spark, SF).select(*MANIFEST).collect())) == Counter(brute.merkle(rows))
+
+
+ALIGNED = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@pytest.mark.parametrize("block", [A.BLOCK_BYTES, 3000])
+def test_alignment(spark, docs, nasty, odd, block, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK_BYTES", block)
+    rows = [*nasty, *((1000 + i, t) for i, t in enumerate([*odd[:120], "<|endoftext|> x", "a  b \n c", "\u0085 a \u001c b", "▁ y"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = A.align_tokenizers(df, FIRST, MODEL, keep=["doc_id"])
+    assert Counter(map(tuple, found.select(*ALIGNED).collect())) == Counter(brute.alignment(rows, FIRST, MODEL))
+
+
+def test_alignment_with_own_columns_and_no_rows(spark, docs):
+    table = docs.withColumns({"N_A": F.lit("mine"), "block": F.lit(1), "k0": F.lit(2), "bucket": F.lit(3)})
+    found = A.align_tokenizers(table, FIRST, MODEL)
+    assert found.columns == ["doc_id", "text", "block", "k0", "bucket", *A.RESULTS]
+    assert {(r.block, r.k0, r.bucket) for r in found.collect()} == {(1, 2, 3)}
+    assert A.align_tokenizers(docs.limit(0), FIRST, MODEL).count() == 0
+
+
+def test_groups_and_their_products(spark, docs, nasty):
+    rows = A.aligned_tokens(docs, FIRST, MODEL).collect()
+    want = {(r[0], r[7]) for r in brute.alignment(nasty, FIRST, MODEL)}
+    text = lambda groups: ";".join(",".join(map(str, g.a)) + "|" + ",".join(map(str, g.b)) for g in groups)
+    assert {(r.doc_id, brute.sha(text(r.groups)) if r.groups else "") for r in rows} == want
+    pairs = Counter((a, b) for r in rows for g in r.groups for a in set(g.a) for b in set(g.b))
+    assert {(r.a, r.b): r.n_groups for r in A.group_products(A.aligned_tokens(docs, FIRST, MODEL)).collect()} == pairs
+
+
+def test_alignment_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert Counter(map(tuple, QUERIES["op11_tokenizer_alignment"](spark, SF).select(*ALIGNED).collect())) == Counter(brute.alignment(rows, FIRST, MODEL))
