@@ -14,6 +14,7 @@ what the block has asked for.  Texts and tokens never travel, only numbers of un
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,23 +31,40 @@ from .ngrams import planes, unplanes
 from .pieces import Numbers, Pieces, pieces, ranges, steps, units
 
 #: Buckets of first ids; bytes of text and distinct units that make a block; counts that a bucket holds before it adds up.
-BUCKETS, BLOCK_BYTES, BLOCK_UNITS, HELD_KEYS = 64, 20_000_000, 500_000, 3_000_000
+BUCKETS, BLOCK_BYTES, BLOCK_UNITS, HELD_KEYS = 64, 5_000_000, 120_000, 3_000_000
+#: Units that are joined to encode them, and units of documents whose pairs are laid out at a time.
+STEP_TEXTS, STEP_UNITS, LONG_UNIT = 2_000, 100_000, 1_000
+#: Fixed value: what a byte-level BPE cuts texts by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RESULTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
 class ByteTokens:
-    """A byte-level BPE of the tokenizers library: ids of texts, and the bytes of each id."""
+    """A byte-level BPE in a file of the tokenizers library: ids of units, and the bytes of each id.
+
+    Units are encoded joined, many at a time, by tiktoken, which is given the file's own tokens as
+    ranks; that needs ids in the order of the merges.  Its pattern matcher has a limit, so units
+    beyond LONG_UNIT characters go to the tokenizers library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        file = json.loads(self.model.to_str())
+        vocabulary, merges = file["model"]["vocab"], ["".join(m) for m in file["model"]["merges"]]
         byte_of = self._bytes()
-        names = {i: t for t, i in self.model.get_vocab().items()}
-        listed = [names.get(i, "") for i in range(max(names) + 1)]
-        raw = [bytes(byte_of[c] for c in t) if byte_of.keys() >= set(t) else b"" for t in listed]
+        ids = [vocabulary[m] for m in merges]
+        before, plain = file["pre_tokenizer"] or {}, file["normalizer"] is None
+        if not plain or before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"] or ids != sorted(ids):
+            raise ValueError(f"{path}: no plain byte-level BPE")
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if i in set(ids) or len(t) == 1}
+        self.fast = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        listed = {i: r for r, i in ranks.items()}
+        raw = [listed.get(i, b"") for i in range(max(vocabulary.values()) + 1)]
         self.size = np.array([len(r) for r in raw], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
@@ -58,10 +76,24 @@ class ByteTokens:
         rest = sorted(set(range(256)) - set(plain))
         return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum())), counts
+    def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, each with its space, one after another, and how many each has."""
+        out, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        long = np.flatnonzero(np.fromiter(map(len, found), np.int64, len(found)) > LONG_UNIT).tolist()
+        at = 0
+        for stop in [*long, len(found)]:
+            for low in range(at, stop, STEP_TEXTS):
+                part = found[low : min(low + STEP_TEXTS, stop)]
+                ids = self.fast.encode_ordinary("".join(part))
+                out.append(np.fromiter(ids, np.int64, len(ids)))
+                ends, until = np.cumsum(self.size[out[-1]]), np.cumsum(np.fromiter((len(u.encode()) for u in part), np.int64, len(part)))
+                counts.append(np.diff(np.searchsorted(ends, until), prepend=-1))
+            if stop < len(found):
+                ids = self.model.encode(found[stop], add_special_tokens=False).ids
+                out.append(np.array(ids, np.int64))
+                counts.append(np.array([len(ids)]))
+            at = stop + 1
+        return np.concatenate(out), np.concatenate(counts)
 
 
 @lru_cache(maxsize=2)
@@ -71,7 +103,7 @@ def byte_tokens(path: str) -> ByteTokens:
 
 def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Elementary intervals of two rising arrays of ends that stop at the same place: the owner on each side, and whether it closes a group."""
-    ends = np.union1d(ends_a, ends_b)
+    ends = _distinct(np.concatenate([ends_a, ends_b]))  # union1d
     a, b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
     return a, b, (ends_a[a] == ends) & (ends_b[b] == ends)
 
@@ -150,7 +182,7 @@ def _keys(found: Aligned, n_second: int) -> np.ndarray:
 
 
 def _distinct(values: np.ndarray) -> np.ndarray:
-    values = np.sort(values)
+    values = np.sort(values, kind="stable")
     return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
@@ -204,9 +236,8 @@ def _measure(first: str, second: str, text: str, kept: list[str]):
             good = _per(n_units, found.broken[per_unit]) == 0
             made = {c: _per(n_units, getattr(found, c)[per_unit]) * good for c in RESULTS[:4]}
             texts, until, digests = found.group_texts(), np.concatenate([[0], np.cumsum(n_units)]), []
-            at = per_unit.tolist()
             for i, ok in enumerate((good & (n_units > 0)).tolist()):
-                joined = b"".join(map(texts.__getitem__, at[until[i] : until[i + 1]])) if ok else b""
+                joined = b"".join(map(texts.__getitem__, per_unit[until[i] : until[i + 1]].tolist())) if ok else b""
                 digests.append(hashlib.sha256(joined[:-1]).hexdigest() if ok else "")
             pairs = _keys(found, two.n)
             keys = _distinct(pairs)
@@ -215,7 +246,7 @@ def _measure(first: str, second: str, text: str, kept: list[str]):
             place = order[np.searchsorted(keys, pairs, sorter=order)]
             counts = np.zeros(len(keys), np.int64)
             starts = np.cumsum(found.n_links) - found.n_links
-            cuts = np.flatnonzero(np.diff(np.cumsum(n_units) // 300_000, prepend=-1))
+            cuts = np.flatnonzero(np.diff(np.cumsum(n_units) // STEP_UNITS, prepend=-1))
             for low, high in zip(cuts, [*cuts[1:], len(n_units)]):  # documents hold a pair once, however often it occurs
                 part = slice(until[low], until[high])
                 own = _distinct(doc[part][good[doc[part]]] * len(names) + per_unit[part][good[doc[part]]])
@@ -404,10 +435,12 @@ def aligned_tokens(docs: DataFrame, first: str, second: str, text: str = "text",
         for whole in batches:
             for batch in steps(whole, text):
                 texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                found = align_units([t or "" for t in texts], one, two)
+                cut = [units(t) if t else [] for t in texts]
+                found = align_units(list(chain.from_iterable(cut)), one, two)
+                made, broken, ends = found.group_texts(), found.broken.tolist(), np.cumsum([len(c) for c in cut]).tolist()
                 groups = [
-                    [dict(zip("ab", map(side, g.split(b"|")))) for g in made[:-1].split(b";")] if t and made else []
-                    for t, made in zip(texts, found.group_texts())
+                    [dict(zip("ab", map(side, g.split(b"|")))) for u in made[e - len(c) : e] for g in u[:-1].split(b";")] if not any(broken[e - len(c) : e]) else []
+                    for c, e in zip(cut, ends)
                 ]
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(groups, target.field("groups").type)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target)], schema=target)
