@@ -88,9 +88,50 @@ select page_id, payload_bytes, payload_digest, case when lead_id = page_id then
   nullif(lead_id, page_id) as refers_to from led"""
 
 
+#: CRC-32 of the decimal digits of doc_id, a bit at a time.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))))"""
+
+
+def manifest_sql(fanout: int = 16) -> str:
+    def field(value: str) -> str:
+        return f"coalesce(strlen({value}::varchar)::varchar || ':' || {value}::varchar, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    def climbed(name: str, base: str) -> str:
+        """Nodes level by level, each with what stands to its left and right in its run."""
+        run = f"partition by tree, level, pos // {fanout} order by pos rows between"
+        beside = f"string_agg(digest, '') over ({run} unbounded preceding and 1 preceding), string_agg(digest, '') over ({run} 1 following and unbounded following)"
+        left, right = beside.split(", string_agg")
+        return f"""{name}_all(tree, level, pos, n, digest) as ({base} union all
+    select tree, level + 1, pos // {fanout}, any_value(n + {fanout - 1}) // {fanout}, sha256(string_agg(digest, '' order by pos)) from {name}_all where n > 1 group by tree, level, pos // {fanout}),
+  {name} as (select *, coalesce({left}, '') as lefts, coalesce(string_agg{right}, '') as rights from {name}_all)"""
+
+    in_tree = "row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as n"
+    damaged = f"case when {_CRC32} % 5 = 0 then translate(text, '{_UPPER}', '{_LOWER}') else text end"
+    return f"""with recursive plain as (select doc_id, coalesce('s' || source, '') as tree, {leaf("text")} as leaf, {leaf(damaged)} as own from documents),
+  leaves as (select *, {in_tree} from plain),
+  {climbed("node", "select tree, 0::bigint, pos::bigint, n::bigint, leaf from leaves")},
+  subroots as (select tree, digest, row_number() over (order by tree) - 1 as nth, count(*) over () as sources from node where n = 1),
+  {climbed("top", "select '', 0::bigint, nth::bigint, sources::bigint, digest from subroots")},
+  apex as (select digest as root from top where n = 1),
+  steps as (select doc_id, l.leaf, l.tree, l.pos as spot, x.level as seq, lefts, rights from leaves l join node x on x.tree = l.tree and x.pos = l.pos // ({fanout} ** x.level)::bigint and x.n > 1
+    union all select doc_id, l.leaf, l.tree, l.pos, 100 + x.level, lefts, rights from leaves l join subroots s using (tree) join top x on x.pos = s.nth // ({fanout} ** x.level)::bigint and x.n > 1),
+  ordered as (select *, row_number() over (partition by tree, spot order by seq) as k from steps),
+  folded(tree, spot, k, digest) as (select tree, pos, 0::bigint, own from leaves
+    union all select f.tree, f.spot, f.k + 1, sha256(lefts || digest || rights) from folded f join ordered o on o.tree = f.tree and o.spot = f.spot and o.k = f.k + 1),
+  final as (select tree, spot, arg_max(digest, k) as folded_root from folded group by 1, 2),
+  proofs as (select tree, spot, sha256(string_agg(lefts || rights, '' order by k)) as proof from ordered group by 1, 2)
+select l.doc_id, l.leaf, s.digest as subroot, root, coalesce(proof, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+from leaves l join subroots s using (tree) cross join apex join final f on f.tree = l.tree and f.spot = l.pos left join proofs p on p.tree = l.tree and p.spot = l.pos"""
+
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_sql(),
     "op2_substring_dedup": repeats_sql(),
     "op3_decontamination": contamination_sql(),
     "op10_warc": captures_sql(),
+    "op13_merkle_manifest": manifest_sql(),
 }
