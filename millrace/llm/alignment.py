@@ -58,10 +58,11 @@ class ByteTokens:
         vocabulary, merges = file["model"]["vocab"], ["".join(m) for m in file["model"]["merges"]]
         byte_of = self._bytes()
         ids = [vocabulary[m] for m in merges]
+        merged = set(ids)
         before, plain = file["pre_tokenizer"] or {}, file["normalizer"] is None
         if not plain or before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"] or ids != sorted(ids):
             raise ValueError(f"{path}: no plain byte-level BPE")
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if i in set(ids) or len(t) == 1}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if i in merged or len(t) == 1}
         self.fast = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         listed = {i: r for r, i in ranks.items()}
         raw = [listed.get(i, b"") for i in range(max(vocabulary.values()) + 1)]
@@ -214,7 +215,7 @@ def _ipc(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-BLOCK = "block long, bucket int, docs binary, numbers binary, units binary, keys binary, counts binary"
+BLOCK = "block long, bucket int, docs binary, numbers binary, links binary, places binary, keys binary, counts binary"
 
 
 def _measure(first: str, second: str, text: str, kept: list[str]):
@@ -259,7 +260,7 @@ def _measure(first: str, second: str, text: str, kept: list[str]):
             for c, v in made.items():
                 table = table.append_column(c, pa.array(v))
             table = table.append_column("good", pa.array(good)).append_column("groups_sha256", pa.array(digests, pa.string()))
-            listed = pa.table({"unit": pa.array([names[i] for i in often.tolist()], pa.large_string())})
+            n_links = found.n_links[often]
             block = int.from_bytes(os.urandom(8), "big", signed=True)
             edges = np.searchsorted(keys // two.n % BUCKETS, np.arange(BUCKETS + 1))
             asked = [k for k in range(BUCKETS) if edges[k] < edges[k + 1]]
@@ -270,11 +271,12 @@ def _measure(first: str, second: str, text: str, kept: list[str]):
                     pa.array([None, *asked], pa.int32()),
                     pa.array([_ipc(table), *none], pa.binary()),
                     pa.array([_pack(new[per_unit]), *none], pa.binary()),
-                    pa.array([_ipc(listed), *none], pa.binary()),
+                    pa.array([_pack(n_links), *none], pa.binary()),
+                    pa.array([_pack(place[ranges(starts[often], n_links)]), *none], pa.binary()),
                     pa.array([None, *(_rising(keys[edges[k] : edges[k + 1]]) for k in asked)], pa.binary()),
                     pa.array([None, *(_pack(counts[edges[k] : edges[k + 1]]) for k in asked)], pa.binary()),
                 ],
-                names=["block", "bucket", "docs", "numbers", "units", "keys", "counts"],
+                names=["block", "bucket", "docs", "numbers", "links", "places", "keys", "counts"],
             )
             rows.clear()
             numbers.clear()
@@ -388,7 +390,7 @@ def align_tokenizers(docs: DataFrame, first: str, second: str, text: str = "text
     both = both.repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("block").asc_nulls_first())
     answers = both.select("block", "bucket", "keys", "counts", "best").mapInArrow(_answer, schema_of("block long, answer struct<bucket:int,counts:binary,best:binary>"))
     answers = answers.groupBy("block").agg(F.array_sort(F.collect_list("answer")).alias("answers"))  # BUCKETS at most
-    blocks = spark.read.parquet(path).where("bucket is null").select("block", "docs", "numbers", "units")
+    blocks = spark.read.parquet(path).where("bucket is null").select("block", "docs", "numbers", "links", "places")
     out = schema_of("n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     for c in reversed(kept):
         out = type(out)([docs.schema[c], *out])
@@ -396,22 +398,17 @@ def align_tokenizers(docs: DataFrame, first: str, second: str, text: str = "text
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target, one, two = to_arrow_schema(out), byte_tokens(first), pieces(second)
+        target = to_arrow_schema(out)
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in ("docs", "numbers", "units", "answers")}
-                table, listed = (pa.ipc.open_stream(row[c].as_buffer()).read_all() for c in ("docs", "units"))
-                found = align_units(listed["unit"].to_pylist(), one, two)
-                pairs = _keys(found, two.n)
-                answers = row["answers"].as_py() or []
+                row = {c: batch.column(c)[i].as_py() for c in ("docs", "numbers", "links", "places", "answers")}
+                table = pa.ipc.open_stream(row["docs"]).read_all()
+                answers = row["answers"] or []
                 counts = np.concatenate([np.zeros(0, np.int64), *(_unpack(a["counts"]) for a in answers)])
                 best = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(a["best"], np.uint8), count=len(a["counts"]) // 8) for a in answers)])
-                keys = _distinct(pairs)
-                by_number = np.empty(len(keys), np.int64)
-                by_number[_in_buckets(keys, two.n)] = np.arange(len(keys))
-                place = by_number[np.searchsorted(keys, pairs)]
-                at, n_units, good = _unpack(row["numbers"].as_py()), table["n_units"].to_numpy(), table["good"].to_numpy()
-                sums = [_per(n_units, _per(found.n_links, v[place].astype(np.int64))[at]) * good for v in (best, counts)]
+                at, n_links, place = (_unpack(row[c]) for c in ("numbers", "links", "places"))
+                n_units, good = table["n_units"].to_numpy(), table["good"].to_numpy()
+                sums = [_per(n_units, _per(n_links, v[place].astype(np.int64))[at]) * good for v in (best, counts)]
                 columns = [table[f"k{k}"] for k in range(len(kept))] + [table[c] for c in RESULTS[:4]] + [pa.array(s) for s in sums] + [table["groups_sha256"]]
                 yield from pa.table([c.cast(f.type) for c, f in zip(columns, target)], schema=target).combine_chunks().to_batches()
 
