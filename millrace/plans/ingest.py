@@ -27,7 +27,7 @@ def archive(parts: dict[str, str]) -> bytes:
     return out.getvalue()
 
 
-def workbook(sheets: dict[str, list[list[tuple[str, object]]]], hidden: tuple[str, ...] = ()) -> bytes:
+def workbook(sheets: dict[str, list[list[tuple[str, object]]]], hidden: tuple[str, ...] = (), merged: dict[str, list[str]] | None = None) -> bytes:
     """A workbook of cells (style, value); styles: '' general, 'date', 'percent'."""
     styles = {"": 0, "date": 1, "percent": 2}
     parts = {
@@ -35,10 +35,11 @@ def workbook(sheets: dict[str, list[list[tuple[str, object]]]], hidden: tuple[st
         "xl/_rels/workbook.xml.rels": "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>",
         "xl/styles.xml": f'<styleSheet xmlns="{_MAIN}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="9"/></cellXfs></styleSheet>',
     }
-    for i, rows in enumerate(sheets.values()):
+    for i, (name, rows) in enumerate(sheets.items()):
         cell = lambda at, s, v: f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f'<c r="{at}" s="{styles[s]}"><v>{v}</v></c>'
         body = "".join(f'<row r="{y}">' + "".join(cell(f"{chr(65 + x)}{y}", s, v) for x, (s, v) in enumerate(row) if v is not None) + "</row>" for y, row in enumerate(rows, 1))
-        parts[f"xl/worksheets/s{i}.xml"] = f'<worksheet xmlns="{_MAIN}"><sheetData>{body}</sheetData></worksheet>'
+        ranges = "".join(f'<mergeCell ref="{r}"/>' for r in (merged or {}).get(name, []))
+        parts[f"xl/worksheets/s{i}.xml"] = f'<worksheet xmlns="{_MAIN}"><sheetData>{body}</sheetData>{ranges}</worksheet>'
     return archive(parts)
 
 

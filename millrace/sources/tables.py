@@ -34,8 +34,12 @@ EXTENSIONS = {
     "csv": "csv", "tsv": "tsv", "txt": "text", "md": "text", "xlsx": "xlsx", "xlsm": "xlsx", "xls": "xls", "docx": "docx", "pdf": "pdf", "png": "image", "jpg": "image",
     "jpeg": "image", "tif": "image", "tiff": "image", "bmp": "image", "webp": "image", "json": "json",
 }
-RECORDS = "path string, kind string, sheet string, row_number int, headers array<string>, fields map<string,string>, problem string"
+RECORDS = "path string, kind string, sheet string, row_number int, headers array<string>, fields map<string,string>, title string, problem string"
 _NUMBER = re.compile(r"[-+]?\d+(\.\d+)?%?")
+_DATE = re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}([T ]\d{1,2}:\d{2}(:\d{2})?)?")
+#: Words of a label that names whom a row is about, and what a cell of marks holds for the absent.
+_IDENTIFIER = re.compile(r"\b(usn|seat|name|no|number|roll|reg|regd|register|registration|id|enrol+ment|admission|adm|prn|ticket|student|candidate)\b", re.I)
+ABSENCE = frozenset({"A", "AB", "ABS", "ABSENT", "-", "--", "NA", "N/A", "NE", "MP", "X"})
 _SPLIT = re.compile(r"\s{2,}|\t|\s\|\s|,")
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -106,19 +110,143 @@ def header_row(grid: list[list]) -> int | None:
     return at
 
 
-def grouped(upper: list[str], lower: list[str], data: list[str]) -> list[str] | None:
-    """One label a column from a row of group labels over one of their own labels; None if the lower row is data."""
-    width = max(len(upper), len(lower))
-    up, low, under = (row + [""] * (width - len(row)) for row in (upper, lower, data))
-    gaps = [i for i in range(width) if not up[i] and low[i]]
-    labels = [c for c in low if c]
-    if not gaps or len(labels) < 2 or any(_NUMBER.fullmatch(c) for c in labels) or not any(_NUMBER.fullmatch(under[i]) for i in range(width) if low[i]):
+def _kind(cell: str) -> str:
+    """What a cell holds: nothing, a number, a date, an address, a code (letters and digits without blanks) or text."""
+    if not cell:
+        return ""
+    if _NUMBER.fullmatch(cell):
+        return "number"
+    if _DATE.fullmatch(cell):
+        return "date"
+    if "@" in cell:
+        return "email"
+    return "code" if " " not in cell and re.search(r"\d", cell) and re.search(r"[^\W\d_]", cell) else "text"
+
+
+def counting(cells: list[str]) -> set[int]:
+    """Columns whose labels count: 1, 2, 3 or years up or down, all side by side."""
+    at = [i for i, c in enumerate(cells) if re.fullmatch(r"\d{1,4}", c)]
+    numbers = [int(cells[i]) for i in at]
+    steps = {b - a for a, b in zip(numbers, numbers[1:])}
+    if steps not in ({1}, {-1}) or at != list(range(at[0], at[-1] + 1)):
+        return set()
+    years = 1900 <= numbers[0] <= 2100
+    return set(at) if years or (numbers[0] == 1 and steps == {1}) else set()
+
+
+class _Columns:
+    """What the first filled rows of data hold, by column: the usual kind, and all values."""
+
+    def __init__(self, rows: list[list[str]]):
+        filled = [r for r in rows[:50] if any(r)][:6]
+        self.values: dict[int, set[str]] = {}
+        kinds: dict[int, Counter[str]] = {}
+        for row in filled:
+            for i, c in enumerate(row):
+                if c:
+                    kinds.setdefault(i, Counter())[_kind(c)] += 1
+                    self.values.setdefault(i, set()).add(c)
+        self.kind = {i: k.most_common(1)[0][0] for i, k in kinds.items()}
+
+    def judged(self, row: list[str]) -> tuple[int, int]:
+        """How many cells are labels of another kind than their column, and how many could be its data."""
+        numbers = counting(row)
+        known = [(i, c, self.kind[i]) for i, c in enumerate(row) if c and i in self.kind]
+        like = [i for i, c, k in known if c in self.values[i] or (i not in numbers and k == _kind(c) != "text")]
+        return sum(i not in like and (i in numbers or _kind(c) != k) for i, c, k in known), len(like)
+
+
+def _labels_only(row: list[str]) -> bool:
+    cells, numbers = [c for c in row if c], counting(row)
+    plain = [c for i, c in enumerate(row) if c and i not in numbers]
+    if len(cells) < 2 or len(set(cells)) < max(2, int(len(cells) * 0.6)):
+        return False
+    return any(_kind(c) == "text" for c in plain) and not any(_kind(c) in ("number", "email") or re.search(r"\d{5,}", c) or len(c) > 60 for c in plain)
+
+
+def stacked(upper: list[str], lower: list[str], ends: dict[int, int]) -> tuple[list[str], dict[int, list[int]]] | None:
+    """One label a column from a row of group labels over another row, and the columns of each group.
+
+    ends has the last column of each merged range of the upper row.  Without one, a label with a label under it
+    reaches on while there is nothing beside it and something below.  None if the lower row has cells under
+    a label of one column, or equal labels under one group: then it is no second header.
+    """
+    owner, at = [], None
+    for i, (up, low) in enumerate(zip(upper, lower)):
+        if at is None or i > ends.get(at, -1):
+            at = i if up else at if at is not None and at not in ends and low and lower[at] else None
+        owner.append(at)
+    groups = {g: own for g in set(owner) - {None} if len(own := [i for i, o in enumerate(owner) if o == g]) > 1}
+    if any(low and o is not None and o not in groups for low, o in zip(lower, owner)):
         return None
-    out, group = [], ""
-    for i in range(width):
-        group = up[i] or (group if low[i] else "")
-        out.append(" ".join(x for x in (group, low[i]) if x))
-    return out if len(set(out)) == len(out) else None
+    names = [" ".join(x for x in (upper[o] if o is not None else "", low) if x) for low, o in zip(lower, owner)]
+    named = [n for n, low in zip(names, lower) if low]
+    return None if len(set(named)) < len(named) or set(named) & {n for n, low in zip(names, lower) if n and not low} else (names, groups)
+
+
+def header_rows(rows: list[list[str]], at: int, merged: list[tuple[int, int, int, int]]) -> tuple[int, int, list[str]]:
+    """(first row, last row, labels) of the header around row at: two rows where one groups the other's labels."""
+    for first in (at, at - 1):
+        if first < 0 or first + 1 >= len(rows):
+            continue
+        width = max(len(rows[first]), len(rows[first + 1]))
+        upper, lower = (r + [""] * (width - len(r)) for r in rows[first : first + 2])
+        data = _Columns(rows[first + 2 :])
+        inside = [[c if i in data.kind or other[i] else "" for i, c in enumerate(r)] for r, other in ((upper, lower), (lower, upper))]  # without notes beside the table
+        both = stacked(upper, lower, {c: d for a, c, _, d in merged if a == first and d > c}) if all(map(_labels_only, inside)) else None
+        if not both:
+            continue
+        names, groups = both
+        if first == at:
+            labels, like = data.judged(lower)
+            if labels >= 2 and not like:
+                return first, first + 1, names
+            continue
+        alone = [i for i, c in enumerate(upper) if c and not lower[i] and i in data.kind]
+        leads = next((i for i, c in enumerate(upper) if c and (i in data.kind or lower[i])), None)
+        under = [tuple(lower[i] for i in own if lower[i]) for own in groups.values()]
+        names_one = leads in alone and any(_IDENTIFIER.search(upper[i]) for i in alone)
+        repeated = len({u for u in under if u}) < len([u for u in under if u])
+        if groups and alone and (names_one or repeated) and not data.judged(upper)[1]:
+            return first, first + 1, names
+    return at, at, rows[at]
+
+
+def header_above(rows: list[list[str]], at: int) -> int:
+    """The header over row at where that is a row of data: one that is wider than its header, or has a number less in its labels.
+
+    Rows above that hold the same kinds of things as row at are data too; the first that does not must be
+    labels over nearly all filled columns, and over these only.
+    """
+    below = next((r for r in rows[at + 1 : at + 6] if any(r)), [])
+    if not _Columns([below]).judged(rows[at])[1]:
+        return at
+    filled = {i for r in (rows[at], below) for i, c in enumerate(r) if c}
+    for i in range(at - 1, -1, -1):
+        row = rows[i]
+        if not any(row):
+            continue
+        own = {j for j, c in enumerate(row) if c}
+        named, like = _Columns([rows[at]]).judged(row)
+        if like and not counting(row):
+            continue
+        gaps = sum(j not in own for j, c in enumerate(rows[at]) if c)
+        return i if _labels_only(row) and own <= filled and named >= 2 and gaps <= max(1, len(filled) // 5) else at
+    return at
+
+
+def is_note(row: list[str], data: _Columns, grouped: bool) -> bool:
+    """A row under the headers that names nobody: blank where the data has codes and texts, short labels over numbers only.
+
+    Under a single header row, codes of absence are a student's and no note.
+    """
+    who = [i for i, k in data.kind.items() if k in ("code", "text")]
+    labels = [(i, c) for i, c in enumerate(row) if c and i in data.kind]
+    if not who or len(labels) < 2 or any(i < len(row) and row[i] for i in who):
+        return False
+    if any(data.kind[i] != "number" or _kind(c) != "text" or len(c) > 16 for i, c in labels):
+        return False
+    return grouped or not all(c.upper().replace(".", "") in ABSENCE for _, c in labels)
 
 
 def distinct_headers(cells: list[str]) -> list[str]:
@@ -132,20 +260,29 @@ def distinct_headers(cells: list[str]) -> list[str]:
     return out
 
 
-def grid_records(grid: list[list]) -> Iterator[tuple[int, list[str], dict[str, str]]]:
-    """(row number, headers, fields) of each row under the header that is not blank; nothing without a header row."""
+def grid_records(grid: list[list], merged: list[tuple[int, int, int, int]] = ()) -> Iterator[tuple[int, list[str], dict[str, str], str]]:
+    """(row number, headers, fields, title) of each row under the header that is not blank; nothing without a header row.
+
+    merged has the ranges (first row, first column, last row, last column) that are shown as one cell.
+    Columns without a label are kept where they hold data; a row of notes right under the headers is
+    left out.  The title is what stands above the headers.
+    """
     at = header_row(grid)
+    rows = [[_label(c) for c in row] for row in grid]
+    if at is None:
+        at = next((i for i, r in enumerate(rows[:HEADER_ROWS]) if counting(r) and _labels_only(r)), None)
     if at is None:
         return
-    rows = [[_label(c) for c in row] for row in grid]
-    names, last = rows[at], at
-    if at + 2 < len(rows) and (both := grouped(rows[at], rows[at + 1], rows[at + 2])):
-        names, last = both, at + 1
+    first, last, names = header_rows(rows, header_above(rows, at), merged)
     width = max([len(names), *(max((i + 1 for i, c in enumerate(r) if c), default=0) for r in rows[last + 1 :])])
     headers = distinct_headers(names + [""] * (width - len(names)))
-    for i in range(last + 1, len(grid)):
+    title = " ".join(c for r in rows[:first] for c in r if c)[:200]
+    start = last + 1
+    if start < len(rows) and is_note(rows[start], _Columns(rows[start + 1 :]), last > first):
+        start += 1
+    for i in range(start, len(grid)):
         if any(rows[i]):
-            yield i + 1, headers, {h: str("" if c is None else c).strip() for h, c in zip(headers, grid[i], strict=False)}
+            yield i + 1, headers, {h: str("" if c is None else c).strip() for h, c in zip(headers, grid[i], strict=False)}, title
 
 
 def text_grid(text: str) -> list[list[str]] | None:
@@ -156,7 +293,7 @@ def text_grid(text: str) -> list[list[str]] | None:
     return rows if n >= 3 and max(widths.values()) >= max(3, int(n * 0.6)) else None
 
 
-def json_records(text: str) -> Iterator[tuple[int, list[str], dict[str, str]]]:
+def json_records(text: str) -> Iterator[tuple[int, list[str], dict[str, str], str]]:
     """The objects of a list, of the first list of objects in an object, or the object itself."""
     value = json.loads(text)
     if isinstance(value, dict):
@@ -164,7 +301,7 @@ def json_records(text: str) -> Iterator[tuple[int, list[str], dict[str, str]]]:
     rows = [r for r in value if isinstance(r, dict)] if isinstance(value, list) else []
     headers = distinct_headers(list(dict.fromkeys(k for r in rows for k in r)))
     for i, r in enumerate(rows, 1):
-        yield i, headers, {k: None if v is None else v if isinstance(v, str) else json.dumps(v) for k, v in r.items()}
+        yield i, headers, {k: None if v is None else v if isinstance(v, str) else json.dumps(v) for k, v in r.items()}, ""
 
 
 def opened(content: bytes) -> zipfile.ZipFile:
@@ -177,11 +314,19 @@ def opened(content: bytes) -> zipfile.ZipFile:
     return archive
 
 
-def _column(reference: str) -> int:
+#: Columns of a sheet, as the format has it; a cell that claims another place makes the file unreadable.
+SHEET_COLUMNS = 16_384
+
+
+def _place(reference: str) -> tuple[int, int]:
+    """Row and column (from 0) of a cell such as AB12."""
+    letters, digits = re.fullmatch("([A-Z]{1,3})([1-9][0-9]{0,6})", reference).groups()
     n = 0
-    for c in re.match("[A-Z]{0,3}", reference).group():
+    for c in letters:
         n = n * 26 + ord(c) - 64
-    return max(0, n - 1)
+    if n > SHEET_COLUMNS:
+        raise ValueError(f"no column {letters}")
+    return int(digits) - 1, n - 1
 
 
 def _shown(cell: ElementTree.Element, shared: list[str], style: str) -> object:
@@ -205,8 +350,15 @@ def _shown(cell: ElementTree.Element, shared: list[str], style: str) -> object:
     return int(number) if number.is_integer() else number
 
 
-def sheet_grids(content: bytes) -> Iterator[tuple[str, list[list]]]:
-    """(name, cells) of each sheet of a workbook that is not hidden."""
+def sheet_names(content: bytes) -> list[str]:
+    """The sheets of a workbook that are not hidden."""
+    with opened(content) as archive:
+        sheets = ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")  # noqa: S314
+        return [s.get("name") for s in sheets if s.get("state", "visible") == "visible"]
+
+
+def sheet_grids(content: bytes, only: str | None = None) -> Iterator[tuple[str, list[list], list[tuple[int, int, int, int]]]]:
+    """(name, cells, merged ranges) of each sheet of a workbook that is not hidden, or of one."""
     with opened(content) as archive:
         names = set(archive.namelist())
         xml = lambda n: ElementTree.fromstring(archive.read(n)) if n in names else None  # noqa: E731, S314
@@ -221,24 +373,28 @@ def sheet_grids(content: bytes) -> Iterator[tuple[str, list[list]]]:
                 looks.append("percent" if i in PERCENT_FORMATS or "%" in code else "date" if i in DATE_FORMATS or re.search("[ymdh]", code) else "")
         targets = {r.get("Id"): r.get("Target").lstrip("/") for r in xml("xl/_rels/workbook.xml.rels")}
         for sheet in xml("xl/workbook.xml").iter(f"{_MAIN}sheet"):
-            if sheet.get("state", "visible") != "visible":
+            if sheet.get("state", "visible") != "visible" or only not in (None, sheet.get("name")):
                 continue
             target = targets[sheet.get(_RELATION)]
             grid: list[list] = []
+            merged = []
             with archive.open(target if target.startswith("xl/") else f"xl/{target}") as source:
                 for _, row in ElementTree.iterparse(source):  # noqa: S314
+                    if row.tag == f"{_MAIN}mergeCell":
+                        low, _, high = row.get("ref", "").partition(":")
+                        merged.append((*_place(low), *_place(high or low)))
                     if row.tag != f"{_MAIN}row":
                         continue
                     while len(grid) + 1 < int(row.get("r", len(grid) + 1)):
                         grid.append([])
                     cells: list = []
                     for cell in row.iter(f"{_MAIN}c"):
-                        cells += [""] * (min(_column(cell.get("r", "")), 1023) - len(cells))
+                        cells += [""] * (_place(cell.get("r"))[1] - len(cells) if cell.get("r") else 0)
                         at = int(cell.get("s", 0))
                         cells.append(_shown(cell, shared, looks[at] if at < len(looks) else ""))
                     grid.append(cells)
                     row.clear()
-            yield sheet.get("name"), grid
+            yield sheet.get("name"), grid, merged
 
 
 def document_parts(content: bytes) -> tuple[str, list[list[list[str]]]]:
@@ -252,19 +408,22 @@ def document_parts(content: bytes) -> tuple[str, list[list[list[str]]]]:
     return "\n".join(paragraphs), tables
 
 
-def _records(kind: str, content: bytes) -> Iterator[tuple[str, int, list[str], dict[str, str]]]:
+def _records(kind: str, content: bytes, only: str | None = None) -> Iterator[tuple[str, int, list[str], dict[str, str], str]]:
+    """(sheet, row number, headers, fields, title) of all tables of a file, or of one of its sheets."""
     if kind == "xlsx":
-        grids = sheet_grids(content)
+        grids = sheet_grids(content, only)
     elif kind == "docx":
-        grids = ((f"table_{i}", t) for i, t in enumerate(document_parts(content)[1], 1))
+        grids = ((f"table_{i}", t, ()) for i, t in enumerate(document_parts(content)[1], 1))
     elif kind == "json":
         yield from (("data", *r) for r in json_records(decoded(content)[0]))
         return
     else:
         text = decoded(content)[0]
-        grids = [("data", text_grid(text) or [])] if kind == "text" else [("data", list(csv.reader(io.StringIO(text), delimiter="\t" if kind == "tsv" else delimiter(text))))]
-    for name, grid in grids:
-        yield from ((name, *r) for r in grid_records(grid))
+        grid = (text_grid(text) or []) if kind == "text" else list(csv.reader(io.StringIO(text), delimiter="\t" if kind == "tsv" else delimiter(text)))
+        grids = [("data", grid, ())]
+    for name, grid, merged in grids:
+        if only in (None, name):
+            yield from ((name, *r) for r in grid_records(grid, merged))
 
 
 def read_tables(files: DataFrame) -> DataFrame:
@@ -288,7 +447,7 @@ def read_tables(files: DataFrame) -> DataFrame:
                     problem = None if rows else "no table"
                 except (ValueError, KeyError, TypeError, AttributeError, IndexError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError, RecursionError) as error:
                     problem = str(error)[:200] or type(error).__name__
-                yield pd.DataFrame([*rows, (path, kind, None, None, None, None, problem)] if problem else rows, columns=names)
+                yield pd.DataFrame([*rows, (path, kind, None, None, None, None, None, problem)] if problem else rows, columns=names)
 
     return files.select("path", file_kind(F.col("path"), F.col("content")).alias("kind"), "content").mapInPandas(run, RECORDS)
 
@@ -354,7 +513,7 @@ def document_passages(files: DataFrame) -> DataFrame:
                     paragraphs, grids = document_parts(content)
                 except (ValueError, KeyError, TypeError, AttributeError, zipfile.BadZipFile, ElementTree.ParseError):
                     continue
-                lines = [" | ".join(f"{k}: {v}" for k, v in fields.items()) for g in grids for _, _, fields in grid_records(g)]
+                lines = [" | ".join(f"{k}: {v}" for k, v in fields.items()) for g in grids for _, _, fields, _ in grid_records(g)]
                 rows += [(path, i, p) for i, p in enumerate(chunks_of("\n\n".join([paragraphs, "\n".join(lines)])))]
             yield pd.DataFrame(rows, columns=["path", "place", "passage"])
 

@@ -12,9 +12,12 @@ def read(spark, **files):
 
 
 def test_header_rows_and_their_groups():
-    grid = [["Marks of the second semester"], [], ["USN", "Name", "Internal", "", "External"], ["", "", "IA1", "IA2", "Total"], ["1MS1", "Ann", "20", "21", "60"], ["1MS2", "Bob", "", "19", "55"]]
+    grid = [["Marks of the second semester"], [], ["USN", "Name", "Internal", "", "External", ""], ["", "", "IA1", "IA2", "Theory", "Total"], ["1MS1", "Ann", "20", "21", "60", "80"], ["1MS2", "Bob", "", "19", "55", "70"]]
     rows = list(tables.grid_records(grid))
-    assert rows[0] == (5, ["USN", "Name", "Internal IA1", "Internal IA2", "External Total"], {"USN": "1MS1", "Name": "Ann", "Internal IA1": "20", "Internal IA2": "21", "External Total": "60"})
+    names = ["USN", "Name", "Internal IA1", "Internal IA2", "External Theory", "External Total"]
+    assert rows[0] == (5, names, dict(zip(names, ["1MS1", "Ann", "20", "21", "60", "80"])), "Marks of the second semester")
+    one = [["USN", "Name", "External"], ["", "", "Total"], ["1MS1", "Ann", "60"]]  # under a label of one column there are no others
+    assert [h for _, h, _, _ in tables.grid_records(one)][0] == ["USN", "Name", "External"]
     assert tables.distinct_headers(["a", "", "a", "a"]) == ["a", "column_2", "a (2)", "a (3)"]
     assert tables.header_row([["1", "2"], ["3", "4"]]) is None and tables.text_grid("a  b\nc\n") is None
 
