@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import n_buckets, schema_of, scratch, without
-from .ngrams import planes, unplanes
+from .ngrams import planes
 from .pieces import Numbers, Pieces, pieces, ranges, steps, units
 
 #: Buckets of first ids; bytes of text and distinct units that make a block; counts that a bucket holds before it adds up.
@@ -193,11 +193,15 @@ def _in_buckets(keys: np.ndarray, n_second: int) -> np.ndarray:
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    return planes(np.ascontiguousarray(numbers).astype(np.uint64))
+    """Numbers from 0 on in as many bytes as the largest needs, as byte planes."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if numbers.max(initial=0) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + planes(numbers.astype(kind))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return unplanes(data).view(np.int64)
+    width = data[0]
+    rows = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    return np.ascontiguousarray(rows.T).view(f"u{width}").ravel().astype(np.int64)
 
 
 def _rising(numbers: np.ndarray) -> bytes:
@@ -404,8 +408,9 @@ def align_tokenizers(docs: DataFrame, first: str, second: str, text: str = "text
                 row = {c: batch.column(c)[i].as_py() for c in ("docs", "numbers", "links", "places", "answers")}
                 table = pa.ipc.open_stream(row["docs"]).read_all()
                 answers = row["answers"] or []
-                counts = np.concatenate([np.zeros(0, np.int64), *(_unpack(a["counts"]) for a in answers)])
-                best = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(a["best"], np.uint8), count=len(a["counts"]) // 8) for a in answers)])
+                parts = [_unpack(a["counts"]) for a in answers]
+                counts = np.concatenate([np.zeros(0, np.int64), *parts])
+                best = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(a["best"], np.uint8), count=len(n)) for a, n in zip(answers, parts))])
                 at, n_links, place = (_unpack(row[c]) for c in ("numbers", "links", "places"))
                 n_units, good = table["n_units"].to_numpy(), table["good"].to_numpy()
                 sums = [_per(n_units, _per(n_links, v[place].astype(np.int64))[at]) * good for v in (best, counts)]
