@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -52,6 +53,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Keys that may be dealt to several tasks in spread_join(), at most, and to how many.
+HOT_KEYS, SALTS = 500, 64
+
+
+def spread_join(rows: DataFrame, single: DataFrame, key: str) -> DataFrame:
+    """The inner join of rows with single, which has one row for each key; rows of a key may be any share of all.
+
+    Keys that hold more than one of HOT_KEYS equal parts of the rows are fewer than HOT_KEYS, so they can be broadcast;
+    their rows go to SALTS tasks, with a copy of the single row each.  rows should be a stored table.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    most = rows.count() // HOT_KEYS + 1
+    hot = F.broadcast(cut(counts.where(F.col("_n") > max(most, 1000)).select(key, F.lit(True).alias("_hot"))))
+    salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    dealt = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(single.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot"), [key, "_salt"]).drop("_salt")
+
+
 def schema_of(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 

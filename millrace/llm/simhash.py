@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import cut, n_buckets, schema_of, with_text_columns
+from .frames import cut, n_buckets, schema_of, spread_join, with_text_columns
 from .hashing import Chunk, chunks, mix, windows, words
 
 SEED = 42
 #: Query-node pairs that a task looks at in one go.
 STEP_PAIRS = 1_000_000
-#: Of wide fingerprints: their bits, and those of a band; texts whose bits agree in a band meet in one tree.
-WIDE_BITS, BAND_BITS = 512, 16
+#: Bits of wide fingerprints, and by how many standard deviations their distance may lie above its mean for texts at the limit.
+WIDE_BITS, SLACK = 512, 3.5
+#: MinHash values of a text: BANDS keys of BAND_ROWS values each; texts that share a key meet in one shard.
+BANDS, BAND_ROWS = 20, 6
 #: Shingles whose bits are added up at a time: their counts fit in 16 bits.
 STEP_SHINGLES = 60_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -59,36 +61,69 @@ def with_fingerprints(
     return with_text_columns(docs, text, f"{name} long", run, keep)
 
 
+def shingle_hashes(chunk: Chunk, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of all shingles of a chunk, sorted by text; a text of fewer words is one shingle, one without words has none."""
+    w = words(Chunk(chunk.first, _LOWER[chunk.buf], chunk.offsets))
+    hashes = w.hashes()
+    starts, keys = windows(hashes, w.doc, n_words)
+    parts = [(w.doc[starts], keys)]
+    for n in np.unique(w.counts[(w.counts > 0) & (w.counts < n_words)]).tolist():
+        starts, keys = windows(hashes, w.doc, n)
+        whole = w.counts[w.doc[starts]] == n
+        parts.append((w.doc[starts][whole], keys[whole]))
+    doc, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(doc, kind="stable")
+    return doc[order], keys[order]
+
+
 def wide_fingerprints(column: pa.Array, n_words: int, bits: int) -> np.ndarray:
     """A row of bits for each text, as 64-bit numbers: 1 where over half of its shingles' hashes have it; no words: zero."""
-    out = []
-    for chunk in chunks(column):
-        w = words(Chunk(chunk.first, _LOWER[chunk.buf], chunk.offsets))
-        hashes = w.hashes()
-        starts, keys = windows(hashes, w.doc, n_words)
-        parts = [(w.doc[starts], keys)]
-        for n in np.unique(w.counts[(w.counts > 0) & (w.counts < n_words)]).tolist():  # such texts are one shingle
-            starts, keys = windows(hashes, w.doc, n)
-            whole = w.counts[w.doc[starts]] == n
-            parts.append((w.doc[starts][whole], keys[whole]))
-        doc, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(doc, kind="stable")
-        doc, keys = doc[order], keys[order]
-        total = np.bincount(doc, minlength=chunk.n)
-        made = np.zeros((chunk.n, bits // 64), np.uint64)
-        for k in range(bits // 64):
-            spread = mix(keys + np.uint64((k + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
-            counts = np.zeros((chunk.n, 64), np.int64)
-            for at in range(0, len(keys), STEP_SHINGLES):
-                own = doc[at : at + STEP_SHINGLES]
-                first = np.flatnonzero(np.diff(own, prepend=-1))
-                lanes = _LANES[spread[at : at + STEP_SHINGLES].view(np.uint8).reshape(-1, 8)].reshape(len(own), -1)
-                counts[own[first]] += np.add.reduceat(lanes, first, axis=0).view(np.uint16)
-            made[:, k] = np.packbits(2 * counts > total[:, None], axis=1).view(np.uint64).ravel()
-        out.append(made)
+    out = [wide_bits(*shingle_hashes(chunk, n_words), chunk.n, bits) for chunk in chunks(column)]
     return np.concatenate(out) if out else np.zeros((0, bits // 64), np.uint64)
 
 
+def wide_bits(doc: np.ndarray, keys: np.ndarray, n: int, bits: int) -> np.ndarray:
+    total = np.bincount(doc, minlength=n)
+    made = np.zeros((n, bits // 64), np.uint64)
+    for k in range(bits // 64):
+        spread = mix(keys + np.uint64((k + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+        counts = np.zeros((n, 64), np.int64)
+        for at in range(0, len(keys), STEP_SHINGLES):
+            own = doc[at : at + STEP_SHINGLES]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            lanes = _LANES[spread[at : at + STEP_SHINGLES].view(np.uint8).reshape(-1, 8)].reshape(len(own), -1)
+            counts[own[first]] += np.add.reduceat(lanes, first, axis=0).view(np.uint16)
+        made[:, k] = np.packbits(2 * counts > total[:, None], axis=1).view(np.uint64).ravel()
+    return made
+
+
+def minhash_bands(doc: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """BANDS keys for each text: hashes of BAND_ROWS minima in a row, of one permutation in bins.
+
+    An empty bin takes the minimum of another of its text's, chosen by the number of the bin and of the
+    attempt alone, so that two texts agree in a bin as often as in their shingles.
+    """
+    bins = BANDS * BAND_ROWS
+    low = np.full(n * bins, ~np.uint64(0), np.uint64)
+    values = mix(keys ^ np.uint64(0x2545F4914F6CDD1D))
+    np.minimum.at(low, doc * bins + (values % np.uint64(bins)).astype(np.int64), values)
+    low = low.reshape(n, bins)
+    full = low != ~np.uint64(0)
+    some, out, empty, attempt = full.any(axis=1), low.copy(), ~full, 0
+    empty[~some] = False
+    while empty.any():
+        attempt += 1
+        other = (mix(np.arange(bins, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
+        take = empty & full[:, other]
+        out[take] = low[:, other][take]
+        empty &= ~take
+    rows = out.reshape(n, BANDS, BAND_ROWS)
+    made = np.zeros((n, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        made = mix(made * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
+    return made
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of rows of 64-bit numbers."""
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) if a.ndim > 1 else np.bitwise_count(a ^ b).astype(np.int64)
@@ -224,6 +259,44 @@ def _search(radius: int):
     return run
 
 
+def _within(radius: int):
+    """Pairs within the radius whose labels differ, shard after shard; rows are (shard, node, fingerprint, label), sorted by shard."""
+
+    def pairs(shard: np.ndarray, node: np.ndarray, fps: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        sizes = np.diff(np.append(start, len(shard)))
+        mixed = (np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)).repeat(sizes)
+        if not mixed.any():
+            return
+        shard, node, fps, label = (x[mixed] for x in (shard, node, fps, label))
+        start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        sizes = np.diff(np.append(start, len(shard)))
+        root = np.repeat(_middles(fps, start, sizes), sizes)
+        trees, none = _trees(fps, root), np.zeros(len(fps), bool)
+        work = np.cumsum(np.repeat(sizes, sizes)) // STEP_PAIRS
+        for query in np.split(np.arange(len(fps)), np.flatnonzero(np.diff(work)) + 1):
+            a, b = _near(fps, root, query, trees, radius, none)
+            apart = label[a] != label[b]
+            a, b = node[a[apart]], node[b[apart]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shard, node, label = (batch.column(c).to_numpy() for c in ("shard", "node", "label"))
+            held.append((shard, node, np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(len(shard), -1), label))
+            if shard[0] != shard[-1]:  # all but the last shard, which may go on
+                cut_at = int(np.flatnonzero(shard != shard[-1])[-1]) + 1
+                yield from pairs(*(np.concatenate(x) for x in zip(*held[:-1], tuple(x[:cut_at] for x in held[-1]), strict=True)))
+                held = [tuple(x[cut_at:] for x in held[-1])]
+        if held:
+            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp) within radius bits, and no others.
 
@@ -246,40 +319,99 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def wide_radius(similarity: float, bits: int = WIDE_BITS) -> int:
-    """Differing bits that texts of a Jaccard similarity have on average: their bits differ as the angle between their shingles."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
+    """Differing bits within which nearly all texts of a Jaccard similarity lie: bits differ as the angle between shingles does, one by one."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + SLACK * math.sqrt(bits * share * (1 - share)))
 
-def near_copies(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = 5, similarity: float = 0.8, bits: int = WIDE_BITS, band_bits: int = BAND_BITS
-) -> DataFrame:
-    """A row for each document: its id, component_id and root, by fingerprints of many bits, whose distance tells similarity.
 
-    Shingles of n_words words (A-Z in lower case) give fingerprints of bits bits; they link at
-    wide_radius(similarity) or fewer differing bits.  Equal ones are one node.  Each goes to a shard for
-    each of its bands of band_bits bits, with all that have the same bits there; a shard is a BK-tree.
-    Links share a band with high probability (with the defaults: at similarity 0.8 about 0.99, above that
-    nearly always); those that share none are not seen.
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least so much.  sets: node, shingles (sorted hashes as bytes)."""
 
-    Defined cases: as near_duplicates(); texts with fewer than n_words words are one shingle; a text of
-    any length counts whole; other columns are not looked at.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column("shingles"), batch.column("others"), strict=True):
+                one, two = (np.frombuffer(x.as_buffer(), np.uint64) for x in (one, two))
+                small, large = sorted((one, two), key=len)
+                if len(small) < similarity * len(large):
+                    keep.append(False)
+                    continue
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                both = int((large[at] == small).sum())
+                keep.append(both >= similarity * (len(small) + len(large) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    with_b = spread_join(pairs, sets.select(F.col("node").alias("b"), F.col("shingles").alias("others")), "b")
+    both = with_b.join(sets.withColumnRenamed("node", "a"), "a")
+    return both.select("a", "b", "shingles", "others").mapInArrow(run, schema_of("a long, b long"))
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = 5, similarity: float = 0.8, bits: int = WIDE_BITS) -> DataFrame:
+    """A row for each document: its id, fingerprint (of its shingles), component_id and root.
+
+    Shingles of n_words words (A-Z in lower case).  Equal sets are one node.  Nodes meet in shards by MinHash
+    keys of 64 bits, which texts of a similarity of 0.8 share with a probability of over 0.99 and others hardly ever, so
+    shards grow with the copies and not with the corpus.  A node first meets the smallest node of its shards; within
+    shards that this leaves apart a BK-tree of wide fingerprints finds all pairs within wide_radius(similarity).
+    Every such pair is a link only if the Jaccard similarity of its sets of shingle hashes is at least similarity.
+
+    Defined cases: as near_duplicates(); texts with fewer than n_words words are one shingle, those without
+    words are copies of each other; a text of any length counts whole; other columns are not looked at.
+    Sets are told apart by 64 bits of a hash: of n different ones about n*n/2**65 pairs are taken as equal.
     """
 
     def run(column: pa.Array) -> dict[str, object]:
-        return {"fp": pa.array([r.tobytes() for r in wide_fingerprints(column, n_words, bits)], pa.binary())}
-
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    fps = cut(with_text_columns(own, "text", "fp binary", run, ["doc_id"]).withColumn("node", F.xxhash64("fp")))
-    nodes = cut(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(bits // band_bits - 1)), lambda i: F.substring("fp", i * (band_bits // 8) + 1, F.lit(band_bits // 8)))
-    dealt = nodes.select("node", "fp", F.posexplode(bands).alias("part", "band"))
-    dealt = dealt.select("part", F.conv(F.hex("band"), 16, 10).cast("long").alias("key"), "node", "fp")
-    dealt = dealt.repartition(n_buckets(docs), "part", "key").sortWithinPartitions("part", "key", "node")
-    roots = components(dealt.mapInArrow(_search(wide_radius(similarity, bits)), schema_of("a long, b long")))
-    named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+        nodes, fps, bands = [np.zeros(0, np.uint64)], [], []
+        for chunk in chunks(column):
+            doc, keys = shingle_hashes(chunk, n_words)
+            order = np.lexsort((keys, doc))
+            doc, keys = doc[order], keys[order]
+            once = np.concatenate([[True], (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])]) if len(doc) else np.zeros(0, bool)
+            doc, keys = doc[once], keys[once]
+            total = np.zeros(chunk.n, np.uint64)
+            np.add.at(total, doc, mix(keys))
+            nodes.append(mix(total + np.bincount(doc, minlength=chunk.n).astype(np.uint64)))
+            fps += [r.tobytes() for r in wide_bits(doc, keys, chunk.n, bits)]
+            bands += [r.tobytes() for r in minhash_bands(doc, keys, chunk.n)]
+        return {"node": np.concatenate(nodes).view(np.int64), "fp": pa.array(fps, pa.binary()), "bands": pa.array(bands, pa.binary())}
+
+    def shingles(column: pa.Array) -> dict[str, object]:
+        out = []
+        for chunk in chunks(column):
+            doc, keys = shingle_hashes(chunk, n_words)
+            ends = np.searchsorted(doc, np.arange(1, chunk.n + 1))
+            out += [np.unique(own).tobytes() for own in np.split(keys, ends[:-1])]
+        return {"shingles": pa.array(out, pa.binary())}
+
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("said"))
+    fps = cut(with_text_columns(own, "text", "node long, fp binary, bands binary", run, ["doc_id", "said"]))
+    nodes = cut(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("said").alias("said"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    fps = fps.select("doc_id", "node")
+    key = lambda i: F.conv(F.hex(F.substring("bands", i * 8 + 1, F.lit(8))), 16, 10)
+    dealt = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(key(i)))).alias("shard"))
+    least = dealt.groupBy("shard").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("shard", "b")
+    shared = cut(spread_join(dealt, least, "shard"))  # shards of several nodes, with the smallest
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.where("a <> b").distinct())
+        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "said"), "node")
+        said = own.select("said", "text").join(needed.select("said").distinct(), "said").groupBy("said").agg(F.first("text").alias("text"))
+        sets = with_text_columns(said.join(needed, "said"), "text", "shingles binary", shingles, ["node"])
+        return cut(alike(pairs, cut(sets), similarity))
+
+    first = links(shared.groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b")))
+    roots = components(first)
+    known = nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label"))
+    rows = shared.select("shard", "node").join(known, "node")
+    apart = rows.groupBy("shard").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shard")
+    rows = rows.join(apart, "shard", "left_semi").repartition(n_buckets(docs), "shard").sortWithinPartitions("shard", "node")
+    second = links(rows.mapInArrow(_within(wide_radius(similarity, bits)), schema_of("a long, b long")))
+    if not second.isEmpty():
+        roots = components(first.union(second))
+    named = cut(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.select("node", "root").join(least, "root")
-    return fps.select("doc_id", "node").join(named, "node").select(F.col("doc_id").alias(doc_id), F.col("node").alias("fingerprint"), "component_id", "root")
+    named = cut(spread_join(named.select("node", "root"), least, "root"))
+    return spread_join(fps, named, "node").select(F.col("doc_id").alias(doc_id), F.col("node").alias("fingerprint"), "component_id", "root")
 
 
 def near_duplicates(
@@ -302,8 +434,8 @@ def near_duplicates(
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     nodes = cut(nodes)
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.select("fp", "root").join(least, "root")
-    return fps.join(named, "fp").select(
+    named = spread_join(nodes.select("fp", "root"), least, "root")
+    return spread_join(fps, named, "fp").select(
         F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"
     )
 

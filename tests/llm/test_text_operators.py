@@ -12,6 +12,7 @@ from millrace.llm.pii import find_personal_data, redact
 from millrace.llm.quality import QualityRules, quality_rules
 from millrace.llm.simhash import fingerprint_links, keep_one_of_each, near_copies, near_duplicates, shard_links
 from millrace.llm.components import components
+from millrace.llm.frames import spread_join
 from millrace.llm.substrings import remove_repeats
 
 SF = "/root/testdata/sf0.001"
@@ -108,16 +109,25 @@ def test_one_of_each_stays(docs, nasty):
     assert rows(keep_one_of_each(docs), "doc_id") == Counter({(i,): 1 for i in least})
 
 
-def test_near_copies_are_those_of_like_shingles(spark, real):
-    plain = [tuple(r) for r in real.collect()]
-    group = {r.doc_id: r.component_id for r in near_copies(real).collect()}
-    sure, wide = brute.similar(plain, 0.9), brute.similar(plain, 0.65)
-    for labels, holds in ((sure, lambda a, b: group[a] == group[b]), ):
-        first = {}
-        for (i, _), g in zip(plain, labels, strict=True):
-            assert holds(i, first.setdefault(g, i))
-    inside = {i: g for (i, _), g in zip(plain, wide, strict=True)}
-    assert all(inside[i] == inside[c] for i, c in group.items())
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_near_copies_are_the_components_of_like_shingles(spark, sf):
+    """Pairs of similarity 0.8 and more are together, and nothing is that no chain of such pairs connects."""
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text")
+    plain = [tuple(r) for r in docs.collect()]
+    want: dict[int, set[int]] = {}
+    for (i, _), g in zip(plain, brute.similar(plain, 0.8), strict=True):
+        want.setdefault(g, set()).add(i)
+    got: dict[int, set[int]] = {}
+    for r in near_copies(docs).collect():
+        got.setdefault(r.component_id, set()).add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and all(k == min(v) for k, v in got.items())
+
+
+def test_many_rows_of_one_key_meet_their_row(spark):
+    rows = spark.range(20_000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("k"), "id")
+    single = spark.range(15_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = spread_join(rows, single, "k")
+    assert got.columns == ["k", "id", "v"] and got.selectExpr("sum(v)", "count(*)").first() == rows.join(single, "k").selectExpr("sum(v)", "count(*)").first()
 
 
 def test_near_copies_of_made_likeness(spark):
