@@ -23,7 +23,7 @@ BLOCK = frozenset(
     "tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose contents are not text of the page.
-RAW = frozenset("script style noscript template textarea title svg iframe object math".split())
+RAW = frozenset("script style noscript template textarea title svg iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element that one of these starts inside of ends first.
 CLOSES = {
