@@ -1,19 +1,13 @@
-"""Counting packed keys over a whole corpus, looking values up in numpy, and samples of trusted text."""
+"""Packing numbers, looking values up in numpy, and samples of trusted text."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, n_buckets, schema_of
-from .hashing import Chunk, Words, chunks, mix, words
-
-#: Keys that a task adds up before it sends them on.
-FLUSH_KEYS = 1_500_000
+from .frames import cut
+from .hashing import mix
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -21,10 +15,6 @@ def planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
-def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-
-
 class Lookup:
     """64-bit keys to rows of values: open addressing in arrays, read for many keys at once.
 
@@ -67,98 +57,6 @@ class Lookup:
         return row
 
 
-def _tally(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, rising, and the sums of both weights."""
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, *(np.bincount(at, weights=x, minlength=len(keys)).astype(np.uint64) for x in (a, b))
-
-
-def _send(n: int, make: Callable[[Chunk, Words], np.ndarray], target: frozenset):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        chosen = np.array(sorted(target), np.int64)
-
-        def flush() -> pa.RecordBatch:
-            keys, own = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            keys, a, b = _tally(keys, np.ones(len(keys)), own)
-            bucket = (mix(keys) % np.uint64(n)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, keys, a, b = bucket[order], keys[order], a[order], b[order]
-            at = np.flatnonzero(np.diff(bucket, prepend=-1))
-            rows = list(zip(at, [*at[1:], len(bucket)], strict=True))
-            step = lambda v: np.diff(v, prepend=np.uint64(0))  # noqa: E731  keys rise inside a bucket
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[at].astype(np.int32)),
-                    pa.array([planes(step(keys[x:y])) for x, y in rows], pa.binary()),
-                    pa.array([planes(a[x:y]) for x, y in rows], pa.binary()),
-                    pa.array([planes(b[x:y]) for x, y in rows], pa.binary()),
-                ],
-                names=["bucket", "keys", "a", "b"],
-            )
-
-        for batch in batches:
-            ids = batch.column(0)
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            own_docs = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), chosen) & known
-            for chunk in chunks(batch.column(1)):
-                w = words(chunk)
-                keys, doc = make(chunk, w)
-                held.append((keys, own_docs[chunk.first + doc]))
-                size += len(keys)
-                if size >= FLUSH_KEYS:
-                    yield flush()
-                    size = 0
-        if size:
-            yield flush()
-
-    return run
-
-
-def _sum(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        now = -1
-
-        def settle() -> pa.RecordBatch:
-            keys, a, b = _tally(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held.clear()
-            kept = (a >= least) | (b > 0)
-            return pa.RecordBatch.from_arrays([pa.array(x[kept].view(np.int64)) for x in (keys, a, b)], names=["key", "n", "n_target"])
-
-        for batch in batches:
-            buckets = batch.column(0).to_numpy()
-            for i in range(batch.num_rows):
-                if buckets[i] != now and held:
-                    yield settle()
-                now = buckets[i]
-                keys, a, b = (unplanes(batch.column(c)[i].as_py()) for c in (1, 2, 3))
-                held.append((np.cumsum(keys, dtype=np.uint64), a, b))
-        if held:
-            yield settle()
-
-    return run
-
-
-def count_keys(
-    docs: DataFrame, doc_id: str, text: str, make: Callable[[Chunk, Words], tuple[np.ndarray, np.ndarray]], target: list[int], least: float = 0
-) -> DataFrame:
-    """key, n, n_target: how often each key occurs in all texts and in those of the target ids.
-
-    make gives the keys of a chunk and the text of each.  Tasks add up their keys first
-    and send them packed by bucket; keys under least in number that no target text has
-    are left out of the result, not of the counting.
-    """
-    parts = n_buckets(docs)
-    pieces = docs.select(F.col(doc_id).cast("long"), text).mapInArrow(
-        _send(4 * parts, make, frozenset(target)), schema_of("bucket int, keys binary, a binary, b binary")
-    )
-    pieces = pieces.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return pieces.mapInArrow(_sum(least), schema_of("key long, n long, n_target long"))
-
-
 def trusted_sample(
     docs: DataFrame, labels: DataFrame, max_docs: int, max_chars: int, doc_id: str = "doc_id", text: str = "text"
 ) -> list[int]:

@@ -148,19 +148,17 @@ def pii(text):
     return [(k, m.start(), m.end()) for k, p in PII.items() for m in re.finditer(p, text or "") if _passes(k, m.group())]
 
 
-def bigram_losses(rows, target, least_share):
+def bigram_losses(rows, target):
     """Of each (id, text): mean loss under the background and the target model."""
     w = [(i, words(t)) for i, t in rows]
     count = [collections.Counter(x for _, ws in w for x in ws), collections.Counter(x for i, ws in w if i in target for x in ws)]
     total = [sum(c.values()) for c in count]
-    least = max(2, least_share * total[0])
-    known = {x for x in count[0] if count[0][x] >= least or count[1][x] > 1}
-    coded = [(i, [x if x in known else None for x in ws]) for i, ws in w]
+    known, coded = set(count[0]), w
     pairs = [collections.Counter(p for _, q in coded for p in zip(q, q[1:])), collections.Counter(p for i, q in coded if i in target for p in zip(q, q[1:]))]
-    kept = {p for p in pairs[0] if pairs[0][p] >= least or pairs[1][p] > 0}
+    kept = set(pairs[0])
     out = {i: [] for i, _ in rows}
     for k in (0, 1):
-        c = {x: count[k][x] for x in known} | {None: total[k] - sum(count[k][x] for x in known)}
+        c = {x: count[k][x] for x in known}
         one = {x: (n + 0.5) / (total[k] + 0.5 * (len(known) + 1)) for x, n in c.items()}
         share = {p: max(pairs[k][p] - 0.75, 0) / max(c[p[0]], 1) for p in kept}
         back = collections.defaultdict(lambda: 1.0)
