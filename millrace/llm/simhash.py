@@ -259,44 +259,96 @@ def _search(radius: int):
     return run
 
 
-def _within(radius: int):
-    """Pairs within the radius whose labels differ, shard after shard; rows are (shard, node, fingerprint, label), sorted by shard."""
-
-    def pairs(shard: np.ndarray, node: np.ndarray, fps: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-        sizes = np.diff(np.append(start, len(shard)))
-        mixed = (np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)).repeat(sizes)
-        if not mixed.any():
-            return
-        shard, node, fps, label = (x[mixed] for x in (shard, node, fps, label))
-        start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-        sizes = np.diff(np.append(start, len(shard)))
-        root = np.repeat(_middles(fps, start, sizes), sizes)
-        trees, none = _trees(fps, root), np.zeros(len(fps), bool)
-        work = np.cumsum(np.repeat(sizes, sizes)) // STEP_PAIRS
-        for query in np.split(np.arange(len(fps)), np.flatnonzero(np.diff(work)) + 1):
-            a, b = _near(fps, root, query, trees, radius, none)
-            apart = label[a] != label[b]
-            a, b = node[a[apart]], node[b[apart]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+def _by_shard(work):
+    """For mapInArrow: work(columns of whole shards) gives batches; rows are sorted by shard, the first column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shard, node, label = (batch.column(c).to_numpy() for c in ("shard", "node", "label"))
-            held.append((shard, node, np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(len(shard), -1), label))
+            shard = batch.column("shard").to_numpy()
+            held.append(batch)
             if shard[0] != shard[-1]:  # all but the last shard, which may go on
                 cut_at = int(np.flatnonzero(shard != shard[-1])[-1]) + 1
-                yield from pairs(*(np.concatenate(x) for x in zip(*held[:-1], tuple(x[:cut_at] for x in held[-1]), strict=True)))
-                held = [tuple(x[cut_at:] for x in held[-1])]
+                yield from work(pa.Table.from_batches([*held[:-1], batch.slice(0, cut_at)]))
+                held = [batch.slice(cut_at)]
         if held:
-            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from work(pa.Table.from_batches(held))
 
     return run
 
 
+def _edges(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    return start, np.diff(np.append(start, len(shard)))
+
+
+def _wide(rows: pa.Table, column: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(rows[column].to_pylist()), np.uint64).reshape(-1, width)
+
+
+def _stars(radius: int, width: int):
+    """(a, b, far): each node of a shard with the node in its middle, if that is within the radius."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, fps = rows["node"].to_numpy(), _wide(rows, "fp", width)
+        start, sizes = _edges(rows["shard"].to_numpy())
+        root = np.repeat(_middles(fps, start, sizes), sizes)
+        far = _distance(fps, fps[root])
+        near = (far <= radius) & (node != node[root])
+        yield pa.RecordBatch.from_arrays([pa.array(node[near]), pa.array(node[root][near]), pa.array(far[near])], names=["a", "b", "far"])
+
+    return _by_shard(work)
+
+
+def _rest(radius: int, width: int, similarity: float):
+    """(a, b): links between nodes of a shard that are labelled apart, a spanning set of them.
+
+    A BK-tree finds the nodes within the radius.  A pair is looked at in the first of the bands that it shares, and
+    only while its labels are apart; what it takes is compared here, set against set, so that pairs are never rows.
+    """
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        start, sizes = _edges(rows["shard"].to_numpy())
+        for low, n in zip(start.tolist(), sizes.tolist()):
+            own = rows.slice(low, n)
+            node, label, fps, bands = own["node"].to_numpy(), own["label"].to_numpy(), _wide(own, "fp", width), _wide(own, "bands", BANDS)
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in own["shingles"]]
+            part, names = int(own["part"][0].as_py()), {}
+            group = np.array([names.setdefault(x, len(names)) for x in label.tolist()])
+            least = list(range(len(names)))
+
+            def find(x: int) -> int:
+                while least[x] != x:
+                    least[x] = x = least[least[x]]
+                return x
+
+            root = np.repeat(_middles(fps, np.zeros(1, np.int64), np.array([n])), n)
+            trees, none, found = _trees(fps, root), np.zeros(n, bool), []
+            for query in np.array_split(np.arange(n), n * n // STEP_PAIRS + 1):
+                a, b = _near(fps, root, query, trees, radius, none)
+                apart = (group[a] != group[b]) & ((bands[a] == bands[b]).argmax(axis=1) == part)
+                for i, j in zip(a[apart].tolist(), b[apart].tolist()):
+                    if (x := find(group[i])) != (y := find(group[j])) and _jaccard(sets[i], sets[j], similarity):
+                        least[max(x, y)] = min(x, y)
+                        found.append((int(node[i]), int(node[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    return _by_shard(work)
+
+
+def _jaccard(one: np.ndarray, two: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets of hashes have a Jaccard similarity of at least so much."""
+    small, large = (one, two) if len(one) < len(two) else (two, one)
+    if len(small) < least * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return both >= least * (len(small) + len(large) - both)
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp) within radius bits, and no others.
 
@@ -329,16 +381,8 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for one, two in zip(batch.column("shingles"), batch.column("others"), strict=True):
-                one, two = (np.frombuffer(x.as_buffer(), np.uint64) for x in (one, two))
-                small, large = sorted((one, two), key=len)
-                if len(small) < similarity * len(large):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(both >= similarity * (len(small) + len(large) - both))
+            both = zip(batch.column("shingles"), batch.column("others"), strict=True)
+            keep = [_jaccard(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), similarity) for pair in both]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with_b = spread_join(pairs, sets.select(F.col("node").alias("b"), F.col("shingles").alias("others")), "b")
@@ -351,8 +395,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_w
 
     Shingles of n_words words (A-Z in lower case).  Equal sets are one node.  Nodes meet in shards by MinHash
     keys of 64 bits, which texts of a similarity of 0.8 share with a probability of over 0.99 and others hardly ever, so
-    shards grow with the copies and not with the corpus.  A node first meets the smallest node of its shards; within
-    shards that this leaves apart a BK-tree of wide fingerprints finds all pairs within wide_radius(similarity).
+    shards grow with the copies and not with the corpus.  A node first meets the middle of its shards that is nearest by
+    wide fingerprint.  In shards that this leaves apart a BK-tree finds all pairs within wide_radius(similarity).
     Every such pair is a link only if the Jaccard similarity of its sets of shingle hashes is at least similarity.
 
     Defined cases: as near_duplicates(); texts with fewer than n_words words are one shingle, those without
@@ -387,25 +431,29 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_w
     fps = cut(with_text_columns(own, "text", "node long, fp binary, bands binary", run, ["doc_id", "said"]))
     nodes = cut(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("said").alias("said"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     fps = fps.select("doc_id", "node")
-    key = lambda i: F.conv(F.hex(F.substring("bands", i * 8 + 1, F.lit(8))), 16, 10)
-    dealt = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(key(i)))).alias("shard"))
-    least = dealt.groupBy("shard").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("shard", "b")
-    shared = cut(spread_join(dealt, least, "shard"))  # shards of several nodes, with the smallest
-
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.where("a <> b").distinct())
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "said"), "node")
+    parts, width, radius = n_buckets(docs), bits // 64, wide_radius(similarity, bits)
+    key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring("bands", i * 8 + 1, F.lit(8))))
+    dealt = nodes.select("node", F.posexplode(key).alias("part", "shard"))
+    several = dealt.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
+    shared = cut(spread_join(dealt, several, "shard"))
+    by_shard = lambda rows: rows.repartition(parts, "shard").sortWithinPartitions("shard", "node")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        needed = some.join(nodes.select("node", "said"), "node")
         said = own.select("said", "text").join(needed.select("said").distinct(), "said").groupBy("said").agg(F.first("text").alias("text"))
-        sets = with_text_columns(said.join(needed, "said"), "text", "shingles binary", shingles, ["node"])
-        return cut(alike(pairs, cut(sets), similarity))
+        return cut(with_text_columns(said.join(needed, "said"), "text", "shingles binary", shingles, ["node"]))
 
-    first = links(shared.groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b")))
+    stars = by_shard(shared.join(nodes.select("node", "fp"), "node").select("shard", "node", "fp")).mapInArrow(_stars(radius, width), schema_of("a long, b long, far long"))
+    stars = cut(stars.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")))
+    first = cut(alike(stars, sets_of(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()), similarity))
     roots = components(first)
-    known = nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label"))
-    rows = shared.select("shard", "node").join(known, "node")
+    known = cut(nodes.join(roots, "node", "left").select("node", "fp", "bands", F.coalesce("root", "node").alias("label")))
+    rows = shared.join(known.select("node", "label"), "node")
     apart = rows.groupBy("shard").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shard")
-    rows = rows.join(apart, "shard", "left_semi").repartition(n_buckets(docs), "shard").sortWithinPartitions("shard", "node")
-    second = links(rows.mapInArrow(_within(wide_radius(similarity, bits)), schema_of("a long, b long")))
+    rows = cut(rows.join(apart, "shard", "left_semi"))
+    sets = sets_of(rows.select("node").distinct())
+    rows = by_shard(rows.join(known.drop("label"), "node").join(sets, "node").select("shard", "part", "node", "label", "fp", "bands", "shingles"))
+    second = cut(rows.mapInArrow(_rest(radius, width, similarity), schema_of("a long, b long")))
     if not second.isEmpty():
         roots = components(first.union(second))
     named = cut(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
