@@ -34,16 +34,16 @@ def script_languages(spark, sf):
 @query("select c_nationkey, 'main' as sheet, true as usable from customer group by 1")
 def usable_workbook_sheets(spark, sf):
     part = lambda c: F.transform("rows", lambda r: r[c])
-    made = ingest._by_nation(spark, sf).select(F.col("c_nationkey").cast("string").alias("path"), ingest.workbooks(part("c_custkey"), part("c_name"), part("c_acctbal")).alias("content"))
+    made = ingest._by_nation(spark, sf).select(F.col("file").alias("path"), ingest.workbooks(part("c_custkey"), part("c_name"), part("c_acctbal")).alias("content"))
     found = tables.read_tables(made)
-    return tables.usable_sheets(found).join(tables.largest_table(found), ["path", "sheet"]).select(F.col("path").cast("int").alias("c_nationkey"), "sheet", "usable")
+    return tables.usable_sheets(found).join(tables.largest_table(found), ["path", "sheet"]).select(ingest._nation("path").alias("c_nationkey"), "sheet", "usable").distinct()
 
 
 @query()
 def ingested_documents(spark, sf):
     """Documents of every nation as passages: the paragraphs and the rows of their tables, cut to size, with their embeddings' length."""
     part = lambda c: F.transform("rows", lambda r: r[c])
-    made = ingest._by_nation(spark, sf).select(F.col("c_nationkey").cast("string").alias("path"), ingest.documents(part("c_custkey"), part("c_name")).alias("content"))
+    made = ingest._by_nation(spark, sf).select(F.col("file").alias("path"), ingest.documents(part("c_custkey"), part("c_name")).alias("content"))
     return tables.document_passages(made).withColumn("norm", F.round(F.sqrt(text.dot(passages.embedded("passage"), passages.embedded("passage"))), 4))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..sources import tables
+from ..operators import marks
+from ..sources import office, tables
 from .registry import query
-from .roles import table
+from .roles import shared_folder, table
 
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -63,12 +65,21 @@ def documents(ids: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([document(["A list of customers", "as of today"], [["Id", "Name"], *([str(i), n] for i, n in zip(*rows, strict=True))]) for rows in zip(ids, names, strict=True)])
 
 
+#: Customers of a file at most; c_custkey div that is the number of the file of a nation.
+FILE_ROWS = 500
+
+
 def _by_nation(spark, sf):
-    rows = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("rows"))
-    return rows
+    """(c_nationkey, file, rows): files of a nation's customers, of bounded size."""
+    files = table(spark, sf, "customer").withColumn("file", F.concat_ws("-", "c_nationkey", F.expr(f"c_custkey div {FILE_ROWS}")))
+    return files.groupBy("c_nationkey", "file").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("rows"))
+
 
+def _nation(path):
+    return F.regexp_extract(path, r"(\d+)-\d+", 1).cast("int")
 
-_PLACES = "r as (select c_nationkey, c_custkey, c_name, c_acctbal, cast(row_number() over (partition by c_nationkey order by c_custkey) as integer) as n from customer)"
+
+_PLACES = "r as (select c_nationkey, c_custkey, c_name, c_acctbal, cast(row_number() over (partition by c_nationkey, c_custkey // 500 order by c_custkey) as integer) as n, count(*) over (partition by c_nationkey, c_custkey // 500) as size from customer)"
 
 
 def _lines(separator: str):
@@ -82,41 +93,41 @@ def csv_tables(spark, sf):
     made = _by_nation(spark, sf)
     body = lambda s: F.concat(F.lit(f"Customers of a nation\n\nCustomer id{s}Full name{s}Balance\n"), _lines(s))
     content = F.when(F.col("c_nationkey") % 3 == 0, F.encode(body(";"), "UTF-16")).when(F.col("c_nationkey") % 3 == 1, F.encode(body(","), "UTF-8")).otherwise(F.encode(body("\t"), "ISO-8859-1"))
-    found = tables.read_tables(made.select(F.concat(F.lit("file"), "c_nationkey", F.lit(".csv")).alias("path"), content.alias("content")))
+    found = tables.read_tables(made.select(F.concat(F.lit("file"), "file", F.lit(".csv")).alias("path"), content.alias("content")))
     f = F.col("fields")
-    return found.select(F.regexp_replace("path", ".csv$", "").alias("path"), "row_number", f["Customer id"].alias("id"), f["Full name"].alias("name"), f["Balance"].cast("double").alias("balance"))
+    return found.select(F.concat(F.lit("file"), _nation("path")).alias("path"), "row_number", f["Customer id"].alias("id"), f["Full name"].alias("name"), f["Balance"].cast("double").alias("balance"))
 
 
 @query(f"with {_PLACES} select c_nationkey, n as row_number, cast(c_custkey as varchar) as id, c_name as name from r")
 def json_tables(spark, sf):
-    made = _by_nation(spark, sf).select(F.concat("c_nationkey", F.lit(".json")).alias("path"), F.to_json(F.struct(F.lit("x").alias("note"), "rows")).cast("binary").alias("content"))
+    made = _by_nation(spark, sf).select(F.concat("file", F.lit(".json")).alias("path"), F.to_json(F.struct(F.lit("x").alias("note"), "rows")).cast("binary").alias("content"))
     found = tables.read_tables(made)
-    return found.select(F.regexp_replace("path", ".json", "").cast("int").alias("c_nationkey"), "row_number", F.col("fields")["c_custkey"].alias("id"), F.col("fields")["c_name"].alias("name"))
+    return found.select(_nation("path").alias("c_nationkey"), "row_number", F.col("fields")["c_custkey"].alias("id"), F.col("fields")["c_name"].alias("name"))
 
 
-@query(f"with {_PLACES} select c_nationkey, n + 2 as row_number, cast(c_custkey as varchar) as id, c_name as name from r where (select count(*) from r r2 where r2.c_nationkey = r.c_nationkey) >= 2")
+@query(f"with {_PLACES} select c_nationkey, n + 2 as row_number, cast(c_custkey as varchar) as id, c_name as name from r where size >= 2")
 def text_tables(spark, sf):
     """Columns of plain text, set apart by wide blanks; two lines are not yet a table."""
     line = lambda r: F.concat_ws("   ", r["c_custkey"].cast("string"), r["c_name"], F.lit("active"))
     body = F.concat(F.lit("A plain report\nId   Name   State\n"), F.array_join(F.transform("rows", line), "\n"))
-    found = tables.read_tables(_by_nation(spark, sf).select(F.concat("c_nationkey", F.lit(".txt")).alias("path"), body.cast("binary").alias("content"))).where("problem is null")
-    return found.select(F.regexp_replace("path", ".txt", "").cast("int").alias("c_nationkey"), "row_number", F.col("fields")["Id"].alias("id"), F.col("fields")["Name"].alias("name"))
+    found = tables.read_tables(_by_nation(spark, sf).select(F.concat("file", F.lit(".txt")).alias("path"), body.cast("binary").alias("content"))).where("problem is null")
+    return found.select(_nation("path").alias("c_nationkey"), "row_number", F.col("fields")["Id"].alias("id"), F.col("fields")["Name"].alias("name"))
 
 
 @query(f"with {_PLACES} select c_nationkey, 'main' as sheet, n + 3 as row_number, cast(c_custkey as varchar) as id, c_name as name, cast(date '1899-12-30' + cast(45000 + c_custkey % 100 as integer) as date) as joined, '25' as share from r")
 def workbook_tables(spark, sf):
     """Workbooks with a title, a hidden sheet, dates and percentages."""
     part = lambda c: F.transform("rows", lambda r: r[c])
-    made = _by_nation(spark, sf).select(F.col("c_nationkey").cast("string").alias("path"), workbooks(part("c_custkey"), part("c_name"), part("c_acctbal")).alias("content"))
+    made = _by_nation(spark, sf).select(F.col("file").alias("path"), workbooks(part("c_custkey"), part("c_name"), part("c_acctbal")).alias("content"))
     f = F.col("fields")
-    return tables.read_tables(made).select(F.col("path").cast("int").alias("c_nationkey"), "sheet", "row_number", f["Id"].alias("id"), f["Name"].alias("name"), f["Joined"].cast("date").alias("joined"), f["Share"].alias("share"))
+    return tables.read_tables(made).select(_nation("path").alias("c_nationkey"), "sheet", "row_number", f["Id"].alias("id"), f["Name"].alias("name"), f["Joined"].cast("date").alias("joined"), f["Share"].alias("share"))
 
 
 @query(f"with {_PLACES} select c_nationkey, 'table_1' as sheet, n + 1 as row_number, cast(c_custkey as varchar) as id, c_name as name from r")
 def document_tables(spark, sf):
     part = lambda c: F.transform("rows", lambda r: r[c])
-    made = _by_nation(spark, sf).select(F.col("c_nationkey").cast("string").alias("path"), documents(part("c_custkey"), part("c_name")).alias("content"))
-    return tables.read_tables(made).select(F.col("path").cast("int").alias("c_nationkey"), "sheet", "row_number", F.col("fields")["Id"].alias("id"), F.col("fields")["Name"].alias("name"))
+    made = _by_nation(spark, sf).select(F.col("file").alias("path"), documents(part("c_custkey"), part("c_name")).alias("content"))
+    return tables.read_tables(made).select(_nation("path").alias("c_nationkey"), "sheet", "row_number", F.col("fields")["Id"].alias("id"), F.col("fields")["Name"].alias("name"))
 
 
 _KINDS = {
@@ -161,5 +172,77 @@ def feed_items(spark, sf):
 def sheet_signatures(spark, sf):
     """Tables whose headers are the same in any order are one group."""
     head = F.when(F.col("c_nationkey") % 4 == 0, "Id,Name,Balance\n").when(F.col("c_nationkey") % 2 == 0, "Balance,NAME,id\n").otherwise("Customer id,Full name,Balance\n")
-    made = _by_nation(spark, sf).select(F.concat("c_nationkey", F.lit(".csv")).alias("path"), F.concat(head, _lines(",")).cast("binary").alias("content"))
+    made = _by_nation(spark, sf).select(F.concat("file", F.lit(".csv")).alias("path"), F.concat(head, _lines(",")).cast("binary").alias("content"))
     return tables.sheet_groups(tables.read_tables(made)).select("signature").distinct()
+
+
+#: Orders as a sheet of marks: three courses with two kinds of marks each, made of the keys, and what else a sheet holds.
+_COURSES = ("Accounts (MB101)", "Economics (MB102)", "Statistics (MB103)")
+_EXAM_SQL = """x as (select o_orderkey, i, o_orderkey // 2000 as sheet, row_number() over (partition by o_orderkey // 2000, i order by o_orderkey) + 4 as row_number, (o_orderkey * (i + 3) + o_custkey) % 90 as n,
+      case when (o_orderkey + i) % 13 = 0 then 'blank' when (o_orderkey + i) % 17 = 0 then 'absent' when (o_orderkey + i) % 19 = 0 then 'grace' else '' end as kind from orders, (select unnest(range(1, 7)) as i)),
+  e as (select 'Batch ' || cast(sheet as varchar) as sheet, cast(row_number as integer) as row_number, 'U' || cast(o_orderkey as varchar) as student_id, 'Student ' || cast(o_orderkey as varchar) as student_name,
+      'MB10' || cast((i - 1) % 3 + 1 as varchar) as course_code, (['Accounts', 'Economics', 'Statistics'])[(i - 1) % 3 + 1] as course_name, case when i <= 3 then 'SEE (External)' else 'CIE (Internal)' end as exam_name,
+      case kind when 'absent' then null when 'grace' then n + 2.0::double else n::double end as marks_obtained, case kind when 'absent' then 'AB' when 'grace' then cast(n as varchar) || '+2' end as result_status,
+      'sheet=Batch ' || cast(sheet as varchar) || ';row=' || cast(row_number as varchar) || ';col=' || chr(cast(67 + i as integer)) as locator
+    from x where kind <> 'blank')"""
+
+
+def _marks_books(spark, sf):
+    """(path, content): a workbook for each two thousand order keys; a title, two rows of headers with merged groups, a row of initials, and the orders as students."""
+
+    def cell(i: int):
+        n, at = F.expr(f"(o_orderkey * {i + 3} + o_custkey) % 90").cast("string"), F.col("o_orderkey") + i
+        return F.when(at % 13 == 0, "").when(at % 17 == 0, "AB").when(at % 19 == 0, F.concat(n, F.lit("+2"))).otherwise(n)
+
+    orders = table(spark, sf, "orders").select(F.expr("o_orderkey div 2000").alias("sheet"), F.struct("o_orderkey", *(cell(i).alias(f"m{i}") for i in range(1, 7))).alias("row"))
+    sheets = orders.groupBy("sheet").agg(F.array_sort(F.collect_list("row")).alias("rows"))  # two thousand at most
+    return sheets.select(F.concat("sheet", F.lit(".xlsx")).alias("path"), marks_books("sheet", F.transform("rows", lambda r: F.array(r["o_orderkey"].cast("string"), *(r[f"m{i}"] for i in range(1, 7))))).alias("content"))
+
+
+@pandas_udf(T.BinaryType())
+def marks_books(sheets: pd.Series, rows: pd.Series) -> pd.Series:
+    text = lambda row: [("", v) for v in row]
+    head = [["Result of the examination"], ["Sl. No", "USN", "Name", "EXTERNAL MARKS", None, None, "INTERNAL MARKS", None, None, "Remarks"], [None, None, None, *_COURSES, *_COURSES], [None, None, None, *["PQ", "RS", "TU"] * 2]]
+    merges = ["A1:J1", "A2:A4", "B2:B4", "C2:C4", "D2:F2", "G2:I2", "J2:J4"]
+    number = lambda v: int(v) if v.isdigit() else v or None
+    made = []
+    for n, students in zip(sheets, rows, strict=True):
+        body = [[i, f"U{r[0]}", f"Student {r[0]}", *map(number, r[1:])] for i, r in enumerate(students, 1)]
+        made.append(workbook({f"Batch {n}": [text(r) for r in [*head, *body]]}, merged={f"Batch {n}": merges}))
+    return pd.Series(made)
+
+
+@query(f"with {_EXAM_SQL} select sheet, row_number, locator, student_id, student_name, course_code, course_name, exam_name, marks_obtained, result_status from e")
+def marks_sheets(spark, sf):
+    """Exam rows of sheets with one column for each course and kind of marks."""
+    return marks.reshape_marks(tables.read_tables(_marks_books(spark, sf))).exams.drop("path")
+
+
+@query(f"""with {_EXAM_SQL}, w as (select 'Batch ' || cast(o_orderkey // 2000 as varchar) as sheet, count(*) as wide_rows from orders group by 1)
+  select sheet, count(*) as exam_rows, count(distinct student_id) as student_rows, 6 * any_value(wide_rows) - count(*) as blank_mark_cells, count(*) filter (where result_status <> 'AB') as grace_mark_cells,
+  any_value(wide_rows) as wide_rows, 'CIE (Internal)|SEE (External)' as exams, 'MB101|MB102|MB103' as courses, 'Sl. No|Remarks' as left_out from e join w using (sheet) group by sheet""")
+def marks_summary(spark, sf):
+    """What was made of each sheet of marks."""
+    found = marks.reshape_marks(tables.read_tables(_marks_books(spark, sf))).summary
+    joined = lambda c: F.array_join(F.array_sort(c), "|")
+    return found.select("sheet", "exam_rows", "student_rows", "blank_mark_cells", "grace_mark_cells", "wide_rows", joined("exam_names").alias("exams"), joined("course_codes").alias("courses"), F.array_join("left_out_columns", "|").alias("left_out"))
+
+
+@query("select c_custkey, c_name as name, cast(round(c_acctbal, 2) as double) as balance, case when c_acctbal > 0 then 'TRUE' else 'FALSE' end as active from customer")
+def workbook_reports(spark, sf):
+    """Customers written as workbooks, one for each task, and read again, each workbook or sheet in a partition of its own."""
+    path = f"{shared_folder(spark)}/workbooks-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("balance"), (F.col("c_acctbal") > 0).alias("active"))
+    office.write_office(rows, path, "xlsx", "Customers")
+    f = F.col("fields")
+    read = spark.read.format("tables").load(path).where("sheet = 'Customers'")
+    return read.select(f["c_custkey"].cast("long").alias("c_custkey"), f["c_name"].alias("name"), f["balance"].cast("double").alias("balance"), f["active"].alias("active"))
+
+
+@query("select n_nationkey, n_name as name, n_regionkey as region from nation")
+def document_reports(spark, sf):
+    """Nations written as documents and read again."""
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    office.write_office(table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"), path, "docx", "Nations")
+    f = F.col("fields")
+    return spark.read.format("tables").load(path).select(f["n_nationkey"].cast("int").alias("n_nationkey"), f["n_name"].alias("name"), f["n_regionkey"].cast("int").alias("region"))

@@ -47,8 +47,11 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 
 def write_report(df: DataFrame, path: str, kind: str) -> None:
-    """A report as csv, tsv or json; other kinds are refused."""
-    writers = {"csv": write_csv, "tsv": write_tsv, "json": lambda rows, to: rows.write.json(to, mode="overwrite")}
+    """A report as csv, tsv, json, xlsx or docx, a folder of files each; other kinds are refused."""
+    from .office import write_office
+
+    office = {k: lambda rows, to, k=k: write_office(rows, to, k) for k in ("xlsx", "docx")}
+    writers = {"csv": write_csv, "tsv": write_tsv, "json": lambda rows, to: rows.write.json(to, mode="overwrite"), **office}
     if kind not in writers:
         raise ValueError(f"no report of kind {kind!r}")
     writers[kind](df, path)

@@ -192,8 +192,10 @@ def header_rows(rows: list[list[str]], at: int, merged: list[tuple[int, int, int
         width = max(len(rows[first]), len(rows[first + 1]))
         upper, lower = (r + [""] * (width - len(r)) for r in rows[first : first + 2])
         data = _Columns(rows[first + 2 :])
-        inside = [[c if i in data.kind or other[i] else "" for i, c in enumerate(r)] for r, other in ((upper, lower), (lower, upper))]  # without notes beside the table
-        both = stacked(upper, lower, {c: d for a, c, _, d in merged if a == first and d > c}) if all(map(_labels_only, inside)) else None
+        ends = {c: d for a, c, _, d in merged if a == first and d > c}
+        table = {*data.kind, *(i for c, d in ends.items() for i in range(c, d + 1))}  # without notes beside it
+        inside = [[c if i in table or other[i] else "" for i, c in enumerate(r)] for r, other in ((upper, lower), (lower, upper))]
+        both = stacked(upper, lower, ends) if all(map(_labels_only, inside)) else None
         if not both:
             continue
         names, groups = both
@@ -304,9 +306,9 @@ def json_records(text: str) -> Iterator[tuple[int, list[str], dict[str, str], st
         yield i, headers, {k: None if v is None else v if isinstance(v, str) else json.dumps(v) for k, v in r.items()}, ""
 
 
-def opened(content: bytes) -> zipfile.ZipFile:
-    """An archive whose stated sizes are plausible."""
-    archive = zipfile.ZipFile(io.BytesIO(content))
+def opened(content) -> zipfile.ZipFile:
+    """An archive, as bytes or an open file, whose stated sizes are plausible."""
+    archive = zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content)
     if sum(i.file_size for i in archive.infolist()) > MAX_INFLATED:
         raise ValueError("archive inflates too much")
     if any(i.file_size > max(RATIO_FROM, MAX_RATIO * i.compress_size) for i in archive.infolist()):
@@ -426,8 +428,47 @@ def _records(kind: str, content: bytes, only: str | None = None) -> Iterator[tup
             yield from ((name, *r) for r in grid_records(grid, merged))
 
 
+def kind_of(path: str, content: bytes) -> str:
+    """file_kind() of one file, where no column is at hand."""
+    head, extension = content[:16].hex().upper(), path.rpartition(".")[2].lower()
+    for magic, kind in MAGIC:
+        if head.startswith(magic):
+            return kind
+    if head.startswith("504B0304"):
+        for inside, kind in ((b"xl/", "xlsx"), (b"word/", "docx")):
+            if inside in content[:2_000_000]:
+                return kind
+    if extension in EXTENSIONS:
+        return EXTENSIONS[extension]
+    try:
+        text = content[:4096].decode()
+    except UnicodeDecodeError:
+        return "unknown"
+    if not text.strip() or "\0" in text:
+        return "unknown"
+    tabs, commas = text.count("\t"), text.count(",")
+    return "json" if text.lstrip()[0] in "{[" else "tsv" if tabs and tabs >= commas else "csv" if commas else "text"
+
+
+def records_of(path: str, kind: str, content: bytes | None, only: str | None = None) -> Iterator[tuple]:
+    """The records of a file or of one of its sheets; one that says what is wrong where there are none."""
+    n, problem = 0, "no table"
+    try:
+        if not content or len(content) > MAX_BYTES:
+            raise ValueError("empty file" if not content else "file too large")
+        if kind not in ("csv", "tsv", "json", "text", "xlsx", "docx"):
+            raise ValueError(f"no reader for {kind}")
+        for row in _records(kind, content, only):
+            n += 1
+            yield (path, kind, *row, None)
+    except (ValueError, KeyError, TypeError, AttributeError, IndexError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError, RecursionError) as error:
+        n, problem = 0, str(error)[:200] or type(error).__name__
+    if not n:
+        yield (path, kind, only, None, None, None, None, problem)
+
+
 def read_tables(files: DataFrame) -> DataFrame:
-    """A row for each record of each table in files (path, content): its sheet, row number, headers and fields.
+    """A row for each record of each table in files (path, content): its sheet, row number, headers, fields and the title above it.
 
     CSV, TSV, JSON, text in columns, workbooks and documents are read.  A file that cannot be read, or
     has no table, gives one row that says so in problem; other kinds (images, PDF, old workbooks) too.
@@ -437,21 +478,29 @@ def read_tables(files: DataFrame) -> DataFrame:
         names = [f.split()[0] for f in RECORDS.split(", ")]
         for frame in frames:
             for path, kind, content in frame.itertuples(index=False):
-                rows, problem = [], None
-                try:
-                    if not content or len(content) > MAX_BYTES:
-                        raise ValueError("empty file" if not content else "file too large")
-                    if kind not in ("csv", "tsv", "json", "text", "xlsx", "docx"):
-                        raise ValueError(f"no reader for {kind}")
-                    rows = [(path, kind, *r, None) for r in _records(kind, content)]
-                    problem = None if rows else "no table"
-                except (ValueError, KeyError, TypeError, AttributeError, IndexError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError, RecursionError) as error:
-                    problem = str(error)[:200] or type(error).__name__
-                yield pd.DataFrame([*rows, (path, kind, None, None, None, None, None, problem)] if problem else rows, columns=names)
+                yield pd.DataFrame(list(records_of(path, kind, content)), columns=names)
 
     return files.select("path", file_kind(F.col("path"), F.col("content")).alias("kind"), "content").mapInPandas(run, RECORDS)
 
 
+def text_sections(files: DataFrame) -> DataFrame:
+    """(path, locator, text): the prose of text files that hold no columns, and of documents, whole."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, kind, content in frame.itertuples(index=False):
+                try:
+                    text = document_parts(content)[0] if kind == "docx" else decoded(content or b"")[0] if kind == "text" else ""
+                except (ValueError, KeyError, TypeError, AttributeError, zipfile.BadZipFile, ElementTree.ParseError):
+                    continue
+                if text.strip() and not (kind == "text" and text_grid(text)):
+                    rows.append((path, "body", text))
+            yield pd.DataFrame(rows, columns=["path", "locator", "text"])
+
+    return files.select("path", file_kind(F.col("path"), F.col("content")).alias("kind"), "content").mapInPandas(run, "path string, locator string, text string")
+
+
 def read_folder(spark, path: str) -> DataFrame:
     """read_tables() of all files under a path."""
     return read_tables(spark.read.format("binaryFile").load(path).select("path", "content"))
