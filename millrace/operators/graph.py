@@ -111,10 +111,18 @@ def coverage(assets: DataFrame, platform: str, first: Column, second: Column) ->
 
 
 def gate(before: DataFrame, after: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """Whether new metrics may be published: nothing falls by more than the tolerance, and no canary leaks anew."""
-    old = before.select(*(F.col(c).alias(f"_{c}") for c in ("holdout_recall", "seed_rate", "canary_leaks")))
-    fell = lambda c: F.coalesce(F.col(f"_{c}") - F.col(c) > tolerance, F.lit(False))
-    return after.crossJoin(old).select((~(fell("holdout_recall") | fell("seed_rate") | (F.col("canary_leaks") > F.col("_canary_leaks")))).alias("publish"))
+    """publish and reasons: whether new metrics may be published, and what speaks against it.
+
+    Both have one row: holdout_recall, seed_rate, precision (null: not known, which says nothing) and canary_leaks, the keys of
+    known look-alikes that would be graded well.  No share may fall by more than the tolerance; a look-alike that did
+    not leak before must not, even if another stopped.
+    """
+    shares = ("holdout_recall", "seed_rate", "precision")
+    old = before.select(*(F.col(c).alias(f"_{c}") for c in (*shares, "canary_leaks")))
+    leaks = F.array_sort(F.array_except("canary_leaks", "_canary_leaks"))
+    fell = [F.when(F.col(f"_{c}") - F.col(c) > tolerance, F.lit(c)) for c in shares]
+    named = F.when(F.size(leaks) > 0, F.concat(F.lit("leaks "), F.array_join(leaks, ", ")))
+    return after.crossJoin(old).select(F.array_compact(F.array(named, *fell)).alias("reasons")).select((F.size("reasons") == 0).alias("publish"), "reasons")
 
 
 def removals(links: DataFrame, pages: DataFrame) -> DataFrame:

@@ -54,3 +54,26 @@ def ancestors(parents: DataFrame, depth: int, node: str = "node", parent: str =
         level = level.join(step, level.ancestor == step._at).select("node", F.col("_next").alias("ancestor"), F.lit(distance).alias("distance"))
         out = out.unionByName(level)
     return out
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows without lineage, in the folder that the session names for checkpoints (tests: one under the warehouse)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+    return df.checkpoint()
+
+
+def below(parents: DataFrame, roots: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
+    """(node, root): each root and all that lies below it, at any depth.  Whoever was reached before is not gone through again, so cycles end.
+
+    A round follows one level of the tree for all roots at once.
+    """
+    down = parents.where(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("_above"))
+    front = settled(parents.select(F.col(node).alias("node")).join(roots.select(F.col("root").alias("node")), "node", "left_semi").distinct().withColumn("root", F.col("node")))
+    reached = front
+    while not front.isEmpty():
+        step = front.select(F.col("node").alias("_above"), "root").join(down, "_above").select("node", "root").distinct()
+        front = settled(step.join(reached, ["node", "root"], "left_anti"))
+        reached = reached.unionByName(front)
+    return reached

@@ -47,12 +47,23 @@ def ingested_documents(spark, sf):
     return tables.document_passages(made).withColumn("norm", F.round(F.sqrt(text.dot(passages.embedded("passage"), passages.embedded("passage"))), 4))
 
 
-@query("""with m as (select avg(case when value > 50 then 1.0 else 0 end) as a, avg(case when value > 51 then 1.0 else 0 end) as b, avg(case when value > 60 then 1.0 else 0 end) as c from events) select 'close' as run, a - b <= 0.02 as publish from m union all select 'fallen', a - c <= 0.02 from m""")
+_LEAKS = {"close": 51, "fallen": 60, "swapped": 51}
+
+
+@query("""with m as (select avg(case when value > 50 then 1.0 else 0 end) as a, avg(case when value > 51 then 1.0 else 0 end) as b, avg(case when value > 60 then 1.0 else 0 end) as c, min(event_type) as low, max(event_type) as high from events)
+  select 'close' as run, a - b <= 0.02 as publish, case when a - b > 0.02 then 'holdout_recall|precision' else '' end as reasons from m union all select 'fallen', a - c <= 0.02, case when a - c > 0.02 then 'holdout_recall|precision' else '' end from m
+  union all select 'swapped', false, concat_ws('|', 'leaks ' || high, case when a - b > 0.02 then 'holdout_recall|precision' end) from m""")
 def gate_verdicts(spark, sf):
-    """New measures are published unless one falls by more than 0.02."""
-    share = lambda least: table(spark, sf, "events").agg(F.avg((F.col("value") > least).cast("double")).alias("holdout_recall"), F.lit(1.0).alias("seed_rate"), F.lit(0).alias("canary_leaks"))
-    one = lambda name, least: graph.gate(share(50), share(least)).withColumn("run", F.lit(name))
-    return one("close", 51).union(one("fallen", 60)).select("run", "publish")
+    """New measures are published unless one falls by more than 0.02, or a look-alike leaks that did not before."""
+    events = table(spark, sf, "events")
+
+    def measured(least, leak):
+        share = F.avg((F.col("value") > least).cast("double"))
+        return events.agg(share.alias("holdout_recall"), F.lit(1.0).alias("seed_rate"), share.alias("precision"), F.array(leak("event_type")).alias("canary_leaks"))
+
+    one = lambda name, least: graph.gate(measured(50, F.min), measured(least, F.max if name == "swapped" else F.min)).withColumn("run", F.lit(name))
+    runs = [one(*x) for x in _LEAKS.items()]
+    return runs[0].union(runs[1]).union(runs[2]).select("run", "publish", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query("""with l as (select user_id as asset_id, event_id % 3 as page, max_by(case when value < 40 then 'refutes' else 'supports' end, ts) as p, max(ts) as t from events group by 1, 2) select asset_id, page from l where p = 'supports' and ((page = 1 and t < timestamp '2024-01-25') or (page = 2 and t < timestamp '2024-01-02'))""")

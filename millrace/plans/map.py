@@ -83,11 +83,13 @@ def reconfirmed_links(spark, sf):
     return entities.reconfirmed(links, spark.createDataFrame([("page1",), ("page2",)], "page string"), F.lit("2024-03-01").cast("timestamp")).drop("observed_at")
 
 
-@query("""with recursive up as (select c_custkey as asset_id, c_custkey as entity_id from customer union all select asset_id, entity_id // 4 from up where entity_id // 4 > 0 and entity_id not in (1, 2, 3) and entity_id % 9 <> 4)
-  select asset_id, entity_id as owner from up where entity_id in (1, 2, 3)""")
+@query("""with recursive placed as (select c_custkey as asset_id, case when c_custkey % 10 > 0 then c_custkey end as entity_id from customer),
+  up as (select asset_id, entity_id from placed where entity_id % 9 <> 4 union all select asset_id, entity_id // 4 from up where entity_id // 4 > 0)
+  select asset_id, entity_id as owner from up where entity_id in (1, 2, 3) union all select asset_id, unnest([1, 2, 3]) from placed where entity_id is null""")
 def claimable_assets(spark, sf):
+    """Accounts that three owners may confirm, in a tree of units in which some are persons."""
     tree = table(spark, sf, "customer").selectExpr("c_custkey as entity_id", "case when floor(c_custkey / 4) > 0 then cast(floor(c_custkey / 4) as bigint) end as parent_id", "case when c_custkey % 9 = 4 then 'person' else 'unit' end as kind")
-    return entities.claimable(tree.select(F.col("entity_id").alias("asset_id"), "entity_id"), tree, [1, 2, 3], ("person",))
+    return entities.claimable(tree.selectExpr("entity_id as asset_id", "case when entity_id % 10 > 0 then entity_id end as entity_id"), tree, [1, 2, 3], ("person",))
 
 
 @query(f"""with {textual._GRADED}, {textual._ASSETS}, gold as (select distinct user_id k, case user_id % 4 when 0 then 'holdout' when 1 then 'canary' else 'seed' end split from events where user_id % 2 = 0 or user_id % 4 = 1),

@@ -69,11 +69,11 @@ def exams_of_a_program(spark, sf):
     return rows.groupBy("course_code", "exam_name").agg(F.count("*").alias("records"), F.count_if(F.lower("result_status") == "pass").alias("passed"))
 
 
-@query("select d.doc_id, d.lang, length(d.text) as size, l.quality from documents d join labels l using (doc_id) where d.lang in ('en', 'fr') order by d.doc_id limit 20000")
+@query("select d.doc_id, d.lang, length(d.text) as size, l.quality from documents d join labels l using (doc_id) where d.lang in ('en', 'fr')")
 def chunks_with_documents(spark, sf):
-    """Passages with their documents' class, those that a reader may see, in order."""
+    """Passages with their documents' class, those that a reader may see."""
     docs = filters.visible(table(spark, sf, "documents").select("doc_id", "lang", F.length("text").alias("size")), "lang", ["en", "fr"])
-    return docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").orderBy("doc_id").limit(20000)
+    return docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
 
 
 _ROLES = {"reader": ["c_custkey", "c_mktsegment"], "officer": ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"]}

@@ -44,3 +44,27 @@ def test_links_that_identify_a_site(spark, tmp_path):
     got = {(r.site, r.target, r.area) for r in catalog.QUERIES["identity_links"](spark, str(tmp_path)).collect()}
     assert got == {("own.org", "https://x.com/own", "footer"), ("own.org", "https://x.com/other", "body")}
     assert pages.page_links(spark.read.parquet(f"{tmp_path}/pages.parquet")).where("page_id = 3").count() == 0
+
+
+def test_what_lies_below_at_any_depth(spark):
+    from millrace.operators.entities import claimable
+    from millrace.operators.joins import below
+
+    chain = [(i, i - 1 if i else None) for i in range(40)] + [(100, 102), (101, 100), (102, 101)]  # the last three go round
+    tree = spark.createDataFrame(chain, "entity_id long, parent_id long").selectExpr("*", "case when entity_id = 20 then 'role' else 'unit' end as kind")
+    roots = spark.createDataFrame([(0,), (30,), (100,), (7777,)], "root long")
+    got = {(r.node, r.root) for r in below(tree, roots, "entity_id", "parent_id").collect()}
+    assert got == {(i, 0) for i in range(40)} | {(i, 30) for i in range(30, 40)} | {(i, 100) for i in (100, 101, 102)}
+    assets = spark.createDataFrame([(1, 39), (2, 20), (3, None), (4, 5), (5, 999), (6, 102)], "asset_id long, entity_id long")
+    claims = {(r.asset_id, r.owner) for r in claimable(assets, tree, [0, 30], ("role",)).collect()}
+    assert claims == {(1, 0), (1, 30), (3, 0), (3, 30), (4, 0)}
+
+
+def test_the_gate_names_what_speaks_against(spark):
+    from millrace.operators.graph import gate
+
+    row = lambda *v: spark.createDataFrame([v], "holdout_recall double, seed_rate double, precision double, canary_leaks array<string>")
+    before = row(0.9, 0.8, None, ["a"])
+    verdict = lambda *v: tuple(gate(before, row(*v)).first())
+    assert verdict(0.89, 0.8, 0.1, ["a"]) == (True, []) and verdict(0.9, 0.8, None, ["b"]) == (False, ["leaks b"]) and verdict(0.85, None, None, []) == (False, ["holdout_recall"])
+    assert tuple(gate(row(1.0, 1.0, 0.9, []), row(1.0, 1.0, 0.8, [])).first()) == (False, ["precision"])
