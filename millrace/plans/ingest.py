@@ -179,7 +179,7 @@ def sheet_signatures(spark, sf):
 #: Orders as a sheet of marks: three courses with two kinds of marks each, made of the keys, and what else a sheet holds.
 _COURSES = ("Accounts (MB101)", "Economics (MB102)", "Statistics (MB103)")
 _EXAM_SQL = """x as (select o_orderkey, i, o_orderkey // 2000 as sheet, row_number() over (partition by o_orderkey // 2000, i order by o_orderkey) + 4 as row_number, (o_orderkey * (i + 3) + o_custkey) % 90 as n,
-      case when (o_orderkey + i) % 13 = 0 then 'blank' when (o_orderkey + i) % 17 = 0 then 'absent' when (o_orderkey + i) % 19 = 0 then 'grace' else '' end as kind from orders, (select unnest(range(1, 7)) as i)),
+      case when o_orderkey % 7 = 0 and i = 3 then 'blank' when o_orderkey % 7 = 1 and i = 1 then 'absent' when o_orderkey % 7 = 2 and i = 5 then 'grace' else '' end as kind from orders, (select unnest(range(1, 7)) as i)),
   e as (select 'Batch ' || cast(sheet as varchar) as sheet, cast(row_number as integer) as row_number, 'U' || cast(o_orderkey as varchar) as student_id, 'Student ' || cast(o_orderkey as varchar) as student_name,
       'MB10' || cast((i - 1) % 3 + 1 as varchar) as course_code, (['Accounts', 'Economics', 'Statistics'])[(i - 1) % 3 + 1] as course_name, case when i <= 3 then 'SEE (External)' else 'CIE (Internal)' end as exam_name,
       case kind when 'absent' then null when 'grace' then n + 2.0::double else n::double end as marks_obtained, case kind when 'absent' then 'AB' when 'grace' then cast(n as varchar) || '+2' end as result_status,
@@ -191,8 +191,9 @@ def _marks_books(spark, sf):
     """(path, content): a workbook for each two thousand order keys; a title, two rows of headers with merged groups, a row of initials, and the orders as students."""
 
     def cell(i: int):
-        n, at = F.expr(f"(o_orderkey * {i + 3} + o_custkey) % 90").cast("string"), F.col("o_orderkey") + i
-        return F.when(at % 13 == 0, "").when(at % 17 == 0, "AB").when(at % 19 == 0, F.concat(n, F.lit("+2"))).otherwise(n)
+        n, seventh = F.expr(f"(o_orderkey * {i + 3} + o_custkey) % 90").cast("string"), F.col("o_orderkey") % 7
+        odd = {3: F.when(seventh == 0, ""), 1: F.when(seventh == 1, "AB"), 5: F.when(seventh == 2, F.concat(n, F.lit("+2")))}
+        return odd[i].otherwise(n) if i in odd else n
 
     orders = table(spark, sf, "orders").select(F.expr("o_orderkey div 2000").alias("sheet"), F.struct("o_orderkey", *(cell(i).alias(f"m{i}") for i in range(1, 7))).alias("row"))
     sheets = orders.groupBy("sheet").agg(F.array_sort(F.collect_list("row")).alias("rows"))  # two thousand at most
