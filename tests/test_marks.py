@@ -1,7 +1,5 @@
 """Headers of two rows, merged ranges, notes, and wide sheets of marks to exam rows."""
 
-import pytest
-
 from millrace.operators.marks import EXAM, reshape_marks
 from millrace.plans import ingest
 from millrace.sources import tables
@@ -19,8 +17,8 @@ GROUPED = [
 
 def records(spark, *named):
     rows = []
-    for sheet, grid in named:
-        rows += [("upload.csv", sheet, title, n, headers, fields) for n, headers, fields, title in tables.grid_records(grid)]
+    for i, (sheet, grid) in enumerate(named):
+        rows += [(f"upload{i or ''}.csv", sheet, title, n, headers, fields) for n, headers, fields, title in tables.grid_records(grid)]
     return spark.createDataFrame(rows, "path string, sheet string, title string, row_number int, headers array<string>, fields map<string,string>")
 
 
@@ -54,20 +52,15 @@ def test_plain_codes_repeats_and_rows_without_identifier(spark):
     assert {r.student_id for r in found.exams.collect()} == {"u1", None}
 
 
-@pytest.mark.parametrize(
-    "sheet, title, labels, exam",
-    [
-        ("Marks", "", ["Botany (BS111)", "Zoology (BS112)", "Optics (BS113)"], "Marks"),
-        ("IA-2", "Marks", ["Botany (BS111)", "Zoology (BS112)", "Optics (BS113)"], "IA-2"),
-        ("Sheet1", "FIRST INTERNAL ASSESSMENT MARKS", ["Botany (BS111)", "Zoology (BS112)", "Optics (BS113)"], "FIRST INTERNAL ASSESSMENT"),
-        ("results of march", "", ["Botany (BS111)", "Zoology (BS112)", "Optics (BS113)"], "results of march"),
-        ("Internal marks", "", ["Internal Audit (BS111)", "Zoology (BS112)", "Optics (BS113)"], "Internal"),
-    ],
-)
-def test_names_of_exams(spark, sheet, title, labels, exam):
-    grid = [[title], ["USN", "Name", *labels]] + [[f"u{i}", f"N {i}", 40, 50, 60] for i in range(3)]
-    found = {r.exam_name for r in reshaped(spark, grid, sheet).exams.collect()}
-    assert found == ({"CIE (Internal)"} if exam == "Internal" else {exam})
+def test_names_of_exams(spark):
+    plain = ["Botany (BS111)", "Zoology (BS112)", "Optics (BS113)"]
+    cases = [
+        ("Marks", "", plain, "Marks"), ("IA-2", "Marks", plain, "IA-2"), ("Sheet1", "FIRST INTERNAL ASSESSMENT MARKS", plain, "FIRST INTERNAL ASSESSMENT"),
+        ("results of march", "", plain, "results of march"), ("Internal marks", "", ["Internal Audit (BS111)", *plain[1:]], "CIE (Internal)"),
+    ]
+    students = [[f"u{i}", f"N {i}", 40, 50, 60] for i in range(3)]
+    found = reshape_marks(records(spark, *((sheet, [[title], ["USN", "Name", *labels], *students]) for sheet, title, labels, _ in cases)))
+    assert {(r.sheet, r.exam_name) for r in found.exams.collect()} == {(sheet, exam) for sheet, _, _, exam in cases}
 
 
 def test_groups_from_what_columns_of_a_course_share(spark):
@@ -76,24 +69,24 @@ def test_groups_from_what_columns_of_a_course_share(spark):
     assert rows == {("Botany", "MID TERM"), ("Botany", "FINAL"), ("Optics", "MID TERM"), ("Optics", "FINAL")}
 
 
-@pytest.mark.parametrize(
-    "sheet, grid",
-    [
-        ("Attendance Aug", [["USN", "Name", *SUBJECTS], ["u1", "One", 85, 90, 72]]),
-        ("Marks", [["Name", *SUBJECTS, "Total"], ["One", 85, 90, 72, 247]]),
-        ("Marks", [["USN", "Name", *SUBJECTS[:2], "Total"], ["u1", "One", 85, 90, 175]]),
-        ("Marks", [["USN", "Name", *SUBJECTS, "Total"], ["u1", "One", "AB", "CD", "EF", "GH"]]),
-        ("Marks", [["USN", "Name", *SUBJECTS], ["u1", "One", 850, 900, 720]]),
-        ("Sheet1", [["USN", "Name", *SUBJECTS], ["u1", "One", 85, 90, 72]]),
-        ("Marks", [["USN", "Name", *SUBJECTS, "SGPA"], ["u1", "One", 8, 9, 7, 8.1]]),
-        ("Marks", [["USN", "Name", "Botany (BS111)", "", "Zoology (BS112)", "Optics (BS113)"], ["u1", "One", 8, 9, 7, 8], ["u2", "Two", 8, 9, 7, 8]]),
-        ("Marks", [["USN", "Name", *(f"{s[:-8]} % {s[-7:]}" for s in SUBJECTS)], ["u1", "One", 85, 90, 72]]),
-        ("Credits", [["USN", "Name", *SUBJECTS], ["u1", "One", 4, 3, 4]]),
-    ],
-)
-def test_other_sheets_are_left_alone(spark, sheet, grid):
-    found = reshaped(spark, grid, sheet)
-    assert found.exams.count() == 0 and found.summary.count() == 0
+#: Sheets of attendance, of few courses, of words, of large numbers, of no word of marks, of grade points, of lost headers, of percentages and of credits.
+OTHERS = [
+    ("Attendance Aug", [["USN", "Name", *SUBJECTS], ["u1", "One", 85, 90, 72]]),
+    ("Marks", [["Name", *SUBJECTS, "Total"], ["One", 85, 90, 72, 247]]),
+    ("Marks", [["USN", "Name", *SUBJECTS[:2], "Total"], ["u1", "One", 85, 90, 175]]),
+    ("Marks", [["USN", "Name", *SUBJECTS, "Total"], ["u1", "One", "AB", "CD", "EF", "GH"]]),
+    ("Marks", [["USN", "Name", *SUBJECTS], ["u1", "One", 850, 900, 720]]),
+    ("Sheet1", [["USN", "Name", *SUBJECTS], ["u1", "One", 85, 90, 72]]),
+    ("Marks", [["USN", "Name", *SUBJECTS, "SGPA"], ["u1", "One", 8, 9, 7, 8.1]]),
+    ("Marks", [["USN", "Name", "Botany (BS111)", "", "Zoology (BS112)", "Optics (BS113)"], ["u1", "One", 8, 9, 7, 8], ["u2", "Two", 8, 9, 7, 8]]),
+    ("Marks", [["USN", "Name", *(f"{s[:-8]} % {s[-7:]}" for s in SUBJECTS)], ["u1", "One", 85, 90, 72]]),
+    ("Credits", [["USN", "Name", *SUBJECTS], ["u1", "One", 4, 3, 4]]),
+]
+
+
+def test_other_sheets_are_left_alone(spark):
+    found = reshape_marks(records(spark, *OTHERS, ("3rd Sem", GROUPED)))
+    assert [r.path for r in found.summary.collect()] == [f"upload{len(OTHERS)}.csv"] and found.exams.count() == 17
 
 
 def test_merged_headers_and_a_row_of_notes(spark):
