@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keyed import fingerprint
+
 
 def replaced_partition(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """stored with all rows of the keys that rows have replaced by rows."""
@@ -155,3 +157,31 @@ def adapted_interval(interval: Column, base: Column, yields: Column, streak: Col
     """The next interval: half (not under an eighth of the base) after a yield, 1.5 times as long without, doubled for each failure in a row; most at most."""
     calm = F.when(yields > 0, F.greatest(interval / 2, base / 8)).otherwise(interval * 1.5)
     return F.least(F.lit(most), F.when(streak > 0, base * F.pow(F.lit(2), F.least(streak, F.lit(10)))).otherwise(calm)).cast("long")
+
+
+def first_wins(stored: DataFrame, rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """stored and the first row of each key that it lacks; what is stored is never changed.  Null keys are one key."""
+    others = [c for c in rows.columns if c not in key]
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_row")).select(*key, *(F.col(f"_row.{c}").alias(c) for c in others))
+    held = stored.select(*(F.col(k).alias(f"_held_{k}") for k in key)).distinct()
+    known = [F.col(k).eqNullSafe(F.col(f"_held_{k}")) for k in key]
+    return stored.unionByName(first.join(held, known, "left_anti").select(stored.columns))
+
+
+def suppressed(rows: DataFrame, fingerprints: DataFrame, tenant: str, identifier: str, key: bytes) -> DataFrame:
+    """rows with suppressed: whether their tenant's list has the keyed fingerprint of their identifier.
+
+    Lists hold (tenant, key_hmac) only, so an identifier cannot be read from them; repeats in a list say no more.
+    """
+    listed = fingerprints.select(F.col(tenant).alias("_tenant"), F.col("key_hmac").alias("_hmac"), F.lit(True).alias("_listed")).distinct()
+    marked = rows.withColumn("_print", fingerprint(key, F.col(identifier)))
+    return marked.join(listed, (F.col(tenant) == F.col("_tenant")) & (F.col("_print") == F.col("_hmac")), "left").select(*rows.columns, F.coalesce("_listed", F.lit(False)).alias("suppressed"))
+
+
+def with_canaries(gold: DataFrame, lookalikes: DataFrame) -> DataFrame:
+    """gold (asset_key, split, relation, least_grade, entity_name) after its items among the look-alikes (asset_key, entity_name) became canaries."""
+    new = lookalikes.groupBy("asset_key").agg(F.min("entity_name").alias("_name"))
+    rows = gold.join(new, "asset_key", "left")
+    turned = F.col("_name").isNotNull() & (F.col("split") != "canary")
+    values = {"split": F.lit("canary"), "relation": F.lit("third_party"), "least_grade": F.lit("D"), "entity_name": F.substring("_name", 1, 200)}
+    return rows.withColumn("_turned", turned).select(*(F.when(F.col("_turned"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in gold.columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, cleaning, etl, files, ingest, map, mapping, people, relational, stores, streams, textual, web  # noqa: F401  they register their queries
+from . import checks, cleaning, etl, files, ingest, ledgers, map, mapping, people, relational, stores, streams, textual, web  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
