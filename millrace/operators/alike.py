@@ -1,16 +1,25 @@
-"""Names that are alike among all, exactly and without a cap: equal names are one class, and classes meet by their rarest pairs of letters."""
+"""Names that are alike among all, exactly and without a cap: equal names are one class, and classes meet by their rarest letters in a row."""
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from ..functions.similarity import ratio
 
-#: A part of a frequent pair of letters that one task compares with another part.
+#: Names of a part of a frequent key that one task compares with another part.
 PART = 4096
+#: Letters in a row that make a gram, and the lengths of names up to and from which pairs meet by one gram instead of two.
+GRAM, SHORT, LONG = 3, 6, 80
 
 
 def name_classes(people: DataFrame, key: str, name: str) -> DataFrame:
@@ -18,41 +27,88 @@ def name_classes(people: DataFrame, key: str, name: str) -> DataFrame:
     return people.select(F.col(key).alias("key"), F.lower(name).alias("class")).where(F.trim("class") != "")
 
 
-def _grams(name: Column) -> Column:
-    """Each two neighbouring letters with how often they came before in the name, so that repeats count."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(name, i, F.lit(2)))
-    count = lambda g, i: F.size(F.filter(F.slice(pairs, 1, i + 1), lambda x: x == g))
-    return F.when(F.length(name) > 1, F.transform(pairs, lambda g, i: F.concat(g, count(g, i).cast("string"))))
+@pandas_udf(ArrayType(StringType()))
+def _grams(names: pd.Series) -> pd.Series:
+    """Each GRAM neighbouring letters with how often they came before in the name, so that repeats count."""
+
+    def of(name: str) -> list[str]:
+        seen: dict[str, int] = defaultdict(int)
+        out = []
+        for i in range(len(name) - GRAM + 1):
+            gram = name[i : i + GRAM]
+            seen[gram] += 1
+            out.append(f"{gram}{seen[gram]}")
+        return out
+
+    return names.map(of)
+
+
+@lru_cache(4096)
+def lost_grams(a: int, least: float) -> int:
+    """How many grams of a name of a letters a name that is alike can lack at most."""
+    lengths = range(math.ceil(a * least / (2 - least) - 1e-9), math.floor(a * (2 - least) / least + 1e-9) + 1)
+    kept = ((b, math.ceil(least * (a + b) / 2 - 1e-9)) for b in lengths)
+    return max((GRAM * (a - m) + (GRAM - 1) * (b - m) for b, m in kept if m <= min(a, b)), default=0)
+
+
+def _rare(least: float) -> Callable:
+    @pandas_udf(ArrayType(LongType()))
+    def rare(ranked: pd.Series) -> pd.Series:
+        return ranked.map(lambda g: g[: lost_grams(len(g) + GRAM - 1, least) + 2])
+
+    return rare
+
+
+@pandas_udf(ArrayType(LongType()))
+def _twos(rare: pd.Series) -> pd.Series:
+    """The key of each two grams of a list, the rarer first (as _two)."""
+
+    def of(grams: np.ndarray) -> np.ndarray:
+        i, j = np.triu_indices(len(grams), 1)
+        return grams[i] ^ (grams[j] << 1)
+
+    return rare.map(lambda g: of(np.asarray(g, dtype=np.int64)))
+
+
+def _two(a: Column, b: Column) -> Column:
+    return a.bitwiseXOR(F.shiftleft(b, 1))
 
 
 def alike_classes(classes: DataFrame, least: float = 0.9) -> DataFrame:
     """(name_a, name_b, ratio): all pairs of different names, name_a before name_b, whose difflib ratio is at least so much (0.9 to 1).
 
     A ratio of r says that both names keep M >= r * (a + b) / 2 letters in order.  Taking a letter out spoils
-    two pairs of neighbours and putting one in spoils one, so of the pairs of a name of a letters no more than
-    2 * (a - M) + (b - M) are lost, and among one more than that, the rarest, both names have one in common.
-    Names meet by these, each two of them under the rarest that they share; lengths and the edit distance sort out
-    most, and difflib judges the rest.  A frequent pair of letters is cut into parts by a hash of the name, and
-    parts meet in tasks of their own, so no task gets all names that have it.
+    three grams (three letters in a row) and putting one in spoils two, so a name of a letters loses no more
+    than 3 * (a - M) + 2 * (b - M) grams, and among two more than that, the rarest, both names have two in common.
+    Names meet by two such grams, each pair of names under the two rarest that they share, so that it is
+    looked at once.  Pairs of which the longer name has over LONG letters meet by one gram, as their twos would
+    be many, and so do those of at most SHORT letters, which may share but one.
+    Lengths and the edit distance sort out most, and difflib judges the rest.  A frequent key is cut into parts
+    by a hash of the name, and parts meet in tasks of their own, so no task gets all names that have it.
+    Work grows with the pairs of names that share two rare grams, and so with the answer where names are numbered ("Customer 0001").
     """
     if not 0.9 <= least <= 1:
         raise ValueError("least must be from 0.9 to 1")
-    names = classes.select(F.col("class").alias("name")).distinct().withColumn("grams", _grams(F.col("name"))).where(F.col("grams").isNotNull())
-    length = F.length("name")
-    shortest = F.ceil(length * (least / (2 - least)) - 1e-9)
-    prefix = F.floor(length * (2 - 1.5 * least) + shortest * (1 - 1.5 * least) + 1e-9) + 1
+    names = classes.select(F.col("class").alias("name")).where(F.length("class") >= GRAM).distinct().withColumn("grams", _grams("name"))
     each = names.select("name", F.explode("grams").alias("gram"))
     counted = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    ranked = each.join(counted, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))  # a name's own
-    rare = ranked.select("name", length.alias("len"), F.slice("grams", F.lit(1), prefix.cast("int")).alias("rare"))
-    rows = rare.select("name", "len", "rare", F.explode("rare").alias("by")).withColumn("parts", F.ceil(F.col("by.n") / PART).cast("int"))
-    part = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
-    left = rows.select(F.col("name").alias("name_a"), F.col("len").alias("len_a"), F.col("rare").alias("rare_a"), "by", part.alias("part_a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_b"))
-    right = rows.select(F.col("name").alias("name_b"), F.col("len").alias("len_b"), F.col("rare").alias("rare_b"), "by", part.alias("part_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_a"))
-    both = F.col("len_a") + F.col("len_b")
-    met = left.join(right, ["by", "part_a", "part_b"]).where(
-        (F.col("name_a") < F.col("name_b")) & (2 * F.least("len_a", "len_b") >= least * both - 1e-9)
-        & (F.array_min(F.array_intersect("rare_a", "rare_b")) == F.col("by")) & (F.levenshtein("name_a", "name_b") <= (1 - least) * both + 1e-9)
+    ranked = each.join(counted, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", F.xxhash64("gram").alias("gram")))).alias("grams"))  # a name's own
+    rare = ranked.select("name", F.length("name").alias("len"), _rare(least)(F.col("grams.gram")).alias("rare"))
+    short, far = rare.where(F.col("len") <= LONG), rare.where((F.col("len") <= SHORT) | (F.col("len") * ((2 - least) / least) > LONG))
+    rows = short.select("name", "len", "rare", F.lit(False).alias("long"), F.explode(_twos("rare")).alias("key")).unionByName(
+        far.select("name", "len", "rare", F.lit(True).alias("long"), F.explode(F.slice("rare", F.lit(1), F.greatest(F.size("rare") - 1, F.lit(1)))).alias("key"))
+    )
+    by = ["long", "key"]
+    frequent = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
+    rows = rows.join(frequent, by, "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(1)) / PART).cast("int"))
+    part, parts = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = rows.select(F.col("name").alias("name_a"), F.col("len").alias("len_a"), F.col("rare").alias("rare_a"), *by, part.alias("part_a"), parts.alias("part_b"))
+    right = rows.select(F.col("name").alias("name_b"), F.col("len").alias("len_b"), F.col("rare").alias("rare_b"), *by, part.alias("part_b"), parts.alias("part_a"))
+    both, shared = F.col("len_a") + F.col("len_b"), F.array_intersect("rare_a", "rare_b")
+    first = F.when(F.col("long"), F.get(shared, F.lit(0))).otherwise(_two(F.get(shared, F.lit(0)), F.get(shared, F.lit(1))))
+    met = left.join(right, [*by, "part_a", "part_b"]).where(
+        (F.col("name_a") < F.col("name_b")) & (2 * F.least("len_a", "len_b") >= least * both - 1e-9) & (F.col("long") == ~F.greatest("len_a", "len_b").between(SHORT + 1, LONG))
+        & (first == F.col("key")) & (F.levenshtein("name_a", "name_b") <= (1 - least) * both + 1e-9)
     )
     return met.select("name_a", "name_b").withColumn("ratio", ratio("name_a", "name_b")).where(F.col("ratio") >= least)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,3 +209,65 @@ def full_grades(evidence: DataFrame) -> DataFrame:
     best = F.greatest(F.coalesce("_best", F.lit(1)), F.when(n >= 2, 3).otherwise(1))
     rank = F.when(F.col("_down"), 0).otherwise(best)
     return sums.join(dropped, "asset_id", "left").select("asset_id", rank.alias("rank"), grade_of(rank).alias("grade"), n.cast("long").alias("channels"), F.when(~F.col("_down") & F.col("_best").isNotNull(), F.col("reason")).alias("reason"))
+
+
+#: Statuses that say that a site is out of its owner's hands.
+SECURITY = ("compromised", "hijacked", "parked", "redirected", "dead")
+_PROPOSAL = ("proposed_grade", "proposed_reasons", "proposed_scorer", "proposed_run")
+
+
+def regraded(stored: DataFrame, computed: DataFrame, version: str, run: str, proposed: bool = False, publish: bool = False) -> DataFrame:
+    """The stored grades after new ones were computed, with action: same, restamped, published or parked.
+
+    stored has asset_id, grade, reasons, scorer_version, status and the proposal that waits (proposed_grade,
+    _reasons, _scorer, _run; null: none); computed has asset_id, grade, reasons and status (null: as before), a
+    row for each asset at most.  An equal grade only brings reasons and rule up to date and leaves what waits.
+    Another grade is parked as a proposal where all are (proposed), where an older rule made the stored one, or where
+    a proposal waits, which keeps its run; but a fall to D, or of a site out of its owner's hands, and all that
+    publish forces take effect at once and clear the proposal.  Assets that were not computed stay.
+    """
+    new = computed.select("asset_id", *(F.col(c).alias(f"_{c}") for c in ("grade", "reasons", "status")))
+    order = lambda c: F.coalesce(rank_of(F.col(c)), F.lit(RANKS["unrated"]))
+    status = F.coalesce("_status", "status")
+    stale = F.coalesce((F.col("scorer_version") != "") & (F.col("scorer_version") != version), F.lit(False))
+    outright = F.lit(publish) | ((order("_grade") < order("grade")) & F.coalesce((F.col("_grade") == "D") | status.isin(*SECURITY), F.lit(False)))
+    waits = F.lit(proposed) | ((stale | F.col("proposed_grade").isNotNull()) & ~outright)
+    same = F.col("_grade").eqNullSafe(F.col("grade"))
+    action = (
+        F.when(F.col("_grade").isNull(), "same").when(same & (stale | ~F.col("_reasons").eqNullSafe(F.col("reasons"))), "restamped")
+        .when(same, "same").when(waits, "parked").otherwise("published")
+    )
+    rows = stored.join(new, "asset_id", "left").withColumn("action", action)
+    shown, parked = F.col("action").isin("published", "restamped"), F.col("action") == "parked"
+    proposal = {"proposed_grade": F.col("_grade"), "proposed_reasons": F.col("_reasons"), "proposed_scorer": F.lit(version), "proposed_run": F.coalesce("proposed_run", F.lit(run))}
+    after = {c: F.when(parked, v).when(F.col("action") != "published", F.col(c)) for c, v in proposal.items()}
+    after |= {"grade": F.when(F.col("action") == "published", F.col("_grade")).otherwise(F.col("grade")), "status": status}
+    after |= {"reasons": F.when(shown, F.col("_reasons")).otherwise(F.col("reasons")), "scorer_version": F.when(shown, F.lit(version)).otherwise(F.col("scorer_version"))}
+    return rows.select(*(after.get(c, F.col(c)).alias(c) for c in stored.columns), "action")
+
+
+def settled_proposals(stored: DataFrame, apply: Column, run: str | None = None) -> DataFrame:
+    """stored after its proposals (of one run, or all) were published where apply holds, else discarded.
+
+    Either way the grade stands under the proposal's rule, so that one discarded is not raised again by the same rule.
+    """
+    mine = F.col("proposed_grade").isNotNull() & (F.lit(True) if run is None else F.coalesce(F.col("proposed_run") == run, F.lit(False)))
+    taken = mine & apply
+    after = {c: F.when(~mine, F.col(c)) for c in _PROPOSAL}
+    after |= {"grade": F.when(taken, F.col("proposed_grade")).otherwise(F.col("grade")), "reasons": F.when(taken, F.coalesce("proposed_reasons", "reasons")).otherwise(F.col("reasons"))}
+    after["scorer_version"] = F.when(mine, F.coalesce("proposed_scorer", "scorer_version")).otherwise(F.col("scorer_version"))
+    return stored.select(*(after.get(c, F.col(c)).alias(c) for c in stored.columns))
+
+
+def rescored(stored: DataFrame, computed: DataFrame, version: str, run: str, measure: Callable[[DataFrame], DataFrame], tolerance: float = 0.02) -> DataFrame:
+    """All grades under a new rule: parked as proposals of the run, and published if the gate lets the measures pass, else left waiting.
+
+    measure makes the one row that gate() compares from assets and their grades; it sees the stored ones, then the proposed.
+    Adds publish, the gate's word.
+    """
+    parked = regraded(stored, computed, version, run, proposed=True).drop("action")
+    shown = parked.withColumn("grade", F.coalesce("proposed_grade", "grade"))
+    verdict = gate(measure(stored), measure(shown), tolerance).select("publish")
+    rows = parked.crossJoin(F.broadcast(verdict))  # one row
+    passed = settled_proposals(rows, F.lit(True), run)
+    return rows.where(~F.col("publish")).unionByName(passed.where("publish"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.keyed import fingerprint
-from ..operators import alike, budgets, stores
+from ..operators import alike, budgets, graph, stores
 from .registry import query
 from .roles import table
 
@@ -69,11 +69,66 @@ def gold_items(spark, sf):
 
 
 def customers(spark, sf):
-    """Customers under names of which each third customer shares one with others."""
-    return table(spark, sf, "customer").selectExpr("c_custkey as key", "case when c_custkey % 3 = 0 then concat('Shared name ', c_custkey % 5) else concat_ws(' ', c_mktsegment, c_name) end as name", "c_acctbal as balance", "c_nationkey as nation")
+    """Customers in threes: a name, the same less a letter, and one of five names that a third of all share."""
+    own = "translate(left(md5(cast(c_custkey div 3 as string)), 22), '0123456789', 'ghijklmnop')"
+    name = f"case c_custkey % 3 when 0 then concat('Ann ', {own}) when 1 then concat('ann ', left({own}, 8), substring({own}, 10)) else concat('Shared name ', c_custkey % 5) end as name"
+    return table(spark, sf, "customer").selectExpr("c_custkey as key", name, "c_acctbal as balance", "concat('nation ', c_nationkey) as nation")
 
 
 @query()
 def alike_people(spark, sf):
     """Each customer's class of equal names and how many customers of other names are alike; no SQL, as it knows no such ratio."""
     return alike.alike_people(customers(spark, sf), "key", "name")
+
+
+@query()
+def corroborated_people(spark, sf):
+    """Alike names of which two customers share a nation or a balance, however many others do; no SQL, as it knows no such ratio."""
+    return alike.corroborated(customers(spark, sf), "key", "name", ["balance", "nation"])
+
+
+_AT = lambda i: f"case {i} when 0 then 'O' when 1 then 'A' when 2 then 'B' when 3 then 'C' else 'D' end"
+_HELD = f"""o_orderkey as asset_id, {_AT('o_orderkey % 5')} as grade, 'kept' as reasons, case o_orderkey % 3 when 0 then 'v1' when 1 then 'v2' end as scorer_version,
+  case when o_custkey % 4 = 0 then 'parked' else 'live' end as status, case when o_orderkey % 7 = 0 then 'C' end as proposed_grade, case when o_orderkey % 7 = 0 then 'waits' end as proposed_reasons,
+  case when o_orderkey % 7 = 0 then 'v1' end as proposed_scorer, case when o_orderkey % 7 = 0 then 'old' end as proposed_run"""
+_FOUND = f"o_orderkey as asset_id, {_AT('(o_orderkey + o_custkey) % 5')} as grade, case when o_custkey % 2 = 0 then 'kept' else 'found' end as reasons, case when o_custkey % 10 = 3 then 'hijacked' end as status"
+_MARKED = f"""s as (select {_HELD} from orders), c as (select {_FOUND} from orders where o_custkey % 6 <> 5),
+  j as (select s.*, c.grade as g, c.reasons as r, coalesce(c.status, s.status) as st, coalesce(scorer_version <> 'v2', false) as stale, list_position(['O', 'A', 'B', 'C', 'D'], c.grade) > list_position(['O', 'A', 'B', 'C', 'D'], s.grade) as fell from s left join c using (asset_id)),
+  a as (select *, case when g is null then 'same' when g = grade then case when stale or r <> reasons then 'restamped' else 'same' end
+    when (stale or proposed_grade is not null) and not (fell and (g = 'D' or st in ('compromised', 'hijacked', 'parked', 'redirected', 'dead'))) then 'parked' else 'published' end as action from j)"""
+
+
+def _grades(spark, sf):
+    orders = table(spark, sf, "orders")
+    return orders.selectExpr(*_split(_HELD)), orders.where("o_custkey % 6 <> 5").selectExpr(*_split(_FOUND))
+
+
+def _split(columns):
+    import re
+
+    return [c.strip() for c in re.split(r",(?![^(]*\))", columns)]
+
+
+@query(f"""with {_MARKED} select asset_id, action, st as status, case when action = 'published' then g else grade end as grade, case when action in ('published', 'restamped') then r else reasons end as reasons,
+  case when action in ('published', 'restamped') then 'v2' else scorer_version end as scorer_version, case action when 'parked' then g when 'published' then null else proposed_grade end as proposed_grade,
+  case action when 'parked' then r when 'published' then null else proposed_reasons end as proposed_reasons, case action when 'parked' then 'v2' when 'published' then null else proposed_scorer end as proposed_scorer,
+  case action when 'parked' then coalesce(proposed_run, 'now') when 'published' then null else proposed_run end as proposed_run from a""")
+def regraded_assets(spark, sf):
+    """Stored grades after a pass: what is published, what waits for a manager, what only gets the new rule."""
+    return graph.regraded(*_grades(spark, sf), "v2", "now")
+
+
+_RESCORED = """select '{0}' as name, asset_id, case when changed and publish and proposed_run is null then g else grade end as grade, case when changed and publish and proposed_run is null then null when changed then g else proposed_grade end as proposed_grade, publish
+  from p, (select avg(case when grade in ('O', 'A', 'B') then 1.0 else 0 end) - avg(case when case when changed then g else coalesce(proposed_grade, grade) end in ('O', 'A', 'B') then 1.0 else 0 end) <= {1} as publish from p)"""
+
+
+@query(f"with {_MARKED}, p as (select *, coalesce(g <> grade, false) as changed from j) {_RESCORED.format('usual', 0.02)} union all {_RESCORED.format('any', 1.0)}")
+def rescored_assets(spark, sf):
+    """All grades under a new rule, published if the gate lets them pass; proposals of other runs wait on."""
+    stored, found = _grades(spark, sf)
+
+    def measure(assets):
+        return assets.agg(F.avg(F.col("grade").isin("O", "A", "B").cast("double")).alias("holdout_recall"), F.lit(1.0).alias("seed_rate"), F.lit(None).cast("double").alias("precision"), F.array().cast("array<string>").alias("canary_leaks"))
+
+    runs = [graph.rescored(stored, found, "v2", "now", measure, t).select(F.lit(n).alias("name"), "asset_id", "grade", "proposed_grade", "publish") for n, t in (("usual", 0.02), ("any", 1.0))]
+    return runs[0].union(runs[1])

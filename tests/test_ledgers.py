@@ -60,3 +60,19 @@ def test_stores_keep_what_came_first(spark):
     gold = spark.createDataFrame([("x", "seed", "official", "B", "X"), ("y", "canary", "third_party", "D", "Y"), ("z", "holdout", "official", "A", "Z")], "asset_key string, split string, relation string, least_grade string, entity_name string")
     look = spark.createDataFrame([("x", "fake x"), ("x", "fake"), ("y", "fake y")], "asset_key string, entity_name string")
     assert {tuple(r) for r in stores.with_canaries(gold, look).collect()} == {("x", "canary", "third_party", "D", "fake"), ("y", "canary", "third_party", "D", "Y"), ("z", "holdout", "official", "A", "Z")}
+
+
+def test_proposals_are_published_or_dropped_by_run(spark):
+    from millrace.operators import graph
+
+    rows = [("a", "B", "r", "v1", "live", "A", "n", "v2", "one"), ("b", "B", "r", None, "live", "C", None, None, "two"), ("c", "B", "r", "v1", "live", None, None, None, None), ("d", "B", "r", "v1", "live", "A", "n", "v2", None)]
+    columns = ["asset_id", "grade", "reasons", "scorer_version", "status", "proposed_grade", "proposed_reasons", "proposed_scorer", "proposed_run"]
+    stored = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    done = lambda apply, run: {r.asset_id: (r.grade, r.reasons, r.scorer_version, r.proposed_grade) for r in graph.settled_proposals(stored, F.lit(apply), run).collect()}
+    assert done(True, "one") == {"a": ("A", "n", "v2", None), "b": ("B", "r", None, "C"), "c": ("B", "r", "v1", None), "d": ("B", "r", "v1", "A")}
+    assert done(False, None) == {"a": ("B", "r", "v2", None), "b": ("B", "r", None, None), "c": ("B", "r", "v1", None), "d": ("B", "r", "v2", None)}
+    assert done(True, None)["b"] == ("C", "r", None, None)
+    urgent = spark.createDataFrame([("a", "D", "x", None), ("b", "C", "x", "hijacked"), ("c", "A", "x", None)], "asset_id string, grade string, reasons string, status string")
+    act = lambda **k: {r.asset_id: r.action for r in graph.regraded(stored, urgent, "v2", "now", **k).collect()}
+    assert act() == {"a": "published", "b": "published", "c": "parked", "d": "same"}
+    assert act(proposed=True) == {"a": "parked", "b": "parked", "c": "parked", "d": "same"} and act(publish=True)["c"] == "published"

@@ -15,7 +15,7 @@ def test_query_agrees_with_sql(spark, name):
 
 #: Queries without SQL, and where their results are held against expected ones; the pages of the tables link to no platform.
 HELD = {
-    "account_addresses": "test_web", "accounts_of_entities": "test_map", "alike_people": "test_alike", "chunk_documents": "test_web", "cited_answers": "test_web", "clean_record_notes": "test_cleaning", "detected_entities": "test_headers",
+    "account_addresses": "test_web", "accounts_of_entities": "test_map", "alike_people": "test_alike", "chunk_documents": "test_web", "corroborated_people": "test_alike", "cited_answers": "test_web", "clean_record_notes": "test_cleaning", "detected_entities": "test_headers",
     "hashing_embedding": "test_web", "header_proposals": "test_headers", "hybrid_search": "test_web", "identity_links": "test_map", "ingested_documents": "test_tables", "name_redaction": "test_web",
     "name_redaction_cases": "test_web", "page_integrity": "test_web", "page_links": "test_web", "page_text": "test_web", "probable_people": "test_map", "retrieved_passages": "test_web", "search_queries": "test_map",
 }
