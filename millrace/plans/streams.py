@@ -27,8 +27,8 @@ def events_session(spark, sf):
     return flows.sessions(table(spark, sf, "events"))
 
 
-@query("""select user_id, event_id, case when p is null then 'new' when p = event_type then 'duplicate' else 'changed' end verdict
-  from (select *, lag(event_type) over (partition by user_id order by ts, event_id) p from events)""")
+@query("""select user_id, event_id, case when p is null or epoch_ms(ts) - epoch_ms(t) > 604800000 then 'new' when p = event_type then 'duplicate' else 'changed' end verdict
+  from (select *, lag(event_type) over w p, lag(ts) over w t from events window w as (partition by user_id order by ts, event_id))""")
 def event_verdicts(spark, sf):
     return flows.verdicts_of_batch(table(spark, sf, "events"))
 

@@ -7,12 +7,13 @@ event_type, value): the plan is the same, and batch is what tests compare with.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -54,31 +55,64 @@ def deduplicated(events: DataFrame, key: str = "event_id", late: str = "1 day")
 VERDICTS = "user_id long, event_id long, verdict string"
 
 
-def _verdict(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """new at first, duplicate while the content stays, changed when it differs."""
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    out = []
-    for event, content in zip(rows["event_id"], rows["event_type"], strict=True):
-        out.append((key[0], event, "new" if last is None else "duplicate" if content == last else "changed"))
-        last = content
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "verdict"])
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def verdicts(events: DataFrame) -> DataFrame:
-    """For each event whether its user is new, or its type changed or repeated: keyed state that outlives a micro-batch."""
-    return dated(events).groupBy("user_id").applyInPandasWithState(
-        _verdict, VERDICTS, "last string", "append", GroupStateTimeout.NoTimeout
+class _Verdicts(StatefulProcessor):
+    """The last content of a key and its time, until an event-time timer ends it."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "content string, at long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        content, at = self.last.get() if self.last.exists() else (None, None)
+        before, out = at, []
+        for event, new, ms in zip(frame["event_id"], frame["event_type"], frame["ts"].astype("datetime64[ms]").astype("int64"), strict=True):
+            known = at is not None and ms - at <= self.ttl_ms
+            out.append((key[0], event, "new" if not known else "duplicate" if new == content else "changed"))
+            content, at = new, int(ms) if at is None else max(at, int(ms))
+        if before is not None:
+            self.handle.deleteTimer(before + self.ttl_ms)
+        self.last.update((content, at))
+        self.handle.registerTimer(at + self.ttl_ms)
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "verdict"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        yield pd.DataFrame({"user_id": pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "verdict": pd.Series(dtype="object")})
+
+    def close(self) -> None:
+        pass
+
+
+def verdicts(events: DataFrame, ttl: timedelta = timedelta(days=7), late: str = "1 day") -> DataFrame:
+    """For each event of a stream whether its user is new, or its type changed or repeated.
+
+    A user's last event is remembered for ttl of event time (in milliseconds); after that the user is new again, and
+    a timer takes the state away once the watermark has passed, so that it holds the users of the last
+    ttl + late only.  Rows of a user in one micro-batch are taken in the order of their time; a row that comes
+    later than others but within the watermark is compared with what was last seen; events without a time
+    or a user's key: the first have a way of their own (undated), the second are one user.  The
+    state store is RocksDB, which this sets for the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return dated(events).withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(
+        _Verdicts(int(ttl / timedelta(milliseconds=1))), VERDICTS, "append", "EventTime"
     )
 
 
-def verdicts_of_batch(events: DataFrame) -> DataFrame:
+def verdicts_of_batch(events: DataFrame, ttl: timedelta = timedelta(days=7)) -> DataFrame:
     """The same over a table, as a window."""
-    from pyspark.sql import Window
-
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    verdict = F.when(before.isNull(), "new").when(before == F.col("event_type"), "duplicate").otherwise("changed")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    age = ms - F.lag(ms).over(w)
+    known = F.coalesce(age <= int(ttl / timedelta(milliseconds=1)), F.lit(False))
+    verdict = F.when(~known, "new").when(F.lag("event_type").over(w).eqNullSafe(F.col("event_type")), "duplicate").otherwise("changed")
     return dated(events).select("user_id", "event_id", verdict.alias("verdict"))
 
 

@@ -1,5 +1,7 @@
 """Streams over the event files give what batches over the table give."""
 
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +32,23 @@ def test_verdicts_match_the_window(spark, folder, tmp_path):
     assert rows(got, "user_id", "event_id", "verdict") == rows(want, "user_id", "event_id", "verdict")
 
 
+def test_state_of_verdicts_ends_and_goes_on_after_a_restart(spark, tmp_path):
+    days = [(1, 0, 7, "a"), (2, 1, 7, "a"), (3, 1, 8, "x"), (4, 30, 7, "b"), (5, 31, 9, "c"), (6, 60, 9, "c"), (7, 90, 8, "x"), (8, 91, 9, "d")]
+    make = lambda rows, n: spark.createDataFrame(rows, "event_id long, h long, user_id long, event_type string").selectExpr(
+        "event_id", "timestamp '2024-01-01 00:00:00.5' + make_interval(0, 0, 0, 0, h) as ts", "user_id", "event_type", "1.0D as value", "'' as props").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ttl = timedelta(hours=10)
+    for n, row in enumerate(days):
+        make([row], n)
+        if n in (3, 7):  # two runs from one checkpoint
+            stream = flows.verdicts(flows.read(spark, str(tmp_path / "in"), 1), ttl, "1 hour")
+            got = ran(spark, tmp_path, stream)
+    want = flows.verdicts_of_batch(spark.read.parquet(str(tmp_path / "in")), ttl)
+    assert rows(got, "user_id", "event_id", "verdict") == rows(want, "user_id", "event_id", "verdict")
+    assert {r.event_id: r.verdict for r in got.collect()} == {1: "new", 2: "duplicate", 3: "new", 4: "new", 5: "new", 6: "new", 7: "new", 8: "new"}
+    left = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "state")).count()
+    assert left <= 2  # of the last ten hours and a watermark, not of all three users
+
+
 def test_closed_windows_match_the_batch(spark, folder, tmp_path):
     got = ran(spark, tmp_path, flows.windowed(flows.read(spark, folder, 10), "1 hour"))
     want = flows.windowed(spark.read.parquet(folder), "1 hour")
