@@ -77,3 +77,25 @@ def below(parents: DataFrame, roots: DataFrame, node: str = "node", parent: str
         front = settled(step.join(reached, ["node", "root"], "left_anti"))
         reached = reached.unionByName(front)
     return reached
+
+
+def ancestry(parents: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
+    """(node, ancestor, distance) for all ancestors, however deep, by the shortest way; a node is not its own ancestor, also where parents go round.
+
+    Each round joins the pairs known with those of twice the last step, so a chain of n levels takes log2(n) rounds.
+    A round that finds no new pair ends it: whoever lies beyond would have come after one of its own, and on a
+    circle all are known by then.  Null and repeated links say nothing.
+    """
+    links = parents.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).dropna().distinct()
+    jump = settled(links.where("node <> ancestor"))
+    reached, step = jump.withColumn("distance", F.lit(1)), 1
+    while True:
+        on = jump.select("node", F.col("ancestor").alias("_via"))
+        further = on.join(reached.select(F.col("node").alias("_via"), "ancestor", (F.col("distance") + step).alias("distance")), "_via")
+        found = further.where("node <> ancestor").groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+        new = settled(found.join(reached, ["node", "ancestor"], "left_anti").select("node", "ancestor", "distance"))
+        if new.isEmpty():
+            return reached
+        reached = reached.unionByName(new)
+        jump = settled(on.join(jump.select(F.col("node").alias("_via"), "ancestor"), "_via").select("node", "ancestor").distinct())
+        step *= 2

@@ -223,6 +223,15 @@ def ancestor_chain(spark, sf):
     return joins.ancestors(parents, 4)
 
 
+@query("""with recursive p as (select c_custkey node, case when c_custkey % 100 < 90 then nullif(c_custkey - c_custkey % 100 + c_custkey % 100 // 2, c_custkey) else c_custkey - 1 end parent from customer where c_custkey % 100 > 0),
+  w(node, ancestor, distance) as (select node, parent, 1 from p union all select w.node, p.parent, distance + 1 from w join p on w.ancestor = p.node)
+  select node, ancestor, distance from w where ancestor is not null""")
+def ancestor_closure(spark, sf):
+    """All ancestors at any depth: a tree in each hundred customers, with a chain at its end."""
+    parent = "case when c_custkey % 100 < 90 then nullif(c_custkey - c_custkey % 100 + c_custkey % 100 div 2, c_custkey) else c_custkey - 1 end as parent"
+    return joins.ancestry(table(spark, sf, "customer").where("c_custkey % 100 > 0").selectExpr("c_custkey as node", parent))
+
+
 @query("""select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) n from orders) where n = 1""")
 def latest_per_key(spark, sf):
     rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")

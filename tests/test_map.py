@@ -68,3 +68,20 @@ def test_the_gate_names_what_speaks_against(spark):
     verdict = lambda *v: tuple(gate(before, row(*v)).first())
     assert verdict(0.89, 0.8, 0.1, ["a"]) == (True, []) and verdict(0.9, 0.8, None, ["b"]) == (False, ["leaks b"]) and verdict(0.85, None, None, []) == (False, ["holdout_recall"])
     assert tuple(gate(row(1.0, 1.0, 0.9, []), row(1.0, 1.0, 0.8, [])).first()) == (False, ["precision"])
+
+
+def test_ancestors_of_chains_and_circles(spark):
+    from millrace.operators.joins import ancestry
+
+    up = {i: i - 1 for i in range(1, 41)} | {100: 101, 101: 102, 102: 100, 103: 100, 104: 104}
+    links = [*up.items(), *up.items(), (200, None), (None, 3)]
+    want = set()
+    for n in up:
+        at, d, seen = up[n], 1, {n}
+        while at is not None and at not in seen:
+            want.add((n, at, d))
+            seen.add(at)
+            at, d = up.get(at), d + 1
+    got = [tuple(r) for r in ancestry(spark.createDataFrame(links, "node long, parent long")).collect()]
+    assert set(got) == want and len(got) == len(want) and (40, 0, 40) in want and (103, 102, 3) in want
+    assert ancestry(spark.createDataFrame([], "node long, parent long")).count() == 0
