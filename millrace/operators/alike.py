@@ -85,7 +85,7 @@ def alike_classes(classes: DataFrame, least: float = 0.9) -> DataFrame:
     be many, and so do those of at most SHORT letters, which may share but one.
     Lengths and the edit distance sort out most, and difflib judges the rest.  A frequent key is cut into parts
     by a hash of the name, and parts meet in tasks of their own, so no task gets all names that have it.
-    Work grows with the pairs of names that share two rare grams, and so with the answer where names are numbered ("Customer 0001").
+    Work grows with the pairs of names that share two rare grams, and so as the square of their number where names are numbered ("Customer 0001"): too slow for more than some hundreds.
     """
     if not 0.9 <= least <= 1:
         raise ValueError("least must be from 0.9 to 1")

@@ -69,7 +69,10 @@ def gold_items(spark, sf):
 
 
 def customers(spark, sf):
-    """Customers in threes: a name, the same less a letter, and one of five names that a third of all share."""
+    """Customers in threes: a name, the same less a letter, and one of five names that a third of all share.
+
+    The names are made, as the table's own differ in a number only: most of them are alike, and the join is too slow for that (README).
+    """
     own = "translate(left(md5(cast(c_custkey div 3 as string)), 22), '0123456789', 'ghijklmnop')"
     name = f"case c_custkey % 3 when 0 then concat('Ann ', {own}) when 1 then concat('ann ', left({own}, 8), substring({own}, 10)) else concat('Shared name ', c_custkey % 5) end as name"
     return table(spark, sf, "customer").selectExpr("c_custkey as key", name, "c_acctbal as balance", "concat('nation ', c_nationkey) as nation")
