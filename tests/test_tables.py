@@ -1,5 +1,8 @@
 """Files: encodings, header rows, workbooks, documents, damaged files, and a database."""
 
+import io
+import zipfile
+
 import pytest
 
 from millrace.plans import ingest
@@ -52,3 +55,14 @@ def test_tables_of_a_database(spark, tmp_path):
     assert [r[0] for r in names.collect()] == ["NUMBERS"]
     with pytest.raises(ValueError):
         databases.fetch_table(spark, url, "numbers; drop table numbers")
+
+
+def test_packed_bytes_of_a_document_may_spell_the_folder_of_workbooks(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as made, zipfile.ZipFile(io.BytesIO(ingest.document(["about xl/ folders"], [["Key", "Value"], ["a", "1"]]))) as packed:
+        for name in packed.namelist():
+            made.writestr(name, packed.read(name))
+    paper, book = out.getvalue(), ingest.workbook({"s": [[("", "word/"), ("", "On")], [("", 1), ("", 2)]]})
+    assert b"xl/" in paper and tables.kind_of("d", paper) == "docx" and tables.kind_of("b", book) == "xlsx"
+    made = spark.createDataFrame([("d", paper), ("b", book)], "path string, content binary")
+    assert [(r.path, r.kind, r.problem) for r in tables.read_tables(made).orderBy("path").collect()] == [("b", "xlsx", None), ("d", "docx", None)]
