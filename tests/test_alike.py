@@ -73,3 +73,11 @@ def agreeing(people, fields):
         if 2 * min(map(len, low)) >= 0.9 * sum(map(len, low)) and SequenceMatcher(None, *low).ratio() >= 0.9:
             want[tuple(low)] |= {f for i, f in enumerate(fields, 2) if a[i] and b[i] and a[i].strip().lower() == b[i].strip().lower()}
     return {k: v for k, v in want.items() if v}
+
+
+def test_only_frequent_keys_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(alike, "settled", lambda df: df, raising=False)  # one plan
+    df = spark.createDataFrame([(1, "Ann Lee")], "key long, name string")
+    for found in (alike.alike_classes(alike.name_classes(df, "key", "name")), alike.alike_people(df, "key", "name"), alike.corroborated(df.selectExpr("*", "'x' as city"), "key", "name", ["city"])):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("BroadcastHashJoin") == plan.count("BroadcastHashJoin [long#") and "SortMergeJoin" in plan
