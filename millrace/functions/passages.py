@@ -2,17 +2,20 @@
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from .text import STOP_WORDS
 
 SIZE, OVERLAP, SMALLEST, DIMS = 900, 150, 80, 512
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n{2,}")
 _TOKEN = re.compile(r"[a-z0-9]+")
+_STOPS = frozenset(STOP_WORDS)
 
 
 def lines_of(text: str) -> str:
@@ -47,19 +50,38 @@ def chunked(texts: pd.Series) -> pd.Series:
     return texts.map(chunks_of)
 
 
-def embedding(text: str) -> list[float]:
+@lru_cache(1 << 17)
+def _cell(gram: str) -> tuple[int, float]:
+    """The cell of a gram and its sign."""
+    digest = hashlib.blake2b(gram.encode(), digest_size=8).digest()
+    return int.from_bytes(digest[:4], "big") % DIMS, 1.0 if digest[5] % 2 else -1.0
+
+
+def words_of(text: str | None) -> list[str]:
+    """As functions.text.tokens, of one text."""
+    return [w for w in _TOKEN.findall((text or "").lower()) if len(w) > 1 and w not in _STOPS]
+
+
+def embedding_of(words: list[str]) -> np.ndarray:
     """Words and half-weighted pairs hashed into DIMS signed cells, of length one."""
-    words = [w for w in _TOKEN.findall((text or "").lower()) if len(w) > 1 and w not in STOP_WORDS]
-    out = np.zeros(DIMS)
-    for gram, weight in [*((w, 1.0) for w in words), *((f"{a}_{b}", 0.5) for a, b in zip(words, words[1:]))]:
-        digest = hashlib.blake2b(gram.encode(), digest_size=8).digest()
-        out[int.from_bytes(digest[:4], "big") % DIMS] += weight if digest[5] % 2 else -weight
+    cells = [*map(_cell, words), *(_cell(f"{a}_{b}") for a, b in zip(words, words[1:]))]
+    if not cells:
+        return np.zeros(DIMS)
+    at, sign = zip(*cells)
+    weights = np.array(sign)
+    weights[len(words) :] *= 0.5
+    out = np.bincount(at, weights, minlength=DIMS)
     norm = np.linalg.norm(out)
-    return (out / norm if norm else out).tolist()
+    return out / norm if norm else out
 
 
-@pandas_udf(T.ArrayType(T.DoubleType()))
-def embedded(texts: pd.Series) -> pd.Series:
-    return texts.map(embedding)
+def embedding(text: str | None) -> list[float]:
+    return embedding_of(words_of(text)).tolist()
 
 
+@arrow_udf(T.ArrayType(T.DoubleType()))
+def embedded(texts: pa.Array) -> pa.Array:
+    values = np.zeros((len(texts), DIMS))
+    for i, text in enumerate(texts):
+        values[i] = embedding_of(words_of(text.as_py()))
+    return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * DIMS, values.ravel())

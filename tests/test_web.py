@@ -98,3 +98,10 @@ def test_search_and_rerank_agree_with_a_plain_version(spark):
     assert top[0].doc_id == 1 and top[0].reranked == 1.0  # the best BM25, every term and every pair of words
     said = rank.answers(rank.retrieve(d, q, "doc_id", "text", "item_id", "text"), "item_id", "doc_id").where("item_id = 1").first()
     assert said.citations[0] == "[doc-1:page 1]" and said.answer.startswith("1. hostel fees are due")
+
+
+def test_equal_passages_of_a_task_go_by_the_order_of_their_keys(spark):
+    docs = spark.createDataFrame([(k, "Fees of the college are due in June.") for k in (10, 9, 100)] + [(None, "Other words.")], "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "college fees in June"), (2, "nothing")], "item_id long, text string")
+    got = rank.hybrid_search(docs, asked, "doc_id", "text", "item_id", "text", 2).orderBy("rank").collect()
+    assert [(r.item_id, r.doc_id, r["rank"]) for r in got] == [(1, 9, 1), (1, 10, 2)]
