@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import header
+from .joins import stored
 
 #: What headers, titles and names of sheets say (after header()); the best identifier first.
 IDENTIFIERS = (
@@ -199,6 +200,7 @@ def reshape_marks(records: DataFrame) -> Marks:
     of attendance, percentages, grade points or lost sub-headers rule it out.  A cell without a number is the result
     (AB), one with grace marks is both.  Rows without identifier are kept if they have marks.
     """
+    records = stored(records.select(*SHEET, "row_number", "headers", "fields", "title"))  # read several times; files are opened once
     known = _judged(_columns(records), records)
     columns = _named(known)
     per_sheet = columns.groupBy(*SHEET).agg(

@@ -113,3 +113,17 @@ def test_notes_and_absence(spark):
     assert [(n, h) for n, h, _, _ in tables.grid_records(days)] == [(3, ["USN", "1", "2", "3"]), (4, ["USN", "1", "2", "3"])]
     years = [["Town", "2023", "2024"], ["Aa", "ten", "few"], ["Bb", "ten", "low"]]
     assert [h for _, h, _, _ in tables.grid_records(years)][0] == ["Town", "2023", "2024"]
+
+
+def test_files_are_opened_once_for_all_that_is_made_of_them(spark):
+    opened = spark.sparkContext.accumulator(0)
+    records = tables.read_tables(ingest._marks_books(spark, "/root/testdata/sf0.001"))
+
+    def counted(batches):
+        for batch in batches:
+            opened.add(batch.num_rows)
+            yield batch
+
+    seen = records.mapInArrow(counted, records.schema)
+    found = reshape_marks(seen)
+    assert found.exams.count() and found.summary.count() and opened.value == records.count()
