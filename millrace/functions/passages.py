@@ -50,11 +50,12 @@ def chunked(texts: pd.Series) -> pd.Series:
     return texts.map(chunks_of)
 
 
-@lru_cache(1 << 17)
-def _cell(gram: str) -> tuple[int, float]:
-    """The cell of a gram and its sign."""
-    digest = hashlib.blake2b(gram.encode(), digest_size=8).digest()
-    return int.from_bytes(digest[:4], "big") % DIMS, 1.0 if digest[5] % 2 else -1.0
+def _digest(gram: str) -> bytes:
+    return hashlib.blake2b(gram.encode(), digest_size=8).digest()
+
+
+#: Words come again and again, pairs hardly.
+_word_digest = lru_cache(1 << 17)(_digest)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -64,13 +65,13 @@ def words_of(text: str | None) -> list[str]:
 
 def embedding_of(words: list[str]) -> np.ndarray:
     """Words and half-weighted pairs hashed into DIMS signed cells, of length one."""
-    cells = [*map(_cell, words), *(_cell(f"{a}_{b}") for a, b in zip(words, words[1:]))]
-    if not cells:
+    if not words:
         return np.zeros(DIMS)
-    at, sign = zip(*cells)
-    weights = np.array(sign)
+    digests = [*map(_word_digest, words), *map(_digest, map("_".join, zip(words, words[1:])))]
+    bits = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
+    weights = np.where(bits[:, 5] % 2, 1.0, -1.0)
     weights[len(words) :] *= 0.5
-    out = np.bincount(at, weights, minlength=DIMS)
+    out = np.bincount(np.ascontiguousarray(bits[:, :4]).view(">u4").ravel() % DIMS, weights, minlength=DIMS)
     norm = np.linalg.norm(out)
     return out / norm if norm else out
 
