@@ -219,15 +219,15 @@ RESERVED = {
 def site(url: Column) -> Column:
     """Host in lower case without the prefixes that name the same site."""
     host = F.rtrim(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit("."))
-    for p in HOST_PREFIXES:
-        host = F.regexp_replace(host, rf"^{p.replace('.', '[.]')}(?=.*[.])", "")
-    return host
+    prefixes = "".join(f"(?:{p.replace('.', '[.]')}(?=.*[.]))?" for p in HOST_PREFIXES)  # each once, in this order
+    return F.regexp_replace(host, f"^{prefixes}", "")
 
 
 def platform(host: Column) -> Column:
-    """The platform that a host, as site() gives it, belongs to, or website."""
-    ways = [F.when(under(host, (suffix,)), F.lit(name)) for suffix, name in PLATFORM_HOSTS.items()]
-    return F.when(F.coalesce(host, F.lit("")) != "", F.coalesce(*ways, F.lit("website")))
+    """The platform that a host, as site() gives it, belongs to, or website: its last labels are looked up, so that the host is worked out for a few places only."""
+    names = F.create_map(*(F.lit(x) for kv in PLATFORM_HOSTS.items() for x in kv))
+    ends = [F.try_element_at(names, F.substring_index(host, ".", -n)) for n in sorted({s.count(".") + 1 for s in PLATFORM_HOSTS})]
+    return F.when(F.coalesce(host, F.lit("")) != "", F.coalesce(*ends, F.lit("website")))
 
 
 def account_key(url: Column, host: Column, where: Column) -> Column:

@@ -105,3 +105,17 @@ def test_equal_passages_of_a_task_go_by_the_order_of_their_keys(spark):
     asked = spark.createDataFrame([(1, "college fees in June"), (2, "nothing")], "item_id long, text string")
     got = rank.hybrid_search(docs, asked, "doc_id", "text", "item_id", "text", 2).orderBy("rank").collect()
     assert [(r.item_id, r.doc_id, r["rank"]) for r in got] == [(1, 9, 1), (1, 10, 2)]
+
+
+def test_platforms_by_the_last_labels_are_those_of_all_names(spark):
+    hosts = ["", None, "com", ".com", "t.me", "at.me", "a.t.me", "x.com", "max.com", "play.google.com", "google.com", "a.play.google.com", "gdg.community.dev", "community.dev", "www.www.x.com", "m.in.x.com", "in.m.x.com", "web.x", "web.com", "business.fb.com."]
+    rows = spark.createDataFrame([(h, f"https://{h}/a") for h in hosts], "h string, x string").withColumns({"p": text.platform(F.col("h")), "s": text.site(F.col("x"))})
+    for r in rows.collect():
+        want = next((p for n, p in text.PLATFORM_HOSTS.items() if r.h == n or r.h and r.h.endswith("." + n)), "website") if r.h else None
+        host = (r.h or "None").lower().rstrip(".")
+        for p in text.HOST_PREFIXES:
+            if host.startswith(p) and "." in host[len(p) :]:
+                host = host[len(p) :]
+        assert r.p == want and r.s in (host, None), r
+    plan = rows.select(text.platform(text.site(F.col("x"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("HOST") < 12  # the address is not parsed for each platform
