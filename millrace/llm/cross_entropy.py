@@ -8,15 +8,13 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import n_buckets, schema_of, scratch, without
+from .frames import SALTS, fresh, n_buckets, schema_of, scratch, without
 from .hashing import chunks, mix, words
-from .ngrams import trusted_sample
 
 DISCOUNT = 0.75
-MAX_TARGET_DOCS, MAX_TARGET_CHARS = 4000, 8_000_000
 #: Words of a block of texts (of one text at least), whose n-grams are added up before they are sent.
 BLOCK_WORDS = 500_000
 #: The pairs that begin with one word go to so many parts of a hundred of all buckets, so that none is alone with a frequent word.
@@ -68,19 +66,20 @@ def _batch(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
 
-def _opened(a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: its different word keys, rising, each word's number among them, and the lengths of its texts."""
+def _opened(a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: its different word keys, rising, each word's number among them, the lengths of its texts, and which of these the target has."""
     ranked = _unpacked(a)
     order = np.argsort(ranked)
     number = np.zeros(len(ranked), np.int64)
     number[order] = np.arange(len(ranked))
-    return ranked[order], number[_unpacked(b).astype(np.int64)], _unpacked(c).astype(np.int64)
+    lens = _unpacked(c).astype(np.int64)
+    return ranked[order], number[_unpacked(b).astype(np.int64)], lens >> 1, lens & 1
 
 
-def _encode(text: str, kept: list[str], target: bool):
+def _encode(text: str, kept: list[str], target: str):
     """Texts as blocks: word keys, the most frequent first, each word's number among them, lengths, and the other columns as they are.
 
-    Blocks of the target have numbers below zero.
+    The last bit of a length tells whether the text counts for the target.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +99,8 @@ def _encode(text: str, kept: list[str], target: bool):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, rest.schema) as out:
                     out.write_batch(rest)
-                number = (part << 32) | serial
-                made = (-number - 1 if target else number, 0, 0, _packed(keys[order]), _packed(rank[numbers]), _packed(lens.astype(np.uint64)), sink.getvalue().to_pybytes())
+                wanted = batch.column(batch.schema.get_field_index(target)).slice(start, end - start).to_numpy(zero_copy_only=False)
+                made = ((part << 32) | serial, 0, 0, _packed(keys[order]), _packed(rank[numbers]), _packed((lens << 1 | wanted).astype(np.uint64)), sink.getvalue().to_pybytes())
                 held.clear()
                 serial, start, size = serial + 1, end, 0
                 return _batch(_TOLD, [made])
@@ -137,24 +136,24 @@ def _pairs(keys: np.ndarray, numbers: np.ndarray, lens: np.ndarray) -> tuple[np.
 
 
 def _ask(parts: int, of_pairs: bool):
-    """A block's words or pairs with their counts, packed by bucket."""
+    """A block's words or pairs with their counts in all its texts and in those of the target, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 block, a, b, c = (batch.column(k)[i].as_py() for k in range(4))
-                keys, numbers, lens = _opened(a, b, c)
-                rows = []
+                keys, numbers, lens, target = _opened(a, b, c)
+                wanted, rows = np.repeat(target, lens), []
                 if of_pairs:
-                    pairs, first, pair, _ = _pairs(keys, numbers, lens)
-                    n = np.bincount(pair, minlength=len(pairs))
+                    pairs, first, pair, at = _pairs(keys, numbers, lens)
+                    n, t = (np.bincount(pair, w, minlength=len(pairs)) for w in (None, wanted[at]))
                     for k, own in enumerate(_dealt(keys[first], parts, pairs)):
                         heads, runs = np.unique(first[own], return_counts=True)
                         if len(own):  # first words rise in a bucket
-                            rows.append((k, 0, block, _packed(pairs[own] & PAIR_BITS), _several(n[own]), _steps(keys[heads]), _several(runs)))
+                            rows.append((k, 0, block, _packed(pairs[own] & PAIR_BITS), _several(n[own], t[own]), _steps(keys[heads]), _several(runs)))
                 else:
-                    n = np.bincount(numbers, minlength=len(keys))
-                    rows = [(k, 0, block, _steps(keys[own]), _several(n[own])) for k, own in enumerate(_dealt(keys, parts)) if len(own)]
+                    n, t = (np.bincount(numbers, w, minlength=len(keys)) for w in (None, wanted))
+                    rows = [(k, 0, block, _steps(keys[own]), _several(n[own], t[own])) for k, own in enumerate(_dealt(keys, parts)) if len(own)]
                 yield _batch(_ASKED, rows)
 
     return run
@@ -174,12 +173,10 @@ def _by_key(batches: Iterator[pa.RecordBatch], at: int, settle: Callable[[list[t
         yield from settle(held)
 
 
-def _count(pieces: list[np.ndarray], counts: list[np.ndarray], blocks: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _count(pieces: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Different keys, each key's number among them, and how often each is in the corpus and in the target."""
     keys, number = np.unique(np.concatenate(pieces), return_inverse=True)
-    target = np.repeat(np.array(blocks) < 0, [len(p) for p in pieces])
-    n = np.concatenate(counts)
-    both = (np.bincount(number, n * w, minlength=len(keys)).astype(np.int64) for w in (~target, target))
+    both = (np.bincount(number, n, minlength=len(keys)).astype(np.int64) for n in np.concatenate(counts, axis=1))
     return keys, number, *both
 
 
@@ -189,8 +186,8 @@ def _settle_pairs(parts: int):
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         heads = [np.repeat(_unsteps(r[5]), _unpacked(r[6]).astype(np.int64)) for r in rows]
         pieces = [mix(h * _SPREAD + _unpacked(r[3])) for h, r in zip(heads, rows, strict=True)]
-        heads, counts = np.concatenate(heads), [_unpacked(r[4]).astype(np.int64) for r in rows]
-        keys, number, n, t = _count(pieces, counts, [r[2] for r in rows])
+        heads = np.concatenate(heads)
+        keys, number, n, t = _count(pieces, [_unseveral(r[4], 2) for r in rows])
         one = np.zeros(len(keys), np.uint64)
         one[number] = heads
         heads, head = np.unique(one, return_inverse=True)
@@ -199,8 +196,7 @@ def _settle_pairs(parts: int):
         for r, piece in zip(rows, pieces, strict=True):
             mine = number[at : at + len(piece)]
             at += len(piece)
-            if r[2] >= 0:
-                told.append((r[2], 2, r[0], _several(n[mine], t[mine])))
+            told.append((r[2], 2, r[0], _several(n[mine], t[mine])))
         told += [(None, 3, k, _steps(heads[own]), _several(*(s[own] for s in sums))) for k, own in enumerate(_dealt(heads, parts)) if len(own)]
         yield _batch(_TOLD, told)
 
@@ -213,7 +209,7 @@ def _settle_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         asked = [r for r in rows if r[1] == 0]
         pieces = [_unsteps(r[3]) for r in asked]
-        keys, number, n, t = _count(pieces, [_unpacked(r[4]).astype(np.int64) for r in asked], [r[2] for r in asked])
+        keys, number, n, t = _count(pieces, [_unseveral(r[4], 2) for r in asked])
         sums = np.zeros((4, len(keys)), np.int64)
         for r in rows:
             if r[1] == 3:  # a key is in it once
@@ -222,8 +218,7 @@ def _settle_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for r, piece in zip(asked, pieces, strict=True):
             mine = number[at : at + len(piece)]
             at += len(piece)
-            if r[2] >= 0:
-                told.append((r[2], 1, r[0], _several(n[mine], t[mine], *sums[:, mine])))
+            told.append((r[2], 1, r[0], _several(n[mine], t[mine], *sums[:, mine])))
         yield _batch(_TOLD, told)
 
     return _by_key(batches, 0, settle)
@@ -237,7 +232,7 @@ def _score(parts: int, size: int, totals: tuple[int, int], schema):
 
         out = to_arrow_schema(schema)
         _, _, _, a, b, c, rest = rows[0][:7]
-        keys, numbers, lens = _opened(a, b, c)
+        keys, numbers, lens, _ = _opened(a, b, c)
         pairs, first, pair, at = _pairs(keys, numbers, lens)
         word, two = np.zeros((6, len(keys)), np.int64), np.zeros((2, len(pairs)), np.int64)
         for kind, table, own in ((1, word, _dealt(keys, parts)), (2, two, _dealt(keys[first], parts, pairs))):
@@ -264,25 +259,34 @@ def _score(parts: int, size: int, totals: tuple[int, int], schema):
     return lambda batches: _by_key(batches, 0, settle)
 
 
-def score_documents(
-    docs: DataFrame,
-    labels: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    keep: list[str] | None = None,
-    max_target_docs: int = MAX_TARGET_DOCS,
-    max_target_chars: int = MAX_TARGET_CHARS,
-) -> DataFrame:
+def _with_target(rows: DataFrame, labels: DataFrame, key: str, text: str, flag: str) -> DataFrame:
+    """rows with the flag whether a text is trusted, by its id in key (long), which goes; of a trusted id's equal texts one has it.
+
+    Rows without id are dealt over tasks, as no label meets them.
+    """
+    salt = fresh(rows, "_salt")
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias(key)).where(F.col(key).isNotNull()).distinct()
+    again = rows.groupBy(key, F.xxhash64(text).alias(flag)).count().where("count > 1").join(good.hint("merge"), key)
+    several = not again.isEmpty()
+    good = good.select(key, F.lit(0).alias(salt), F.lit(True).alias(flag)).hint("shuffle_hash")
+    dealt = rows.withColumn(salt, F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int"))
+    marked = dealt.join(good, [key, salt], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    if several:
+        first = F.row_number().over(Window.partitionBy(key, salt, flag, text).orderBy(F.lit(1))) == 1
+        marked = marked.where(flag).withColumn(flag, first).unionByName(marked.where(~F.col(flag)))
+    return marked.drop(key, salt)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns keep of docs (default: all), n_words, target_loss, background_loss and difference (nats a word).
 
-    The target model is fitted on trusted labelled texts (max_target_docs and
-    max_target_chars bound that sample), the background model on every text of docs; both
-    share one vocabulary and smoothing.  difference is target_loss - background_loss,
-    lower for texts nearer to the target.
+    The target model is fitted on all trusted labelled texts (quality 1, not toxic), the
+    background model on every text of docs; both share one vocabulary and smoothing.
+    difference is target_loss - background_loss, lower for texts nearer to the target.
 
     Every word and pair of the corpus counts in both models.  The counts stay in buckets
     by word and by pair: blocks of texts send each of their different words and pairs
-    once, a bucket adds up all that it is sent and answers every block with what it asked.
+    once, with both counts, a bucket adds up all that it is sent and answers every block with what it asked.
 
     Defined cases: null, empty and wordless texts have n_words 0 and null losses; with no
     trusted text the target model is uniform; ids may be null or repeat (different texts with a
@@ -291,19 +295,16 @@ def score_documents(
     """
     spark, parts = docs.sparkSession, n_buckets(docs)
     buckets = 2 * parts
-    target = trusted_sample(docs, labels, max_target_docs, max_target_chars, doc_id, text)
     extra = schema_of("n_words long, target_loss double, background_loss double, difference double")
     rest = without(docs, extra.names)
     kept = [c for c in (rest.columns if keep is None else keep) if c in rest.columns]
-    rows = docs.select(*dict.fromkeys([*kept, text]))
-    pick = F.broadcast(spark.createDataFrame([(x,) for x in target], "_pick long"))
-    trusted = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias(text)).join(pick, F.col("_id") == F.col("_pick"))
-    trusted = trusted.select("_id", text).distinct().select(text)  # a bounded sample
+    key, flag = fresh(docs, "_id"), fresh(docs, "_target")
+    rows = docs.select(*dict.fromkeys([*kept, text]), F.col(doc_id).cast("long").alias(key))
+    marked = _with_target(rows, labels, key, text, flag)
 
     told = schema_of(_TOLD)
-    encoded = rows.mapInArrow(_encode(text, kept, False), told).union(trusted.mapInArrow(_encode(text, [], True), told))
     path = {k: scratch(spark, f"losses-{k}") for k in ("blocks", "pairs", "words")}
-    encoded.write.parquet(path["blocks"])
+    marked.mapInArrow(_encode(text, kept, flag), told).write.parquet(path["blocks"])
     blocks = spark.read.parquet(path["blocks"])
     asked = lambda of_pairs: blocks.select("block", "a", "b", "c").mapInArrow(_ask(buckets, of_pairs), schema_of(_ASKED))
     dealt = lambda frame: frame.repartition(parts, "bucket").sortWithinPartitions("bucket")
@@ -315,6 +316,6 @@ def score_documents(
     sums = answers.where("kind = 4").selectExpr("coalesce(sum(size), 0) as size", "coalesce(sum(n), 0) as n", "coalesce(sum(t), 0) as t").first()
 
     schema = type(told)([*(rest.schema[c] for c in kept), *extra])
-    whole = blocks.where("block >= 0").union(pairs.where("kind = 2")).union(answers.where("kind = 1"))
+    whole = blocks.union(pairs.where("kind = 2")).union(answers.where("kind = 1"))
     whole = whole.repartition(parts, "block").sortWithinPartitions("block", "kind")
     return whole.mapInArrow(_score(buckets, sums["size"], (sums["n"], sums["t"]), schema), schema)

@@ -333,6 +333,16 @@ def test_rare_words_and_pairs_count_alike_at_any_size(spark):
             assert r.target_loss == pytest.approx(plain_losses(r.text, ["aa bb"], texts))
 
 
+def test_every_trusted_text_counts_once_for_the_target(spark):
+    """More of them than were sampled before; rows that repeat, and texts without id, do not count again."""
+    rows = [(i, f"aa b{i % 7} c{i % 11}") for i in range(4200)] + [(None, "aa aa aa"), (None, "b1 c1")] + [(7, "dd ee")] * 5 + [(7, None), (5000, "ff aa")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(4200)] + [(None, 1, 0), (5000, 0, 0), (5000, 1, 1)], "doc_id long, quality int, toxic int")
+    texts, target = [t for _, t in rows if t], [t for i, t in rows[:4200]] + ["dd ee"]
+    got = {(r.text, round(r.target_loss, 6), round(r.background_loss, 6)) for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels).where("text is not null").collect()}
+    asked = ["aa aa aa", "dd ee", "ff aa", rows[5][1]]
+    assert {x for x in got if x[0] in asked} == {(t, round(plain_losses(t, target, texts), 6), round(plain_losses(t, texts, texts), 6)) for t in asked}
+
+
 def test_a_trusted_text_that_does_not_fit_ends_nothing(spark):
     rows = [(i, "good text " * 10) for i in range(1, 20)] + [(20, "long " * 1000)] + [(21, "hot text")] * 2000 + [(21, "other")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
