@@ -17,8 +17,10 @@ from .frames import cut, n_buckets, schema_of, spread_join, with_text_columns
 from .hashing import Chunk, chunks, mix, windows, words
 
 SEED = 42
-#: Query-node pairs that a task looks at in one go.
-STEP_PAIRS = 1_000_000
+#: Query-node pairs that a task looks at in one go, and those whose fingerprints it lays side by side (wide ones take 64 bytes each).
+STEP_PAIRS, STEP_SIDES = 200_000, 20_000
+#: Bytes of text that near_copies() takes in one go: a byte takes up to a hundred in arrays.
+STEP_BYTES = 1 << 18
 #: Bits of wide fingerprints, and by how many standard deviations their distance may lie above its mean for texts at the limit.
 WIDE_BITS, SLACK = 512, 3.5
 #: MinHash values of a text: BANDS keys of BAND_ROWS values each; texts that share a key meet in one shard.
@@ -129,6 +131,14 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) if a.ndim > 1 else np.bitwise_count(a ^ b).astype(np.int64)
 
 
+def _distances(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of the pairs of places a and b, without a copy of the fingerprints of all pairs."""
+    out = np.zeros(len(a), np.int64)
+    for at in range(0, len(a), STEP_SIDES):
+        out[at : at + STEP_SIDES] = _distance(fps[a[at : at + STEP_SIDES]], fps[b[at : at + STEP_SIDES]])
+    return out
+
+
 def _trees(fps: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """BK-trees of many shards at once, level by level: children sorted by parent and distance.
 
@@ -140,7 +150,7 @@ def _trees(fps: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pending = np.flatnonzero(root != np.arange(len(fps)))
     children, keys = [], []
     while len(pending):
-        key = at[pending] * span + _distance(fps[pending], fps[at[pending]])
+        key = at[pending] * span + _distances(fps, pending, at[pending])
         key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         child = pending[first]
         children.append(child)
@@ -167,7 +177,7 @@ def _near(fps: np.ndarray, root: np.ndarray, query: np.ndarray, trees, radius: i
     node = root[query]
     found = []
     while len(query):
-        d = _distance(fps[query], fps[node])
+        d = _distances(fps, query, node)
         hit = (d <= radius) & ((node < query) | covered[node])
         found.append((query[hit], node[hit]))
         low = np.searchsorted(keys, node * span + np.maximum(d - radius, 0))
@@ -406,7 +416,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_w
 
     def run(column: pa.Array) -> dict[str, object]:
         nodes, fps, bands = [np.zeros(0, np.uint64)], [], []
-        for chunk in chunks(column):
+        for chunk in chunks(column, STEP_BYTES):
             doc, keys = shingle_hashes(chunk, n_words)
             order = np.lexsort((keys, doc))
             doc, keys = doc[order], keys[order]
@@ -421,7 +431,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_w
 
     def shingles(column: pa.Array) -> dict[str, object]:
         out = []
-        for chunk in chunks(column):
+        for chunk in chunks(column, STEP_BYTES):
             doc, keys = shingle_hashes(chunk, n_words)
             ends = np.searchsorted(doc, np.arange(1, chunk.n + 1))
             out += [np.unique(own).tobytes() for own in np.split(keys, ends[:-1])]

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import html_text, packing, warc
+from millrace.llm import html_text, packing, simhash, warc
 from millrace.llm.cross_entropy import score_documents
 from millrace.llm.hashing import chunks
 from millrace.llm.html_blocks import BLOCK, CLOSES, RAW, VOID, blocks, vectors
@@ -343,6 +343,18 @@ def test_every_trusted_text_counts_once_for_the_target(spark):
     assert {x for x in got if x[0] in asked} == {(t, round(plain_losses(t, target, texts), 6), round(plain_losses(t, texts, texts), 6)) for t in asked}
 
 
+def test_a_shard_of_near_copies_is_searched_in_little_memory():
+    rng = np.random.default_rng(3)
+    fps = np.repeat(rng.integers(0, 1 << 63, (1, 8), dtype=np.uint64), 1000, axis=0) ^ (np.uint64(1) << rng.integers(0, 60, (1000, 8)).astype(np.uint64))
+    tracemalloc.start()
+    a, b = simhash.shard_links(np.zeros(1000, np.int64), fps, 14)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) and peak < 10e6  # fingerprints of all pairs side by side took 19 MB
+    pairs = rng.integers(0, 1000, (2, 70_001))
+    assert (simhash._distances(fps, *pairs) == simhash._distance(fps[pairs[0]], fps[pairs[1]])).all()
+
+
 def test_a_trusted_text_that_does_not_fit_ends_nothing(spark):
     rows = [(i, "good text " * 10) for i in range(1, 20)] + [(20, "long " * 1000)] + [(21, "hot text")] * 2000 + [(21, "other")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
