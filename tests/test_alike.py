@@ -81,3 +81,19 @@ def test_only_frequent_keys_are_broadcast(spark, monkeypatch):
     for found in (alike.alike_classes(alike.name_classes(df, "key", "name")), alike.alike_people(df, "key", "name"), alike.corroborated(df.selectExpr("*", "'x' as city"), "key", "name", ["city"])):
         plan = found._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("BroadcastHashJoin") == plan.count("BroadcastHashJoin [long#") and "SortMergeJoin" in plan
+
+
+def test_cells_go_on_over_steps_and_rows_move_once(spark, monkeypatch):
+    monkeypatch.setattr(alike, "PART", 3)
+    monkeypatch.setattr(alike, "STEP_ROWS", 2, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    names = [f"Dan Shared {i:03d} of the House" for i in range(24)] + ODD
+    df = spark.createDataFrame(list(enumerate(names)), "key long, name string")
+    try:
+        got = {(r.name_a, r.name_b): round(r.ratio, 9) for r in alike.alike_classes(alike.name_classes(df, "key", "name")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == all_pairs([x.lower() for x in names if x and x.strip()])
+    monkeypatch.setattr(alike, "settled", lambda df: df)  # one plan
+    plan = alike.alike_classes(alike.name_classes(df, "key", "name"))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange hashpartitioning(long") == 1
