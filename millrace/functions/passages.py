@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +16,7 @@ from .text import STOP_WORDS
 SIZE, OVERLAP, SMALLEST, DIMS = 900, 150, 80, 512
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n{2,}")
 _TOKEN = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[^\W_]+")
 _STOPS = frozenset(STOP_WORDS)
 
 
@@ -63,6 +65,17 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in _TOKEN.findall((text or "").lower()) if len(w) > 1 and w not in _STOPS]
 
 
+def all_words_of(text: str | None) -> list[str]:
+    """Runs of letters and numbers (Unicode's L and N) in lower case."""
+    return _WORD.findall((text or "").lower())
+
+
+def token_counts_of(text: str | None) -> dict[str, int]:
+    """How often a text has each of its words_of, in their order."""
+    found = Counter(_TOKEN.findall((text or "").lower()))
+    return {w: n for w, n in found.items() if len(w) > 1 and w not in _STOPS}
+
+
 def embedding_of(words: list[str]) -> np.ndarray:
     """Words and half-weighted pairs hashed into DIMS signed cells, of length one."""
     if not words:
