@@ -66,20 +66,20 @@ def _batch(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
 
-def _opened(a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _opened(a: bytes, b: bytes, c: bytes, bits: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: its different word keys, rising, each word's number among them, the lengths of its texts, and which of these the target has."""
     ranked = _unpacked(a)
     order = np.argsort(ranked)
     number = np.zeros(len(ranked), np.int64)
     number[order] = np.arange(len(ranked))
     lens = _unpacked(c).astype(np.int64)
-    return ranked[order], number[_unpacked(b).astype(np.int64)], lens >> 1, lens & 1
+    return ranked[order], number[_unpacked(b).astype(np.int64)], lens >> bits, lens & ((1 << bits) - 1)
 
 
-def _encode(text: str, kept: list[str], target: str):
+def _encode(text: str, kept: list[str], target: str, bits: int = 1):
     """Texts as blocks: word keys, the most frequent first, each word's number among them, lengths, and the other columns as they are.
 
-    The last bit of a length tells whether the text counts for the target.
+    The last bits of a length tell whether the text counts for the target (or its part of it).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def _encode(text: str, kept: list[str], target: str):
                 with pa.ipc.new_stream(sink, rest.schema) as out:
                     out.write_batch(rest)
                 wanted = batch.column(batch.schema.get_field_index(target)).slice(start, end - start).to_numpy(zero_copy_only=False)
-                made = ((part << 32) | serial, 0, 0, _packed(keys[order]), _packed(rank[numbers]), _packed((lens << 1 | wanted).astype(np.uint64)), sink.getvalue().to_pybytes())
+                made = ((part << 32) | serial, 0, 0, _packed(keys[order]), _packed(rank[numbers]), _packed((lens << bits | wanted).astype(np.uint64)), sink.getvalue().to_pybytes(), len(hashes))
                 held.clear()
                 serial, start, size = serial + 1, end, 0
                 return _batch(_TOLD, [made])

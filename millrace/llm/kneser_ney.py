@@ -10,13 +10,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, n_buckets, schema_of, with_text_columns, without
+from .cross_entropy import _batch, _by_key, _dealt, _encode, _opened, _packed, _several, _steps, _unpacked, _unseveral, _unsteps, _with_target
+from .frames import cut, fresh, n_buckets, schema_of, scratch, without
 from .hashing import Chunk, Words, chunks, mix, words
-from .ngrams import Lookup, trusted_sample
+from .ngrams import Lookup
 
-MAX_TRAIN_DOCS, MAX_TRAIN_CHARS = 4000, 8_000_000
-#: One trusted text in so many of the sample is not trained on; it sets the thresholds, with all trusted texts outside the sample.
+#: Trusted texts are dealt by their ids into so many folds; thresholds come from losses under the counts of all others.
 HELD_OUT = 4
+#: Words of all texts for each bucket of trigrams.
+BUCKET_WORDS = 1_000_000
+#: Sums of losses are whole numbers of so small parts, so that they are the same in any order.
+PARTS = float(1 << 24)
+#: Numbers of words: those of no word and of the start, and the first of a known one.
+NO_WORD, NO_TEXT, FIRST = np.uint64(0), np.uint64(1), np.uint64(2)
+#: What goes to a bucket of words or trigrams, or to a block of texts; of kind 0 is what comes first there.
+_SENT = "bucket int, kind int, block long, a binary, b binary, c binary, d binary, e binary"
+#: Bits of a text's length that hold its fold.
+_FOLD_BITS = 3
 #: Thresholds are quantiles of losses rounded to so many decimals, so that counts of a bounded number of values give them.
 DECIMALS = 4
 #: Of each language's held-out trusted texts, the share of perplexities that a threshold covers.
@@ -64,10 +74,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["w", "n"])
 
 
-def discounts(counts: DataFrame) -> list[float]:
+def discounts(n: list[int]) -> list[float]:
     """D1, D2 and D3+ from how many n-grams occur one to four times; 0.75 of what is too rare to tell."""
-    row = counts.agg(*(F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in range(1, 5))).first()
-    n = [row[f"n{k}"] for k in range(1, 5)]
     if 0 in n[:2]:
         return [0.5, 0.75, 0.9]
     y = n[0] / (n[0] + 2 * n[1])
@@ -77,7 +85,8 @@ def discounts(counts: DataFrame) -> list[float]:
 
 def _order(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
     """Of one order: each n-gram's discounted share of its context, and each context's weight for the order below."""
-    d = discounts(counts)
+    row = counts.agg(*(F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in range(1, 5))).first()
+    d = discounts([row[f"n{k}"] for k in range(1, 5)])
     taken = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
     groups = counts.groupBy(*context) if context else counts
     sums = groups.agg(F.sum("n").alias("total"), F.sum(taken).alias("held"))
@@ -162,6 +171,205 @@ def _threshold(held: DataFrame, lang: str, quantile: float) -> Column:
     return F.coalesce(F.when(F.col(lang).isNotNull(), F.try_element_at(limits, F.col(lang))), overall)
 
 
+def _ask_words(parts: int):
+    """A block's words with their counts in trusted texts, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, a, b, c = (batch.column(k)[i].as_py() for k in range(4))
+                keys, numbers, lens, fold = _opened(a, b, c, _FOLD_BITS)
+                n = np.bincount(numbers, np.repeat(fold > 0, lens), minlength=len(keys)).astype(np.uint64)
+                yield _batch(_SENT, [(k, 0, block, _steps(keys[own]), _packed(n[own])) for k, own in enumerate(_dealt(keys, parts)) if len(own)])
+
+    return run
+
+
+def _number_words(parts: int):
+    """Answers to blocks: numbers of their words, frequent ones low, none for words that trusted texts have once or not; and how many they are."""
+
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        pieces = [_unsteps(r[3]) for r in rows]
+        keys, place = np.unique(np.concatenate(pieces), return_inverse=True)
+        n = np.bincount(place, np.concatenate([_unpacked(r[4]) for r in rows]), minlength=len(keys))
+        known = np.flatnonzero(n > 1)
+        ids = np.full(len(keys), NO_WORD)
+        ids[known[np.argsort(-n[known], kind="stable")]] = FIRST + np.arange(len(known), dtype=np.uint64) * np.uint64(parts) + np.uint64(rows[0][0])
+        told, at = [(rows[0][0], 4, None, _packed(np.array([len(known), np.count_nonzero(n == 1)])))], 0
+        for r, piece in zip(rows, pieces, strict=True):
+            told.append((r[0], 1, r[2], _packed(ids[place[at : at + len(piece)]])))
+            at += len(piece)
+        yield _batch(_SENT, told)
+
+    return lambda batches: _by_key(batches, 0, settle)
+
+
+def _deal_trigrams(parts: int, buckets: int):
+    """Every word of a block with the two before it, by bucket of the one before it, in the order of the texts."""
+
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        block, a, b, c = rows[0][2:6]
+        keys, numbers, lens, fold = _opened(a, b, c, _FOLD_BITS)
+        ids, answers = np.full(len(keys), NO_WORD), {r[0]: r[3] for r in rows[1:]}
+        for k, own in enumerate(_dealt(keys, parts)):
+            if len(own):
+                ids[own] = _unpacked(answers[k])
+        last, doc = ids[numbers], np.repeat(np.arange(len(lens)), lens)
+        place = np.arange(len(last)) - np.repeat(np.cumsum(lens) - lens, lens)
+        one, two = np.full(len(last), NO_TEXT), np.full(len(last), NO_TEXT)
+        one[1:], two[2:] = last[:-1], last[:-2]
+        one[place < 1], two[place < 2] = NO_TEXT, NO_TEXT
+        sent = []
+        for k, own in enumerate(_dealt(one, buckets)):
+            if len(own):
+                docs, n = np.unique(doc[own], return_counts=True)
+                sent.append((k, 0, block, _packed(two[own]), _packed(one[own]), _packed(last[own]), _steps(docs.astype(np.uint64)), _several(n, fold[docs])))
+        yield _batch(_SENT, sent)
+
+    return lambda batches: _by_key(batches, 2, settle)
+
+
+def _trigram_rows(row: tuple) -> tuple[np.ndarray, ...]:
+    """Of what a block sent: the words before, the words, and each one's text and fold."""
+    n, fold = _unseveral(row[7], 2)
+    return _unpacked(row[3]), _unpacked(row[4]), _unpacked(row[5]), np.repeat(_unsteps(row[6]), n), np.repeat(fold, n)
+
+
+class _Order:
+    """N-grams of one order: their counts in all trusted texts and in those outside each fold, and sums for each context."""
+
+    def __init__(self, grams: np.ndarray, contexts: np.ndarray, n: np.ndarray):
+        self.grams, self.n = grams, n.astype(np.int64)
+        self.contexts, at = np.unique(contexts, return_inverse=True)
+        self.sums = np.array([[np.bincount(at, own, minlength=len(self.contexts)) for own in (x, x == 1, x == 2, x > 2)] for x in n], np.int64)
+
+    def probabilities(self, d: np.ndarray, model: np.ndarray, gram: np.ndarray, context: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """From those of the order below and the discounts of each model."""
+        if not len(self.grams):
+            return low
+        at, of = np.searchsorted(self.grams, gram), np.searchsorted(self.contexts, context)
+        at[at == len(self.grams)], of[of == len(self.contexts)] = 0, 0
+        n = np.where(self.grams[at] == gram, self.n[model, at], 0)
+        total, *kinds = (np.where(self.contexts[of] == context, self.sums[model, k, of], 0) for k in range(4))
+        held = sum(d[model, k] * x for k, x in enumerate(kinds, 1))
+        whole = np.maximum(total, 1)
+        return (n - d[model, np.minimum(n, 3)]) / whole + np.where(total > 0, held / whole, 1.0) * low
+
+
+def _frequencies(n: np.ndarray) -> np.ndarray:
+    """Of each model, how many n-grams occur one to four times."""
+    return np.array([[np.count_nonzero(x == k) for k in range(1, 5)] for x in n])
+
+
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Keys of different trigrams, rising, their words and their counts in each fold."""
+    two, one, last, n = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+    keys, at, place = np.unique(_joined(two, _joined(one, last)), return_index=True, return_inverse=True)
+    counts = np.array([np.bincount(place, x, minlength=len(keys)) for x in n], np.int64)
+    return keys, two[at], one[at], last[at], counts
+
+
+def _counted(rows: list[tuple]) -> tuple[_Order, _Order, np.ndarray]:
+    """A bucket's trigrams of trusted texts and its pairs of words, with the last word of each pair."""
+    none = np.zeros(0, np.uint64)
+    held, size = [(none, none, none, np.zeros((HELD_OUT, 0), np.int64))], 0
+    for row in rows:
+        two, one, last, _, fold = _trigram_rows(row)
+        own = fold > 0
+        held.append((two[own], one[own], last[own], fold[own] == np.arange(1, HELD_OUT + 1)[:, None]))
+        size += len(held[-1][0])
+        if size > BUCKET_WORDS:
+            held, size = [_merged(held)[1:]], 0
+    keys, two, one, last, n = _merged(held)
+    n = np.concatenate([n.sum(axis=0)[None], n.sum(axis=0) - n])
+    pairs, at, place = np.unique(_joined(one, last), return_index=True, return_inverse=True)
+    before = np.array([np.bincount(place, x > 0, minlength=len(pairs)) for x in n])
+    return _Order(keys, _joined(two, one), n), _Order(pairs, one[at], before), last[at]
+
+
+def _ask_last(parts: int):
+    """A bucket's last words, with how many words it has before each, packed by bucket of words; and its frequencies of frequencies."""
+
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        three, two, last = _counted(rows)
+        seen = np.unique(np.concatenate([np.unique(_unpacked(r[5])) for r in rows]))
+        n = np.array([np.bincount(np.searchsorted(seen, last), x > 0, minlength=len(seen)) for x in two.n])
+        shard = np.where(seen < FIRST, 0, (seen - FIRST) % np.uint64(parts))
+        sent = [(rows[0][0], 4, None, _packed(np.concatenate([_frequencies(three.n), _frequencies(two.n)]).ravel()))]
+        for k in np.unique(shard):
+            own = shard == k
+            sent.append((int(k), 0, rows[0][0], _steps(seen[own]), _several(*n[:, own])))
+        yield _batch(_SENT, sent)
+
+    return lambda batches: _by_key(batches, 0, settle)
+
+
+def _settle_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers to buckets: how many words all texts have before each of their last words; and frequencies of these and sums."""
+
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        pieces, models = [_unsteps(r[3]) for r in rows], HELD_OUT + 1
+        ids, place = np.unique(np.concatenate(pieces), return_inverse=True)
+        n = np.array([np.bincount(place, x, minlength=len(ids)) for x in np.concatenate([_unseveral(r[4], models) for r in rows], axis=1)], np.int64)
+        sums = [[x.sum(), *(np.count_nonzero(own) for own in (x == 1, x == 2, x > 2))] for x in n]
+        told, at = [(rows[0][0], 4, None, _packed(np.concatenate([_frequencies(n), sums]).ravel()))], 0
+        for r, piece in zip(rows, pieces, strict=True):
+            told.append((r[2], 1, None, r[3], _several(*n[:, place[at : at + len(piece)]])))
+            at += len(piece)
+        yield _batch(_SENT, told)
+
+    return _by_key(batches, 0, settle)
+
+
+def _score_trigrams(d: np.ndarray, sums: np.ndarray, size: int, rare: int):
+    """Losses of the words of a bucket, added up by text, under all trusted texts and under those outside its fold."""
+
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        asked, answers = ([r for r in rows if r[1] == k] for k in (0, 1))
+        three, two, _ = _counted(asked)
+        ids, n = np.concatenate([_unsteps(r[3]) for r in answers]), np.concatenate([_unseveral(r[4], HELD_OUT + 1) for r in answers], axis=1)
+        order = np.argsort(ids)
+        ids, n = ids[order], n[:, order]
+        total = np.maximum(sums[:, 0], 1)
+        floor = np.where(sums[:, 0] > 0, (d[0, :, 1:] * sums[:, 1:]).sum(axis=1) / total, 1.0) / (size + 1)
+        single = (n - np.take_along_axis(d[0], np.minimum(n, 3), axis=1)) / total[:, None] + floor[:, None]
+        for r in asked:
+            *grams, doc, fold = _trigram_rows(r)
+            own = np.flatnonzero(fold)
+            model = np.concatenate([np.zeros(len(doc), np.int64), fold[own]])
+            u, v, w = (np.concatenate([x, x[own]]) for x in grams)
+            pair = _joined(v, w)
+            p = single[model, np.searchsorted(ids, w)]
+            p = two.probabilities(d[1], model, pair, v, p)
+            p = three.probabilities(d[2], model, _joined(u, pair), _joined(u, v), p)
+            loss = np.where(w == NO_WORD, np.log(max(1, rare)), 0.0) - np.log(p)
+            docs, place = np.unique(doc, return_inverse=True)
+            both = (np.bincount(i, x, minlength=len(docs)) for i, x in ((place, loss[: len(doc)]), (place[own], loss[len(doc) :])))
+            yield _batch(_SENT, [(r[0], 2, r[2], _steps(docs), _several(*(np.rint(np.maximum(x, 0) * PARTS) for x in both)))])
+
+    return lambda batches: _by_key(batches, 0, settle)
+
+
+def _perplexities(schema):
+    """Mean losses of a block's texts from the sums of all buckets."""
+
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out, lens = to_arrow_schema(schema), _unpacked(rows[0][5]).astype(np.int64)
+        lens, fold = lens >> _FOLD_BITS, lens & ((1 << _FOLD_BITS) - 1)
+        sums = np.zeros((2, len(lens)), np.int64)
+        for r in rows[1:]:
+            sums[:, _unsteps(r[3]).astype(np.int64)] += _unseveral(r[4], 2)
+        means = sums / PARTS / np.maximum(lens, 1)
+        with pa.ipc.open_stream(rows[0][6]) as stream:
+            kept = stream.read_next_batch()
+        columns = [*kept.columns, pa.array(lens), pa.array(means[0], mask=lens == 0), pa.array(means[1], mask=(lens == 0) | (fold == 0))]
+        yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, out, strict=True)], schema=out)
+
+    return lambda batches: _by_key(batches, 2, settle)
+
+
 def classify_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -169,47 +377,58 @@ def classify_quality(
     text: str = "text",
     lang: str = "lang",
     keep: list[str] | None = None,
-    max_train_docs: int = MAX_TRAIN_DOCS,
-    max_train_chars: int = MAX_TRAIN_CHARS,
     quantile: float = QUANTILE,
 ) -> DataFrame:
     """Columns keep of docs (default: all), n_words, log_perplexity, threshold and kept.
 
-    Of a bounded sample of trusted labelled texts (max_train_docs, max_train_chars) all but
-    one in HELD_OUT train the model.  The threshold of a language is the quantile of the log
-    perplexities of all its trusted texts with other ids; different texts of an id count once each.
-    A text is kept if it has words and does not exceed its threshold.  The sample bounds the
-    model, so it goes to the tasks by broadcast.
+    The model is fitted on all trusted labelled texts (quality 1, not toxic).  The threshold
+    of a language is the quantile of the log perplexities of all its trusted texts, each under
+    the counts of those whose ids are in other folds (HELD_OUT folds, one vocabulary); different texts of an id count once
+    each.  A text is kept if it has words and does not exceed its threshold.
+
+    The counts stay in buckets by the middle word of a trigram, where all texts send their
+    words with the two before each; these buckets count, ask buckets of words how many words
+    each last word follows, and send back sums of losses for each text.
 
     Defined cases: null, empty and wordless texts have null log_perplexity and are not
-    kept; a language (or null) without held-out text takes the threshold of all; with no
+    kept; a language (or null) without trusted text takes the threshold of all; with no
     trusted text at all every text with words is kept; ids may be null or repeat; no rows give
     no rows; own columns with the names of results give way to these.
     """
-    spark = docs.sparkSession
-    sample = trusted_sample(docs, labels, max_train_docs, max_train_chars, doc_id, text)
-    train_ids = [x for i, x in enumerate(sample) if i % HELD_OUT]
-    pick = lambda ids: F.broadcast(spark.createDataFrame([(x,) for x in ids], "_pick long"))
-    key = F.col(doc_id).cast("long")
-    known = docs.select(key.alias("_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    model = fit(known.join(pick(train_ids), F.col("_id") == F.col("_pick")).select("_id", "text").distinct().select("text"))
-    held = spark.sparkContext.broadcast(model)
-
-    def run(column: pa.Array) -> dict[str, object]:
-        parts = [held.value.scores(c) for c in chunks(column)]
-        n = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-        loss = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)
-        return {"n_words": n, "log_perplexity": pa.array(loss, mask=n == 0)}
-
-    ddl = "n_words long, log_perplexity double"
-    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    losses = with_text_columns(known, "text", ddl, run, ["_id", "lang"]).where("log_perplexity is not null")  # texts stay where they are
-    unseen = losses.join(trusted, "_id").join(pick(train_ids), F.col("_id") == F.col("_pick"), "left_anti")
-    tuning = unseen.distinct()
-    tuning = tuning.groupBy("lang", F.round("log_perplexity", DECIMALS).alias("loss"))
-    tuning = cut(tuning.agg(F.count(F.lit(1)).alias("n")))
-    names = [c for c in without(docs, ["n_words", "log_perplexity", "threshold", "kept"]).columns if keep is None or c in keep]
-    scored = with_text_columns(docs, text, ddl, run, list(dict.fromkeys([*names, lang])))
-    threshold = _threshold(tuning, lang, quantile)
+    spark, parts = docs.sparkSession, n_buckets(docs)
+    rest = without(docs, ["n_words", "log_perplexity", "threshold", "kept"])
+    names = [c for c in rest.columns if keep is None or c in keep]
+    key, flag, fold, own, tongue = (fresh(docs, c) for c in ("_id", "_trusted", "_fold", "_own", "_lang"))
+    rows = docs.select(*dict.fromkeys([*names, text]), F.col(lang).alias(tongue), F.col(doc_id).cast("long").alias(key))
+    rows = rows.withColumn(fold, F.pmod(F.xxhash64(key), F.lit(HELD_OUT)).cast("int") + 1)
+    marked = _with_target(rows, labels, key, text, flag).withColumn(fold, F.when(F.col(flag), F.col(fold)).otherwise(0))
+
+    sent, kept = schema_of(_SENT), [*names, tongue]
+    path = {k: scratch(spark, f"quality-{k}") for k in ("blocks", "words", "trigrams", "last", "told", "scored")}
+    stored = lambda frame, k: (frame.write.parquet(path[k]), spark.read.parquet(path[k]))[1]
+    dealt = lambda frame, column: frame.repartition(parts, column).sortWithinPartitions(column, "kind")
+    blocks = schema_of("block long, kind int, bucket int, a binary, b binary, c binary, d binary, size long, n long, t long")
+    blocks = stored(marked.mapInArrow(_encode(text, kept, fold, _FOLD_BITS), blocks), "blocks")
+    asked = blocks.select("block", "a", "b", "c").mapInArrow(_ask_words(parts), sent)
+    told = stored(dealt(asked, "bucket").mapInArrow(_number_words(parts), sent), "words")
+    sizes = [_unpacked(r["a"]) for r in told.where("kind = 4").select("a").collect()]  # one for each bucket
+    size, rare = (int(sum(x[k] for x in sizes)) for k in range(2))
+    buckets = max(parts, (blocks.agg(F.sum("size")).first()[0] or 0) // BUCKET_WORDS)
+
+    nothing = F.lit(None).cast("binary")
+    whole = blocks.select("bucket", "kind", "block", "a", "b", "c", nothing.alias("d"), nothing.alias("e")).union(told.where("kind = 1"))
+    trigrams = stored(dealt(dealt(whole, "block").mapInArrow(_deal_trigrams(parts, buckets), sent), "bucket"), "trigrams")
+    last = stored(dealt(trigrams, "bucket").mapInArrow(_ask_last(parts), sent), "last")
+    told = stored(dealt(last.where("kind = 0"), "bucket").mapInArrow(_settle_last, sent), "told")
+    shape, total = (2, HELD_OUT + 1, 4), lambda frame: sum((_unpacked(r["a"]).astype(np.int64) for r in frame.where("kind = 4").select("a").collect()), np.zeros(8 * (HELD_OUT + 1), np.int64))
+    (often3, often2), (often1, sums) = total(last).reshape(shape), total(told).reshape(shape)
+    d = np.array([[[0.0, *discounts(n.tolist())] for n in often] for often in (often1, often2, often3)])
+    whole = dealt(trigrams.union(told.where("kind = 1")), "bucket").mapInArrow(_score_trigrams(d, sums, size, rare), sent)
+
+    schema = type(sent)([*(rest.schema[c] for c in names), *schema_of(f"{tongue} string, n_words long, log_perplexity double, {own} double")])
+    whole = blocks.select("bucket", "kind", "block", nothing.alias("a"), nothing.alias("b"), "c", "d", nothing.alias("e")).union(whole)
+    scored = stored(dealt(whole, "block").mapInArrow(_perplexities(schema), schema), "scored")
+    tuning = scored.where(F.col(own).isNotNull()).groupBy(F.col(tongue).alias("lang"), F.round(own, DECIMALS).alias("loss"))
+    threshold = _threshold(cut(tuning.agg(F.count(F.lit(1)).alias("n"))), tongue, quantile)
     kept = F.col("log_perplexity").isNotNull() & F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.col("threshold").isNull())
     return scored.withColumn("threshold", threshold).withColumn("kept", kept).select(*names, "n_words", "log_perplexity", "threshold", "kept")

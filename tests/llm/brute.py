@@ -170,10 +170,10 @@ def bigram_losses(rows, target):
     return out
 
 
-def kneser_ney(train):
-    """The trigram model of some texts as a function from a text to its log perplexity."""
+def kneser_ney(train, whole=None):
+    """The trigram model of some texts as a function from a text to its log perplexity; its vocabulary may be that of other texts."""
     w = [words(t) for t in train]
-    count = collections.Counter(x for ws in w for x in ws)
+    count = collections.Counter(x for t in whole or train for x in words(t))
     known = {x for x in count if count[x] > 1}
     rare = max(1, sum(1 for x in count if count[x] == 1))
     code = lambda ws: ["<", "<", *(x if x in known else "?" for x in ws)]

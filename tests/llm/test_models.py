@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import html_text, packing, simhash, warc
+from millrace.llm import html_text, kneser_ney, packing, simhash, warc
 from millrace.llm.cross_entropy import score_documents
 from millrace.llm.hashing import chunks
 from millrace.llm.html_blocks import BLOCK, CLOSES, RAW, VOID, blocks, vectors
@@ -73,6 +73,31 @@ def test_quality_classifier_keeps_the_clean(spark):
     assert clean > 0.99 and scores[0] > scores[1] + 2
 
 
+def test_quality_classifier_counts_all_trusted_texts(spark, docs, nasty):
+    """The model is that of all trusted texts, and each of them counts for its threshold under the texts of other folds."""
+    labels = read(spark, "labels").select("doc_id", "quality", "toxic").union(spark.createDataFrame([(10**6 + i, 1, 0) for i in (7, 30, 36, 39)], "doc_id long, quality int, toxic int"))
+    odd = docs.select(F.col("doc_id") + 10**6, "text", F.lit(None).cast("string"))
+    table = read(spark, "documents").select("doc_id", "text", "lang").union(odd).repartition(3).cache()
+    good = {r.doc_id for r in labels.where("quality = 1 and coalesce(toxic, 0) = 0").collect()}
+    rows = table.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(kneser_ney.HELD_OUT))).collect()
+    trusted = {(r.doc_id, r.text): r for r in rows if r.doc_id in good}.values()
+    plain, whole = brute.kneser_ney([r.text for r in trusted]), [r.text for r in trusted]
+    held = {}
+    for k in range(kneser_ney.HELD_OUT):
+        model = brute.kneser_ney([r.text for r in trusted if r.fold != k], whole)
+        for r in trusted:
+            if r.fold == k and brute.words(r.text):
+                held.setdefault(r.lang, []).append(model(r.text))
+    limits = {x: np.quantile(v, 0.99) for x, v in held.items() if x} | {None: np.quantile(sum(held.values(), []), 0.99)}
+    want = {(r.doc_id, r.text): plain(r.text) for r in rows}
+    got = classify_quality(table, labels).collect()
+    assert len(got) == len(rows) and len({r.lang for r in trusted}) > 2
+    for r in got:
+        loss = want[r.doc_id, r.text]
+        assert r.log_perplexity is None if loss is None else r.log_perplexity == pytest.approx(loss)
+        assert r.threshold == pytest.approx(limits[r.lang], abs=2e-4) and r.kept == (loss is not None and r.log_perplexity <= r.threshold)
+
+
 def test_quality_classifier_edges(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     table = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en"))
