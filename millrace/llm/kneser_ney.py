@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from .ngrams import Lookup
 
 #: Trusted texts are dealt by their ids into so many folds; thresholds come from losses under the counts of all others.
 HELD_OUT = 4
-#: Words of all texts for each bucket of trigrams.
+#: Words of all texts for each bucket of trigrams; a word that occurs more often has buckets of its own, by the word before it.
 BUCKET_WORDS = 1_000_000
 #: Sums of losses are whole numbers of so small parts, so that they are the same in any order.
 PARTS = float(1 << 24)
@@ -171,31 +172,65 @@ def _threshold(held: DataFrame, lang: str, quantile: float) -> Column:
     return F.coalesce(F.when(F.col(lang).isNotNull(), F.try_element_at(limits, F.col(lang))), overall)
 
 
+@dataclass(frozen=True)
+class _Deal:
+    """Which bucket a trigram goes to: by its middle word, or also by its first where the middle word is frequent."""
+
+    buckets: int
+    frequent: np.ndarray
+    spread: np.ndarray
+
+    def numbers(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+        made = (one % np.uint64(self.buckets)).astype(np.int64)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, one), len(self.frequent) - 1)
+            own = np.flatnonzero(self.frequent[at] == one)
+            at = at[own]
+            made[own] = self.buckets + (np.cumsum(self.spread) - self.spread)[at] + (mix(two[own]) % self.spread[at].astype(np.uint64)).astype(np.int64)
+        return made
+
+    def word(self, bucket: int) -> int | None:
+        """The place of the frequent word that has a bucket."""
+        return int(np.searchsorted(np.cumsum(self.spread), bucket - self.buckets, side="right")) if bucket >= self.buckets else None
+
+    def trigrams(self, row: tuple) -> tuple[np.ndarray, ...]:
+        """Of what a block sent: the words before, the words, and each one's text and fold."""
+        n, fold = _unseveral(row[7], 2)
+        one, word = _unpacked(row[4]), self.word(row[0])
+        one = one * np.uint64(self.buckets) + np.uint64(row[0]) if word is None else np.full(len(one), self.frequent[word])
+        return _unpacked(row[3]), one, _unpacked(row[5]), np.repeat(_unsteps(row[6]), n), np.repeat(fold, n)
+
+
 def _ask_words(parts: int):
-    """A block's words with their counts in trusted texts, packed by bucket."""
+    """A block's words with their counts in all texts and in trusted ones, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 block, a, b, c = (batch.column(k)[i].as_py() for k in range(4))
                 keys, numbers, lens, fold = _opened(a, b, c, _FOLD_BITS)
-                n = np.bincount(numbers, np.repeat(fold > 0, lens), minlength=len(keys)).astype(np.uint64)
-                yield _batch(_SENT, [(k, 0, block, _steps(keys[own]), _packed(n[own])) for k, own in enumerate(_dealt(keys, parts)) if len(own)])
+                n, t = (np.bincount(numbers, x, minlength=len(keys)) for x in (None, np.repeat(fold > 0, lens)))
+                yield _batch(_SENT, [(k, 0, block, _steps(keys[own]), _several(n[own], t[own])) for k, own in enumerate(_dealt(keys, parts)) if len(own)])
 
     return run
 
 
-def _number_words(parts: int):
-    """Answers to blocks: numbers of their words, frequent ones low, none for words that trusted texts have once or not; and how many they are."""
+def _number_words(parts: int, most: int):
+    """Answers to blocks: numbers of their words, frequent ones low, none for words that trusted texts have once or not.
+
+    And how many are known, how many rare and how often others occur; and which occur more than most times, and how often.
+    """
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         pieces = [_unsteps(r[3]) for r in rows]
         keys, place = np.unique(np.concatenate(pieces), return_inverse=True)
-        n = np.bincount(place, np.concatenate([_unpacked(r[4]) for r in rows]), minlength=len(keys))
-        known = np.flatnonzero(n > 1)
+        n, t = (np.bincount(place, x, minlength=len(keys)).astype(np.int64) for x in np.concatenate([_unseveral(r[4], 2) for r in rows], axis=1))
+        known = np.flatnonzero(t > 1)
+        known = known[np.argsort(-t[known], kind="stable")]
         ids = np.full(len(keys), NO_WORD)
-        ids[known[np.argsort(-n[known], kind="stable")]] = FIRST + np.arange(len(known), dtype=np.uint64) * np.uint64(parts) + np.uint64(rows[0][0])
-        told, at = [(rows[0][0], 4, None, _packed(np.array([len(known), np.count_nonzero(n == 1)])))], 0
+        ids[known] = FIRST + np.arange(len(known), dtype=np.uint64) * np.uint64(parts) + np.uint64(rows[0][0])
+        often = known[n[known] > most]
+        told, at = [(rows[0][0], 4, None, _packed(np.array([len(known), np.count_nonzero(t == 1), n[t < 2].sum()])), _packed(ids[often]), _packed(n[often]))], 0
         for r, piece in zip(rows, pieces, strict=True):
             told.append((r[0], 1, r[2], _packed(ids[place[at : at + len(piece)]])))
             at += len(piece)
@@ -204,8 +239,8 @@ def _number_words(parts: int):
     return lambda batches: _by_key(batches, 0, settle)
 
 
-def _deal_trigrams(parts: int, buckets: int):
-    """Every word of a block with the two before it, by bucket of the one before it, in the order of the texts."""
+def _deal_trigrams(parts: int, deal: _Deal):
+    """Every word of a block with the two before it, by bucket, in the order of the texts."""
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         block, a, b, c = rows[0][2:6]
@@ -219,29 +254,24 @@ def _deal_trigrams(parts: int, buckets: int):
         one, two = np.full(len(last), NO_TEXT), np.full(len(last), NO_TEXT)
         one[1:], two[2:] = last[:-1], last[:-2]
         one[place < 1], two[place < 2] = NO_TEXT, NO_TEXT
-        sent = []
-        for k, own in enumerate(_dealt(one, buckets)):
-            if len(own):
-                docs, n = np.unique(doc[own], return_counts=True)
-                sent.append((k, 0, block, _packed(two[own]), _packed(one[own]), _packed(last[own]), _steps(docs.astype(np.uint64)), _several(n, fold[docs])))
+        bucket = deal.numbers(two, one)
+        order, sent = np.argsort(bucket, kind="stable"), []
+        for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+            k, (docs, n) = int(bucket[own[0]]), np.unique(doc[own], return_counts=True)
+            middle = one[own] // np.uint64(deal.buckets) if k < deal.buckets else np.zeros(len(own), np.uint64)
+            sent.append((k, 0, block, _packed(two[own]), _packed(middle), _packed(last[own]), _steps(docs.astype(np.uint64)), _several(n, fold[docs])))
         yield _batch(_SENT, sent)
 
     return lambda batches: _by_key(batches, 2, settle)
 
 
-def _trigram_rows(row: tuple) -> tuple[np.ndarray, ...]:
-    """Of what a block sent: the words before, the words, and each one's text and fold."""
-    n, fold = _unseveral(row[7], 2)
-    return _unpacked(row[3]), _unpacked(row[4]), _unpacked(row[5]), np.repeat(_unsteps(row[6]), n), np.repeat(fold, n)
-
-
 class _Order:
     """N-grams of one order: their counts in all trusted texts and in those outside each fold, and sums for each context."""
 
-    def __init__(self, grams: np.ndarray, contexts: np.ndarray, n: np.ndarray):
+    def __init__(self, grams: np.ndarray, contexts: np.ndarray, n: np.ndarray, sums: np.ndarray | None = None):
         self.grams, self.n = grams, n.astype(np.int64)
         self.contexts, at = np.unique(contexts, return_inverse=True)
-        self.sums = np.array([[np.bincount(at, own, minlength=len(self.contexts)) for own in (x, x == 1, x == 2, x > 2)] for x in n], np.int64)
+        self.sums = sums if sums is not None else np.array([[np.bincount(at, own, minlength=len(self.contexts)) for own in (x, x == 1, x == 2, x > 2)] for x in n], np.int64)
 
     def probabilities(self, d: np.ndarray, model: np.ndarray, gram: np.ndarray, context: np.ndarray, low: np.ndarray) -> np.ndarray:
         """From those of the order below and the discounts of each model."""
@@ -256,6 +286,11 @@ class _Order:
         return (n - d[model, np.minimum(n, 3)]) / whole + np.where(total > 0, held / whole, 1.0) * low
 
 
+def _sums(n: np.ndarray) -> np.ndarray:
+    """Of each model, the sum, and how many n-grams occur once, twice and more often."""
+    return np.array([[x.sum(), *(np.count_nonzero(own) for own in (x == 1, x == 2, x > 2))] for x in n], np.int64)
+
+
 def _frequencies(n: np.ndarray) -> np.ndarray:
     """Of each model, how many n-grams occur one to four times."""
     return np.array([[np.count_nonzero(x == k) for k in range(1, 5)] for x in n])
@@ -269,16 +304,16 @@ def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return keys, two[at], one[at], last[at], counts
 
 
-def _counted(rows: list[tuple]) -> tuple[_Order, _Order, np.ndarray]:
+def _counted(rows: list[tuple], deal: _Deal, most: int) -> tuple[_Order, _Order, np.ndarray]:
     """A bucket's trigrams of trusted texts and its pairs of words, with the last word of each pair."""
     none = np.zeros(0, np.uint64)
     held, size = [(none, none, none, np.zeros((HELD_OUT, 0), np.int64))], 0
     for row in rows:
-        two, one, last, _, fold = _trigram_rows(row)
+        two, one, last, _, fold = deal.trigrams(row)
         own = fold > 0
         held.append((two[own], one[own], last[own], fold[own] == np.arange(1, HELD_OUT + 1)[:, None]))
         size += len(held[-1][0])
-        if size > BUCKET_WORDS:
+        if size > most:
             held, size = [_merged(held)[1:]], 0
     keys, two, one, last, n = _merged(held)
     n = np.concatenate([n.sum(axis=0)[None], n.sum(axis=0) - n])
@@ -287,15 +322,19 @@ def _counted(rows: list[tuple]) -> tuple[_Order, _Order, np.ndarray]:
     return _Order(keys, _joined(two, one), n), _Order(pairs, one[at], before), last[at]
 
 
-def _ask_last(parts: int):
-    """A bucket's last words, with how many words it has before each, packed by bucket of words; and its frequencies of frequencies."""
+def _ask_last(parts: int, deal: _Deal, most: int):
+    """A bucket's last words, packed by bucket of words, and its frequencies of frequencies.
+
+    With how many words it has before each; where a frequent word has more buckets, with how many it has before the pair of both.
+    """
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        three, two, last = _counted(rows)
+        three, two, last = _counted(rows, deal, most)
+        shared = deal.word(rows[0][0]) is not None
         seen = np.unique(np.concatenate([np.unique(_unpacked(r[5])) for r in rows]))
-        n = np.array([np.bincount(np.searchsorted(seen, last), x > 0, minlength=len(seen)) for x in two.n])
+        n = np.array([np.bincount(np.searchsorted(seen, last), x if shared else x > 0, minlength=len(seen)) for x in two.n])
         shard = np.where(seen < FIRST, 0, (seen - FIRST) % np.uint64(parts))
-        sent = [(rows[0][0], 4, None, _packed(np.concatenate([_frequencies(three.n), _frequencies(two.n)]).ravel()))]
+        sent = [(rows[0][0], 4, None, _packed(np.concatenate([_frequencies(three.n), _frequencies(two.n[:, :0] if shared else two.n)]).ravel()))]
         for k in np.unique(shard):
             own = shard == k
             sent.append((int(k), 0, rows[0][0], _steps(seen[own]), _several(*n[:, own])))
@@ -304,37 +343,71 @@ def _ask_last(parts: int):
     return lambda batches: _by_key(batches, 0, settle)
 
 
-def _settle_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers to buckets: how many words all texts have before each of their last words; and frequencies of these and sums."""
+def _added_up(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different words of what buckets sent, each word's place among them, and its sums."""
+    ids, place = np.unique(np.concatenate([_unsteps(r[3]) for r in rows]), return_inverse=True)
+    n = np.concatenate([_unseveral(r[4], HELD_OUT + 1) for r in rows], axis=1)
+    return ids, place, np.array([np.bincount(place, x, minlength=len(ids)) for x in n], np.int64)
+
+
+def _settle_last(deal: _Deal):
+    """Answers to buckets: how many words all texts have before each of their last words, and before the pairs of a frequent word.
+
+    And frequencies of both and sums; and sums of the pairs of each frequent word.
+    """
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        pieces, models = [_unsteps(r[3]) for r in rows], HELD_OUT + 1
-        ids, place = np.unique(np.concatenate(pieces), return_inverse=True)
-        n = np.array([np.bincount(place, x, minlength=len(ids)) for x in np.concatenate([_unseveral(r[4], models) for r in rows], axis=1)], np.int64)
-        sums = [[x.sum(), *(np.count_nonzero(own) for own in (x == 1, x == 2, x > 2))] for x in n]
-        told, at = [(rows[0][0], 4, None, _packed(np.concatenate([_frequencies(n), sums]).ravel()))], 0
-        for r, piece in zip(rows, pieces, strict=True):
-            told.append((r[2], 1, None, r[3], _several(*n[:, place[at : at + len(piece)]])))
-            at += len(piece)
+        by_word: dict[int | None, list[tuple]] = {}
+        for r in rows:
+            by_word.setdefault(deal.word(r[2]), []).append(r)
+        found = {word: _added_up(own) for word, own in by_word.items()}
+        ids = np.unique(np.concatenate([x[0] for x in found.values()]))
+        n, often, told = np.zeros((HELD_OUT + 1, len(ids)), np.int64), np.zeros((HELD_OUT + 1, 4), np.int64), []
+        for word, (own, _, pairs) in found.items():
+            n[:, np.searchsorted(ids, own)] += pairs if word is None else pairs > 0
+            if word is not None:
+                often += _frequencies(pairs)
+                told.append((word, 5, None, _packed(_sums(pairs).ravel())))
+        told.append((rows[0][0], 4, None, _packed(np.concatenate([_frequencies(n), _sums(n), often]).ravel())))
+        for word, (own, place, pairs) in found.items():
+            at = 0
+            for r in by_word[word]:
+                mine = place[at : at + len(_unsteps(r[3]))]
+                at += len(mine)
+                told.append((r[2], 1, None, r[3], _several(*n[:, np.searchsorted(ids, own[mine])]), None if word is None else _several(*pairs[:, mine])))
         yield _batch(_SENT, told)
 
+    return lambda batches: _by_key(batches, 0, settle)
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of sums for each bucket."""
+
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        yield _batch(_SENT, [(rows[0][0], rows[0][1], None, _packed(sum(_unpacked(r[3]) for r in rows)))])
+
     return _by_key(batches, 0, settle)
 
 
-def _score_trigrams(d: np.ndarray, sums: np.ndarray, size: int, rare: int):
+def _score_trigrams(deal: _Deal, most: int, d: np.ndarray, sums: np.ndarray, follow: np.ndarray, size: int, rare: int):
     """Losses of the words of a bucket, added up by text, under all trusted texts and under those outside its fold."""
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         asked, answers = ([r for r in rows if r[1] == k] for k in (0, 1))
-        three, two, _ = _counted(asked)
+        three, two, _ = _counted(asked, deal, most)
         ids, n = np.concatenate([_unsteps(r[3]) for r in answers]), np.concatenate([_unseveral(r[4], HELD_OUT + 1) for r in answers], axis=1)
-        order = np.argsort(ids)
+        order, word = np.argsort(ids), deal.word(rows[0][0])
+        if word is not None:
+            one = np.full(len(ids), deal.frequent[word])
+            pairs, before = _joined(one, ids), np.concatenate([_unseveral(r[5], HELD_OUT + 1) for r in answers], axis=1)
+            at = np.argsort(pairs)
+            two = _Order(pairs[at], one, before[:, at], follow[word][:, :, None])
         ids, n = ids[order], n[:, order]
         total = np.maximum(sums[:, 0], 1)
         floor = np.where(sums[:, 0] > 0, (d[0, :, 1:] * sums[:, 1:]).sum(axis=1) / total, 1.0) / (size + 1)
         single = (n - np.take_along_axis(d[0], np.minimum(n, 3), axis=1)) / total[:, None] + floor[:, None]
         for r in asked:
-            *grams, doc, fold = _trigram_rows(r)
+            *grams, doc, fold = deal.trigrams(r)
             own = np.flatnonzero(fold)
             model = np.concatenate([np.zeros(len(doc), np.int64), fold[own]])
             u, v, w = (np.concatenate([x, x[own]]) for x in grams)
@@ -378,6 +451,7 @@ def classify_quality(
     lang: str = "lang",
     keep: list[str] | None = None,
     quantile: float = QUANTILE,
+    bucket_words: int = BUCKET_WORDS,
 ) -> DataFrame:
     """Columns keep of docs (default: all), n_words, log_perplexity, threshold and kept.
 
@@ -388,7 +462,8 @@ def classify_quality(
 
     The counts stay in buckets by the middle word of a trigram, where all texts send their
     words with the two before each; these buckets count, ask buckets of words how many words
-    each last word follows, and send back sums of losses for each text.
+    each last word follows, and send back sums of losses for each text.  A word that occurs more
+    than bucket_words times has more buckets, by the word before it, and the buckets of words add up its pairs.
 
     Defined cases: null, empty and wordless texts have null log_perplexity and are not
     kept; a language (or null) without trusted text takes the threshold of all; with no
@@ -410,20 +485,27 @@ def classify_quality(
     blocks = schema_of("block long, kind int, bucket int, a binary, b binary, c binary, d binary, size long, n long, t long")
     blocks = stored(marked.mapInArrow(_encode(text, kept, fold, _FOLD_BITS), blocks), "blocks")
     asked = blocks.select("block", "a", "b", "c").mapInArrow(_ask_words(parts), sent)
-    told = stored(dealt(asked, "bucket").mapInArrow(_number_words(parts), sent), "words")
-    sizes = [_unpacked(r["a"]) for r in told.where("kind = 4").select("a").collect()]  # one for each bucket
-    size, rare = (int(sum(x[k] for x in sizes)) for k in range(2))
-    buckets = max(parts, (blocks.agg(F.sum("size")).first()[0] or 0) // BUCKET_WORDS)
-
-    nothing = F.lit(None).cast("binary")
+    told = stored(dealt(asked, "bucket").mapInArrow(_number_words(parts, bucket_words), sent), "words")
+    sizes = told.where("kind = 4").select("a", "b", "c").collect()  # one for each bucket of words
+    size, rare, others = sum((_unpacked(r["a"]).astype(np.int64) for r in sizes), np.zeros(3, np.int64)).tolist()
+    often = {int(w): int(n) for r in sizes for w, n in zip(_unpacked(r["b"]), _unpacked(r["c"]), strict=True)}
+    often = dict(sorted((often | ({int(NO_WORD): others} if others > bucket_words else {})).items()))
+    buckets = max(parts, (blocks.agg(F.sum("size")).first()[0] or 0) // bucket_words)
+    deal = _Deal(buckets, np.array(list(often), np.uint64), np.array([1 + n // bucket_words for n in often.values()], np.int64))
+
+    nothing, models = F.lit(None).cast("binary"), HELD_OUT + 1
     whole = blocks.select("bucket", "kind", "block", "a", "b", "c", nothing.alias("d"), nothing.alias("e")).union(told.where("kind = 1"))
-    trigrams = stored(dealt(dealt(whole, "block").mapInArrow(_deal_trigrams(parts, buckets), sent), "bucket"), "trigrams")
-    last = stored(dealt(trigrams, "bucket").mapInArrow(_ask_last(parts), sent), "last")
-    told = stored(dealt(last.where("kind = 0"), "bucket").mapInArrow(_settle_last, sent), "told")
-    shape, total = (2, HELD_OUT + 1, 4), lambda frame: sum((_unpacked(r["a"]).astype(np.int64) for r in frame.where("kind = 4").select("a").collect()), np.zeros(8 * (HELD_OUT + 1), np.int64))
-    (often3, often2), (often1, sums) = total(last).reshape(shape), total(told).reshape(shape)
-    d = np.array([[[0.0, *discounts(n.tolist())] for n in often] for often in (often1, often2, often3)])
-    whole = dealt(trigrams.union(told.where("kind = 1")), "bucket").mapInArrow(_score_trigrams(d, sums, size, rare), sent)
+    trigrams = stored(dealt(dealt(whole, "block").mapInArrow(_deal_trigrams(parts, deal), sent), "bucket"), "trigrams")
+    last = stored(dealt(trigrams, "bucket").mapInArrow(_ask_last(parts, deal, bucket_words), sent), "last")
+    told = stored(dealt(last.where("kind = 0"), "bucket").mapInArrow(_settle_last(deal), sent), "told")
+    total = lambda frame, n: sum((_unpacked(r["a"]).astype(np.int64).reshape(n, models, 4) for r in frame.where("kind = 4").select("a").collect()), np.zeros((n, models, 4), np.int64))
+    (often3, often2), (often1, sums, shared) = total(last, 2), total(told, 3)
+    d = np.array([[[0.0, *discounts(n.tolist())] for n in of] for of in (often1, often2 + shared, often3)])
+    follow = np.zeros((len(often), models, 4), np.int64)
+    for r in dealt(told.where("kind = 5"), "bucket").mapInArrow(_add, sent).select("bucket", "a").collect():  # one for each frequent word
+        follow[r["bucket"]] = _unpacked(r["a"]).astype(np.int64).reshape(models, 4)
+    asked = trigrams.union(told.where("kind = 1"))
+    whole = dealt(asked, "bucket").mapInArrow(_score_trigrams(deal, bucket_words, d, sums, follow, size, rare), sent)
 
     schema = type(sent)([*(rest.schema[c] for c in names), *schema_of(f"{tongue} string, n_words long, log_perplexity double, {own} double")])
     whole = blocks.select("bucket", "kind", "block", nothing.alias("a"), nothing.alias("b"), "c", "d", nothing.alias("e")).union(whole)

@@ -90,9 +90,9 @@ def test_quality_classifier_counts_all_trusted_texts(spark, docs, nasty):
                 held.setdefault(r.lang, []).append(model(r.text))
     limits = {x: np.quantile(v, 0.99) for x, v in held.items() if x} | {None: np.quantile(sum(held.values(), []), 0.99)}
     want = {(r.doc_id, r.text): plain(r.text) for r in rows}
-    got = classify_quality(table, labels).collect()
+    got, split = (classify_quality(table, labels, bucket_words=n).collect() for n in (kneser_ney.BUCKET_WORDS, 2000))
     assert len(got) == len(rows) and len({r.lang for r in trusted}) > 2
-    for r in got:
+    for r in got + split:  # frequent words in one bucket, and in several
         loss = want[r.doc_id, r.text]
         assert r.log_perplexity is None if loss is None else r.log_perplexity == pytest.approx(loss)
         assert r.threshold == pytest.approx(limits[r.lang], abs=2e-4) and r.kept == (loss is not None and r.log_perplexity <= r.threshold)
