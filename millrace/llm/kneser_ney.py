@@ -495,7 +495,7 @@ def classify_quality(
 
     nothing, models = F.lit(None).cast("binary"), HELD_OUT + 1
     whole = blocks.select("bucket", "kind", "block", "a", "b", "c", nothing.alias("d"), nothing.alias("e")).union(told.where("kind = 1"))
-    trigrams = stored(dealt(dealt(whole, "block").mapInArrow(_deal_trigrams(parts, deal), sent), "bucket"), "trigrams")
+    trigrams = stored(dealt(whole, "block").mapInArrow(_deal_trigrams(parts, deal), sent), "trigrams")
     last = stored(dealt(trigrams, "bucket").mapInArrow(_ask_last(parts, deal, bucket_words), sent), "last")
     told = stored(dealt(last.where("kind = 0"), "bucket").mapInArrow(_settle_last(deal), sent), "told")
     total = lambda frame, n: sum((_unpacked(r["a"]).astype(np.int64).reshape(n, models, 4) for r in frame.where("kind = 4").select("a").collect()), np.zeros((n, models, 4), np.int64))
