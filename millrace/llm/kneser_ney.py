@@ -129,7 +129,9 @@ class KneserNey:
 
 
 def fit(texts: DataFrame, text: str = "text") -> KneserNey:
-    """Count the n-grams of texts (a bounded sample) in Spark, sharded by n-gram, and join each with its context.
+    """A model in arrays of texts that are few enough for it (classify_quality keeps its own in buckets).
+
+    The n-grams are counted in Spark, sharded by n-gram, and joined with their contexts.
 
     Trigrams have their own counts; pairs and words have continuation counts, the number
     of different words before them.  Words that occur once are the unknown word, whose
