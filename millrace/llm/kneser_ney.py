@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .cross_entropy import _batch, _by_key, _dealt, _encode, _opened, _packed, _several, _steps, _unpacked, _unseveral, _unsteps, _with_target
 from .frames import cut, fresh, n_buckets, schema_of, scratch, without
 from .hashing import Chunk, Words, chunks, mix, words
-from .ngrams import Lookup
+from .ngrams import Lookup, trusted_sample
 
 #: Trusted texts are dealt by their ids into so many folds; thresholds come from losses under the counts of all others.
 HELD_OUT = 4
@@ -26,7 +26,7 @@ PARTS = float(1 << 24)
 NO_WORD, NO_TEXT, FIRST = np.uint64(0), np.uint64(1), np.uint64(2)
 #: What goes to a bucket of words or trigrams, or to a block of texts; of kind 0 is what comes first there.
 _SENT = "bucket int, kind int, block long, a binary, b binary, c binary, d binary, e binary"
-#: Bits of a text's length that hold its fold.
+#: Bits of a text's length that hold its fold: none, one of HELD_OUT, or the one after these, which counts for thresholds only.
 _FOLD_BITS = 3
 #: Thresholds are quantiles of losses rounded to so many decimals, so that counts of a bounded number of values give them.
 DECIMALS = 4
@@ -211,7 +211,7 @@ def _ask_words(parts: int):
             for i in range(batch.num_rows):
                 block, a, b, c = (batch.column(k)[i].as_py() for k in range(4))
                 keys, numbers, lens, fold = _opened(a, b, c, _FOLD_BITS)
-                n, t = (np.bincount(numbers, x, minlength=len(keys)) for x in (None, np.repeat(fold > 0, lens)))
+                n, t = (np.bincount(numbers, x, minlength=len(keys)) for x in (None, np.repeat((fold > 0) & (fold <= HELD_OUT), lens)))
                 yield _batch(_SENT, [(k, 0, block, _steps(keys[own]), _several(n[own], t[own])) for k, own in enumerate(_dealt(keys, parts)) if len(own)])
 
     return run
@@ -312,7 +312,7 @@ def _counted(rows: list[tuple], deal: _Deal, most: int) -> tuple[_Order, _Order,
     held, size = [(none, none, none, np.zeros((HELD_OUT, 0), np.int64))], 0
     for row in rows:
         two, one, last, _, fold = deal.trigrams(row)
-        own = fold > 0
+        own = (fold > 0) & (fold <= HELD_OUT)
         held.append((two[own], one[own], last[own], fold[own] == np.arange(1, HELD_OUT + 1)[:, None]))
         size += len(held[-1][0])
         if size > most:
@@ -411,7 +411,7 @@ def _score_trigrams(deal: _Deal, most: int, d: np.ndarray, sums: np.ndarray, fol
         for r in asked:
             *grams, doc, fold = deal.trigrams(r)
             own = np.flatnonzero(fold)
-            model = np.concatenate([np.zeros(len(doc), np.int64), fold[own]])
+            model = np.concatenate([np.zeros(len(doc), np.int64), fold[own] % (HELD_OUT + 1)])
             u, v, w = (np.concatenate([x, x[own]]) for x in grams)
             pair = _joined(v, w)
             p = single[model, np.searchsorted(ids, w)]
@@ -452,6 +452,8 @@ def classify_quality(
     text: str = "text",
     lang: str = "lang",
     keep: list[str] | None = None,
+    max_train_docs: int | None = None,
+    max_train_chars: int | None = None,
     quantile: float = QUANTILE,
     bucket_words: int = BUCKET_WORDS,
 ) -> DataFrame:
@@ -460,7 +462,8 @@ def classify_quality(
     The model is fitted on all trusted labelled texts (quality 1, not toxic).  The threshold
     of a language is the quantile of the log perplexities of all its trusted texts, each under
     the counts of those whose ids are in other folds (HELD_OUT folds, one vocabulary); different texts of an id count once
-    each.  A text is kept if it has words and does not exceed its threshold.
+    each.  A text is kept if it has words and does not exceed its threshold.  A caller may bound the texts
+    that are counted (max_train_docs, max_train_chars; no bounds by default); trusted texts outside count for thresholds.
 
     The counts stay in buckets by the middle word of a trigram, where all texts send their
     words with the two before each; these buckets count, ask buckets of words how many words
@@ -478,6 +481,11 @@ def classify_quality(
     key, flag, fold, own, tongue = (fresh(docs, c) for c in ("_id", "_trusted", "_fold", "_own", "_lang"))
     rows = docs.select(*dict.fromkeys([*names, text]), F.col(lang).alias(tongue), F.col(doc_id).cast("long").alias(key))
     rows = rows.withColumn(fold, F.pmod(F.xxhash64(key), F.lit(HELD_OUT)).cast("int") + 1)
+    if max_train_docs is not None or max_train_chars is not None:
+        most = (2**31 - 1 if max_train_docs is None else max_train_docs, 2**62 if max_train_chars is None else max_train_chars)
+        picked = [(x,) for x in trusted_sample(docs, labels, *most, doc_id, text)]
+        picked = F.broadcast(spark.createDataFrame(picked, f"{key} long").withColumn(flag, F.lit(True)))
+        rows = rows.join(picked, key, "left").withColumn(fold, F.when(F.col(flag), F.col(fold)).otherwise(HELD_OUT + 1)).drop(flag)
     marked = _with_target(rows, labels, key, text, flag).withColumn(fold, F.when(F.col(flag), F.col(fold)).otherwise(0))
 
     sent, kept = schema_of(_SENT), [*names, tongue]
